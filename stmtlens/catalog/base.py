@@ -12,6 +12,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread the narrow source rows over all tasks before text is made of them.
+
+    The given tables are single files, so one task would write all the text.
+    """
+    return df.repartition(*keys)
+
+
 def pick(number: Column, options: list) -> Column:
     """Option number ``number % len(options)``; options are strings or Columns."""
     cols = [F.lit(o) if isinstance(o, str) else o for o in options]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlens.catalog.base import fill, pick, table
+from stmtlens.catalog.base import fill, pick, spread, table
 from stmtlens.functions.lexing import normalize_sql
 from stmtlens.operators.repeated import repeated_statements, usable_groups
 from stmtlens.sources.logs import analysable, parse_log
@@ -24,7 +24,12 @@ _CATEGORY = ["statement"] * 6 + ["batch", " batch ", "resultset", "info"]
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``source, seq, value``: one line per order, some of them malformed."""
-    o = table(spark, folder, "orders")
+    o = spread(
+        table(spark, folder, "orders").select(
+            "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
+        ),
+        "o_orderkey",
+    )
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     numbers = [F.lit("7"), F.concat(k.cast("string"), F.lit(", 8")), F.lit("1, 2,3")]
     sql = fill(

@@ -165,30 +165,59 @@ AGGREGATE_FUNCTIONS = (
 ).split()
 
 
+def _first(token: Column) -> Column:
+    return F.substring(token, 1, 1)
+
+
 def is_string_literal(token: Column, dialect: Column | None = None) -> Column:
-    ansi = F.rlike(token, F.lit(r"\A(?:[eEnNbBxX]?'|\$(?:[A-Za-z_]\w*)?\$)")) & (
-        F.length(token) > 1
+    """By first characters only: the lexer has already delimited the token."""
+    first, second = _first(token), F.substring(token, 2, 1)
+    many = F.length(token) > 1
+    ansi = (
+        ((first == "'") & many)
+        | (first.isin(*"eEnNbBxX") & (second == "'"))
+        | ((first == "$") & many & token.endswith("$"))
     )
     if dialect is None:
         return ansi
-    return ansi | ((dialect == "mysql") & token.startswith('"') & (F.length(token) > 1))
+    return ansi | ((dialect == "mysql") & (first == '"') & many)
 
 
 def is_number_literal(token: Column) -> Column:
-    return F.rlike(token, F.lit(r"\A\.?\d"))
+    first = _first(token)
+    return first.between("0", "9") | ((first == ".") & (F.length(token) > 1))
 
 
 def is_plain_name(token: Column) -> Column:
-    return F.rlike(token, F.lit(r"\A[A-Za-z_\x{80}-\x{FFFF}]")) & ~F.rlike(
-        token, F.lit(r"\A[eEnNbBxX]'")
+    first = _first(token)
+    letter = (
+        first.between("a", "z") | first.between("A", "Z") | (first == "_") | (first > "\x7f")
     )
+    return letter & (F.substring(token, 2, 1) != "'")
 
 
 def is_quoted_name(token: Column, dialect: Column | None = None) -> Column:
-    double = token.startswith('"') & (F.length(token) > 1)
+    first, many = _first(token), F.length(token) > 1
+    double = first == '"'
     if dialect is not None:
         double = double & (dialect != "mysql")
-    return double | (F.rlike(token, F.lit(r"\A[`\[]")) & (F.length(token) > 1))
+    return (double | first.isin("`", "[")) & many
+
+
+def tokens_balanced(tokens: Column) -> Column:
+    """No stray quote or unclosed comment, and brackets pair up within a statement."""
+    # A fold with two integers as its state: linear in the number of tokens.
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("lowest"))
+
+    def step(acc, token):
+        depth = acc["depth"] + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
+        broken = token.isin("'", '"', "`", "/*") | ((token == ";") & (acc["depth"] > 0))
+        low = F.when(broken, -1).otherwise(depth)
+        return F.struct(depth.alias("depth"), F.least(acc["lowest"], low).alias("lowest"))
+
+    return F.aggregate(
+        tokens, start, step, lambda acc: (acc["depth"] == 0) & (acc["lowest"] == 0)
+    )
 
 
 def normalize_sql(text: Column, dialect: Column | None = None) -> Column:
@@ -216,12 +245,15 @@ def normalize_sql(text: Column, dialect: Column | None = None) -> Column:
 
         return F.array_join(F.transform(body, canonical), "")
 
-    body = F.filter(sql_token_texts(text, dialect), lambda t: t != ";")
-    trimmed = F.trim(F.regexp_replace(text, r"\A\s++|\s++\z", ""))
-    opaque = F.upper(F.regexp_extract(trimmed, r"\A([A-Za-z]+)", 1)).isin(OPAQUE_VERBS)
-    return F.when(opaque | ~sql_well_formed(text, dialect), trimmed).otherwise(
-        bind(body, render)
+    trimmed = F.regexp_replace(text, r"\A\s++|\s++\z", "")
+    opaque = F.upper(F.regexp_extract(text, r"\A\s*([A-Za-z]+)", 1)).isin(OPAQUE_VERBS)
+    shape = bind(
+        sql_token_texts(text, dialect),
+        lambda tokens: F.when(
+            tokens_balanced(tokens), bind(F.filter(tokens, lambda t: t != ";"), render)
+        ),
     )
+    return F.when(opaque, trimmed).otherwise(F.coalesce(shape, trimmed))
 
 
 # --- Java ------------------------------------------------------------------------
