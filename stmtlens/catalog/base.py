@@ -17,7 +17,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     The given tables are single files, so one task would write all the text.
     """
-    return df.repartition(*keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def pick(number: Column, options: list) -> Column:

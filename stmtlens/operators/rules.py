@@ -60,10 +60,11 @@ def audit_tables(
     usable = queries.filter(~opaque & lx.sql_well_formed(F.col("text"), F.col("dialect")))
     if "parse_error" in queries.columns:
         usable = usable.filter(F.col("parse_error").isNull())
-    levels = st.level_rows(st.with_sections(st.sql_tokens(usable)))
+    sectioned = st.with_sections(st.sql_tokens(usable))
+    levels = st.level_rows(sectioned)
     if persist:
         levels = levels.persist(StorageLevel.MEMORY_AND_DISK)
-    sectioned = levels.filter(~F.col("delimiter"))
+        sectioned = levels.filter(~F.col("delimiter"))
     return AuditTables(
         queries=usable,
         sectioned=sectioned,

@@ -21,6 +21,16 @@ def _py_strip(text: Column) -> Column:
     return F.regexp_replace(text, r"\A\s++|\s++\z", "")
 
 
+def hash_spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows on ``keys`` into the cluster's configured number of partitions.
+
+    A fixed number on purpose: the text is about to be exploded to many times its
+    size, so the bytes shuffled here say nothing about the work to come, and adaptive
+    coalescing would pile it on a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -50,8 +60,8 @@ def split_statements(
         )
         .filter(_py_strip(F.col("_content")) != "")
         .withColumn("_ok", lx.sql_well_formed(F.col("_content"), F.col("dialect")))
-        .repartition(*keys)
     )
+    files = hash_spread(files, *keys)
     pieces = files.select(
         *keys,
         "dialect",
@@ -144,47 +154,55 @@ def sql_tokens(
     n number, s string, p parameter, else the symbol.
     """
     speech = F.col(dialect) if dialect else F.lit(DEFAULT_DIALECT)
-    pieces = (
-        queries.select(key, F.col(text).alias("_text"), speech.alias("_dialect"))
-        .repartition(key)
-        .select(
-            key,
-            "_dialect",
-            F.posexplode(lx.sql_pieces(F.col("_text"), F.col("_dialect"))).alias("_n", "_piece"),
-        )
+    pieces = hash_spread(
+        queries.select(key, F.col(text).alias("_text"), speech.alias("_dialect")), key
+    ).select(
+        key,
+        "_dialect",
+        F.posexplode(lx.sql_pieces(F.col("_text"), F.col("_dialect"))).alias("_n", "_piece"),
     )
     order = W.partitionBy(key).orderBy("_n")
     running = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     tok, d = F.col("tok"), F.col("_dialect")
+    kind = (
+        F.when(lx.is_string_literal(tok, d), "string")
+        .when(lx.is_number_literal(tok), "number")
+        .when(lx.is_quoted_name(tok, d), "quoted")
+        .when(lx.is_plain_name(tok), F.when(F.col("u").isin(lx.SQL_KEYWORDS), "word").otherwise("name"))
+        .when(F.rlike(tok, F.lit(r"\A(?:\?|%s|%\(|\$\d|@\w|:[\w#])")), "param")
+        .otherwise("symbol")
+    )
     plain = (
-        pieces.withColumn("tok", lx.strip_leading_trivia(F.col("_piece"), d))
-        .withColumn("end", F.sum(F.length("_piece")).over(running))
-        .withColumn("_nl", F.sum(_newlines(F.col("_piece"))).over(running))
+        pieces.withColumns(
+            {
+                "tok": lx.strip_leading_trivia(F.col("_piece"), d),
+                "end": F.sum(F.length("_piece")).over(running),
+                "_nl": F.sum(_newlines(F.col("_piece"))).over(running),
+            }
+        )
         .filter(tok != "")
-        .withColumn("off", F.col("end") - F.length(tok))
-        .withColumn("line", (1 + F.col("_nl") - _newlines(tok)).cast("int"))
-        .withColumn("u", F.upper(tok))
-        .withColumn(
-            "kind",
-            F.when(lx.is_string_literal(tok, d), "string")
-            .when(lx.is_number_literal(tok), "number")
-            .when(lx.is_quoted_name(tok, d), "quoted")
-            .when(lx.is_plain_name(tok), F.when(F.col("u").isin(lx.SQL_KEYWORDS), "word").otherwise("name"))
-            .when(F.rlike(tok, F.lit(r"\A(?:\?|%s|%\(|\$\d|@\w|:[\w#])")), "param")
-            .otherwise("symbol"),
+        .withColumns(
+            {
+                "off": F.col("end") - F.length(tok),
+                "line": (1 + F.col("_nl") - _newlines(tok)).cast("int"),
+                "u": F.upper(tok),
+            }
         )
+        .withColumn("kind", kind)
     )
     opens, closes = (tok == "(").cast("int"), (tok == ")").cast("int")
-    full = (
-        plain.withColumn("pos", F.row_number().over(order))
-        .withColumn("depth", F.sum(opens - closes).over(running) - opens)
-        .withColumn("n1", F.lead("u", 1).over(order))
-        .withColumn("n2", F.lead("u", 2).over(order))
-        .withColumn("k1", F.lead("kind", 1).over(order))
-        .withColumn("k3", F.lead("kind", 3).over(order))
-        .withColumn("n4", F.lead("u", 4).over(order))
-        .withColumn("p1", F.lag("u", 1).over(order))
-        .withColumn("p2", F.lag("u", 2).over(order))
+    full = plain.withColumns(
+        {
+            "pos": F.row_number().over(order),
+            "depth": F.sum(opens - closes).over(running) - opens,
+            "n1": F.lead("u", 1).over(order),
+            "n2": F.lead("u", 2).over(order),
+            "n4": F.lead("u", 4).over(order),
+            "k1": F.lead("kind", 1).over(order),
+            "k3": F.lead("kind", 3).over(order),
+            "p1": F.lag("u", 1).over(order),
+            "p2": F.lag("u", 2).over(order),
+        }
     )
     calls = F.coalesce(F.col("n1") == "(", F.lit(False))
     code = (
@@ -218,9 +236,12 @@ def with_sections(tokens: DataFrame, key: str = "qid") -> DataFrame:
         (F.col("p1") == "OUTER") & F.col("p2").isin(sides), F.lit(False)
     )
     joins = (F.col("depth") == 0) & (F.col("u") == "JOIN")
-    return tokens.withColumn(
-        "section", F.last(F.when(opener, F.col("u")), ignorenulls=True).over(running)
-    ).withColumn("outer_join", F.last(F.when(joins, outer), ignorenulls=True).over(running))
+    return tokens.withColumns(
+        {
+            "section": F.last(F.when(opener, F.col("u")), ignorenulls=True).over(running),
+            "outer_join": F.last(F.when(joins, outer), ignorenulls=True).over(running),
+        }
+    )
 
 
 def clause_facts(sectioned: DataFrame, key: str = "qid") -> DataFrame:
@@ -315,21 +336,27 @@ def level_rows(sectioned: DataFrame, key: str = "qid") -> DataFrame:
     # The inside of a delimiter is not part of an operand: it reads as '|'.
     rows = rows.withColumn("code", F.when(F.col("delimiter"), F.lit("|")).otherwise(F.col("code")))
     ahead = [F.coalesce(F.lead("code", i).over(order), F.lit("|")) for i in range(1, 6)]
-    return (
-        rows.withColumn("lpos", F.row_number().over(order))
-        .withColumn("ahead", F.concat(*ahead))
-        .withColumn("t1", F.lead("tok", 1).over(order))
-        .withColumn("t3", F.lead("tok", 3).over(order))
-        .withColumn("t5", F.lead("tok", 5).over(order))
-        .withColumn("off1", F.lead("off", 1).over(order))
-        # For `CAST(`: does a bare column stand right inside, before AS?
-        .withColumn("inner_bare", F.lead(_cast_of_column(), 2).over(order))
-        .withColumn("prev_end", F.lag("end", 1).over(order))
-        .withColumn("prev_u", F.lag("u", 1).over(order))
-        .withColumn("prev2_u", F.lag("u", 2).over(order))
-        .withColumn("level_last", F.max("lpos").over(W.partitionBy(key, "level")))
-        .withColumn("level_end", F.max("end").over(W.partitionBy(key, "level")))
-        .withColumn("level_columns", F.max("n_columns").over(W.partitionBy(key, "level")))
+    level = W.partitionBy(key, "level")
+    return rows.withColumns(
+        {
+            "lpos": F.row_number().over(order),
+            "ahead": F.concat(*ahead),
+            "t1": F.lead("tok", 1).over(order),
+            "t3": F.lead("tok", 3).over(order),
+            "t5": F.lead("tok", 5).over(order),
+            "off1": F.lead("off", 1).over(order),
+            # For `CAST(`: does a bare column stand right inside, before AS?
+            "inner_bare": F.lead(_cast_of_column(), 2).over(order),
+            "prev_end": F.lag("end", 1).over(order),
+            "prev_u": F.lag("u", 1).over(order),
+            "prev2_u": F.lag("u", 2).over(order),
+        }
+    ).withColumns(
+        {
+            "level_last": F.max("lpos").over(level),
+            "level_end": F.max("end").over(level),
+            "level_columns": F.max("n_columns").over(level),
+        }
     )
 
 
@@ -369,56 +396,64 @@ def predicates(levels: DataFrame, key: str = "qid") -> DataFrame:
     # `x NOT IN (...)`: NOT stands between the operand and the operator, so the
     # operand starts at the mark before it.
     negated = F.col("is_op") & F.coalesce(F.col("prev_u") == "NOT", F.lit(False))
+    following = F.struct("lpos", "n_columns", "prev_end")
     both = (
-        marks.withColumn("_b1", F.lag(side, 1).over(order))
-        .withColumn("_b2", F.lag(side, 2).over(order))
-        .withColumn("_next", F.lead(F.struct("lpos", "n_columns", "prev_end", "pos", "u"), 1).over(order))
-        .withColumn("_not", F.lag("lpos", 1).over(order))
-        .withColumn("_not_end", F.lag("prev_end", 1).over(order))
-        .withColumn("_not_cols", F.lag("n_columns", 1).over(order))
+        marks.withColumns(
+            {
+                "_b1": F.lag(side, 1).over(order),
+                "_b2": F.lag(side, 2).over(order),
+                "_next": F.lead(following, 1).over(order),
+                "_not": F.lag(following, 1).over(order),
+            }
+        )
         .filter(F.col("is_op"))
-        .withColumn("negated", negated)
-        .withColumn("_start", F.when(negated, F.col("_b2")).otherwise(F.col("_b1")))
-        .withColumn("_stop", F.when(negated, F.col("_not")).otherwise(F.col("lpos")))
-        .withColumn("_stop_end", F.when(negated, F.col("_not_end")).otherwise(F.col("prev_end")))
+        .withColumns(
+            {
+                "negated": negated,
+                "_start": F.when(negated, F.col("_b2")).otherwise(F.col("_b1")),
+                "_stop": F.when(negated, F.col("_not.lpos")).otherwise(F.col("lpos")),
+                "left_hi": F.when(negated, F.col("_not.prev_end")).otherwise(F.col("prev_end")),
+                "right_hi": F.coalesce(F.col("_next.prev_end"), F.col("level_end")),
+                "right_len": F.coalesce(F.col("_next.lpos"), F.col("level_last") + 1)
+                - F.col("lpos")
+                - 1,
+                "right_has_column": F.coalesce(F.col("_next.n_columns"), F.col("level_columns"))
+                > F.col("n_columns"),
+            }
+        )
+        .withColumns(
+            {
+                # Before the first mark of a level stands nothing.
+                "left_len": F.col("_stop") - F.coalesce(F.col("_start.lpos"), F.lit(0)) - 1,
+                "left_has_column": F.col("n_columns")
+                > F.coalesce(F.col("_start.n_columns"), F.lit(0)),
+            }
+        )
     )
-    # Before the first mark of a level stands nothing; level 0 starts at the text start.
-    left_len = F.col("_stop") - F.coalesce(F.col("_start.lpos"), F.lit(0)) - 1
-    right_len = F.coalesce(F.col("_next.lpos"), F.col("level_last") + 1) - F.col("lpos") - 1
-
-    out = both.withColumn("left_len", left_len).withColumn("right_len", right_len)
-    for prefix, get in (
-        ("left", lambda c: F.col(f"_start.{c}")),
-        ("right", lambda c: F.col(c)),
-    ):
+
+    def described(prefix, get):
         n = F.col(f"{prefix}_len")
-        out = (
-            out.withColumn(f"{prefix}_ahead", get("ahead"))
-            .withColumn(
-                f"{prefix}_shape",
-                F.substring(f"{prefix}_ahead", F.lit(1), F.greatest(F.least(n, F.lit(5)), F.lit(0))),
-            )
-            .withColumn(f"{prefix}_token", get("t1"))
-            .withColumn(
-                f"{prefix}_name",
-                F.when((n == 1) & (F.col(f"{prefix}_shape") == "c"), get("t1"))
-                .when((n == 3) & (F.col(f"{prefix}_shape") == "c.c"), get("t3"))
-                .when((n == 5) & (F.col(f"{prefix}_shape") == "c.c.c"), get("t5")),
-            )
-            .withColumn(
-                f"{prefix}_qualifier",
-                F.when((n == 3) & (F.col(f"{prefix}_shape") == "c.c"), get("t1")).when(
-                    (n == 5) & (F.col(f"{prefix}_shape") == "c.c.c"), get("t3")
-                ),
-            )
-            .withColumn(f"{prefix}_inner_bare", F.coalesce(get("inner_bare"), F.lit(False)))
-            .withColumn(f"{prefix}_lo", get("off1"))
-        )
-    out = (
-        out.withColumn("left_hi", F.col("_stop_end"))
-        .withColumn("right_hi", F.coalesce(F.col("_next.prev_end"), F.col("level_end")))
-        .withColumn("left_has_column", F.col("n_columns") > F.coalesce(F.col("_start.n_columns"), F.lit(0)))
-        .withColumn("right_has_column", F.coalesce(F.col("_next.n_columns"), F.col("level_columns")) > F.col("n_columns"))
+        shape = F.substring(get("ahead"), F.lit(1), F.greatest(F.least(n, F.lit(5)), F.lit(0)))
+        bare = lambda size, codes: (n == size) & (shape == codes)
+        return {
+            f"{prefix}_ahead": get("ahead"),
+            f"{prefix}_shape": shape,
+            f"{prefix}_token": get("t1"),
+            f"{prefix}_name": F.when(bare(1, "c"), get("t1"))
+            .when(bare(3, "c.c"), get("t3"))
+            .when(bare(5, "c.c.c"), get("t5")),
+            f"{prefix}_qualifier": F.when(bare(3, "c.c"), get("t1")).when(
+                bare(5, "c.c.c"), get("t3")
+            ),
+            f"{prefix}_inner_bare": F.coalesce(get("inner_bare"), F.lit(False)),
+            f"{prefix}_lo": get("off1"),
+        }
+
+    out = both.withColumns(
+        {
+            **described("left", lambda c: F.col(f"_start.{c}")),
+            **described("right", F.col),
+        }
     )
     keep = [key, "pos", "level", "section", "outer_join", "u", "negated"]
     for prefix in ("left", "right"):
@@ -453,10 +488,11 @@ def table_aliases(levels: DataFrame, key: str = "qid") -> DataFrame:
         ),
         ignorenulls=True,
     ).over(running)
-    rows = (
-        levels.withColumn("lclause", lclause)
-        .withColumn("prev_clause", F.lag("lclause", 1).over(order))
-        .withColumn("prev2_clause", F.lag("lclause", 2).over(order))
+    rows = levels.withColumn("lclause", lclause).withColumns(
+        {
+            "prev_clause": F.lag("lclause", 1).over(order),
+            "prev2_clause": F.lag("lclause", 2).over(order),
+        }
     )
     # FROM inside EXTRACT(..), TRIM(..) or IS DISTINCT FROM introduces no table.
     from_ok = F.col("prev2_clause").isin("SELECT", "DELETE", "SET", "FROM") & ~(
@@ -480,19 +516,13 @@ def table_aliases(levels: DataFrame, key: str = "qid") -> DataFrame:
         F.when(ahead.startswith(".c.c"), 2).when(ahead.startswith(".c"), 1).otherwise(0)
     )
     found = (
-        rows.withColumn("_parts", parts)
-        .withColumn("l1", F.lead("tok", 1).over(order))
-        .withColumn("l2", F.lead("tok", 2).over(order))
-        .withColumn("l4", F.lead("tok", 4).over(order))
-        .withColumn("l6", F.lead("tok", 6).over(order))
-        .withColumn("lc1", F.lead("code", 1).over(order))
-        .withColumn("lc3", F.lead("code", 3).over(order))
-        .withColumn("lc5", F.lead("code", 5).over(order))
-        .withColumn("l3", F.lead("tok", 3).over(order))
-        .withColumn("l5", F.lead("tok", 5).over(order))
-        .withColumn("lc2", F.lead("code", 2).over(order))
-        .withColumn("lc4", F.lead("code", 4).over(order))
-        .withColumn("lc6", F.lead("code", 6).over(order))
+        rows.withColumns(
+            {
+                "_parts": parts,
+                **{f"l{i}": F.lead("tok", i).over(order) for i in range(1, 7)},
+                **{f"lc{i}": F.lead("code", i).over(order) for i in range(1, 7)},
+            }
+        )
         .filter(starts)
         # `FROM series(..)` is a call; `USING (..)` of a join is a column list.
         .filter(~((F.col("_parts") == 0) & (F.col("code") == "f") & (F.col("prev_u") != "INTO")))
