@@ -54,7 +54,7 @@ def correlation(spark, folder):
 
 def found_candidates(spark, folder):
     facts = java._facts(spark, folder)
-    return np1.candidates(java.sites_of(facts), java.lazy_of(facts)).select(
+    return np1.candidates(facts.sites, facts.lazy).select(
         "repo", "kind", "file", "line", "repository_type", "method_name", "iteration_kind", "iteration_line",
         "iterable", "element", "loop_depth", "dependency",
     )

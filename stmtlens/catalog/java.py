@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stmtlens.catalog.base import fill, pick, spread, sql_values, table
 from stmtlens.functions import derived as de
 from stmtlens.operators import java as jv
+from stmtlens.session import cut_lineage
 
 SERVICE = "src/main/java/com/acme/app/S{k}.java"
 REPOSITORY = "src/main/java/com/acme/data/OrderRepository.java"
@@ -140,8 +141,15 @@ def java_sources(spark, folder):
     ).select("repo", "_f.*")
 
 
+_BUILT: dict[tuple[str, str], jv.JavaFacts] = {}
+
+
 def _facts(spark, folder):
-    return jv.java_facts(java_sources(spark, folder))
+    """One set of fact tables per session and input, as an audit job would build them."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _BUILT:
+        _BUILT[key] = jv.JavaFacts(cut_lineage(java_sources(spark, folder)))
+    return _BUILT[key]
 
 
 def tokens(spark, folder):
@@ -238,14 +246,8 @@ _ITERATIONS = sql_values(
 )
 
 
-def sites_of(facts):
-    return jv.call_sites(
-        facts.levels, facts.types, facts.methods, facts.handles, facts.iterations, facts.repositories, facts.files
-    )
-
-
 def call_sites(spark, folder):
-    return sites_of(_facts(spark, folder)).select(
+    return _facts(spark, folder).sites.select(
         "repo", "path", "line", F.col("identifier").alias("receiver"), "repository_type", "resolution", "injection",
         "method_name", "arguments", "enclosing_type", "enclosing_method",
         F.coalesce("nesting", F.lit(0)).alias("nesting"),
@@ -279,52 +281,40 @@ _SITES = sql_values(
 
 
 def dependency(spark, folder):
-    return sites_of(_facts(spark, folder)).select(
+    return _facts(spark, folder).sites.select(
         "repo", "line", F.col("identifier").alias("receiver"), "dependency", F.col("dependency_element").alias("element")
     )
 
 
 def unresolved(spark, folder):
     facts = _facts(spark, folder)
-    return jv.unresolved_types(sites_of(facts), facts.repositories)
-
-
-def relations_of(facts):
-    return jv.entity_relations(facts.types, facts.levels, facts.variables, facts.files)
+    return jv.unresolved_types(facts.sites, facts.repositories)
 
 
 def relations(spark, folder):
     """Lazy relations, with the mapped table of their entity."""
     facts = _facts(spark, folder)
     tables = jv.entity_tables(facts.types, facts.levels, facts.files)
-    return relations_of(facts).join(tables, ["repo", "entity"], "left").select(
+    return facts.relations.join(tables, ["repo", "entity"], "left").select(
         "repo", "path", "entity", "field", "accessor", "association", "line", "table_name"
     )
 
 
-def lazy_of(facts):
-    return jv.lazy_accesses(facts.levels, facts.types, facts.methods, facts.iterations, relations_of(facts))
-
-
 def lazy(spark, folder):
-    return lazy_of(_facts(spark, folder)).select(
+    return _facts(spark, folder).lazy.select(
         "repo", "path", "line", F.col("identifier").alias("receiver"), "entity", "method_name", "field",
         "association", "enclosing_method", "nesting",
     )
 
 
-def _queries(facts):
-    return jv.java_queries(facts.files, facts.levels, facts.types)
-
-
 def annotated(spark, folder):
-    return _queries(_facts(spark, folder)).filter("symbol is null").select(
+    return _facts(spark, folder).queries.filter("symbol is null").select(
         "repo", "path", "id", "ordinal", "kind", "line", "text"
     )
 
 
 def derived(spark, folder):
-    return _queries(_facts(spark, folder)).filter("symbol is not null").select(
+    return _facts(spark, folder).queries.filter("symbol is not null").select(
         "repo", "path", "id", "ordinal", "line", "text"
     )
 
@@ -349,7 +339,7 @@ _DERIVED = sql_values(
 
 def method_query(spark, folder):
     facts = _facts(spark, folder)
-    return jv.method_queries(facts.methods, facts.types, _queries(facts), facts.repositories).select(
+    return jv.method_queries(facts.methods, facts.types, facts.queries, facts.repositories).select(
         "repo", "path", "repository_type", "name", "line", "query_id"
     )
 

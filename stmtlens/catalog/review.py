@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from stmtlens.catalog.base import pick, table
 from stmtlens.operators import review as rv
+from stmtlens.session import shared_folder
 from stmtlens.sources.sinks import write_findings
 
 _SEV = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
@@ -294,8 +294,7 @@ def disable(spark, folder):
 
 def sink(spark, folder):
     """Write all ranked findings, read them back, count per partition."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared}/stmtlens-findings-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
     write_findings(_ranked(spark, folder), path)
     return spark.read.parquet(path).groupBy("repo", "severity").agg(
         F.count("*").alias("n"), F.max("seq").alias("last_seq")

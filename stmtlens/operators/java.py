@@ -9,9 +9,8 @@ point meets only the spans of its neighbourhood, never all of its file.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,19 +150,20 @@ def java_levels(tokens: DataFrame) -> DataFrame:
     before = order.rowsBetween(W.unboundedPreceding, -1)
     tok = F.col("tok")
     ends = F.col("delim") | tok.isin(";", "{", "}")
-    later = F.struct("tok", "kind", "off", "end", "pos", "line")
+    near = F.struct("tok", "off", "end", "pos")
+    behind = F.struct("tok", "kind", "pos")
     rows = rows.withColumns(
         {
             "block": F.last(F.when(F.col("delim") & tok.isin("(", "[", "{"), F.col("pos")), ignorenulls=True).over(running),
             "block_tok": F.last(F.when(F.col("delim") & tok.isin("(", "[", "{"), tok), ignorenulls=True).over(running),
             "seg": F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)),
-            "l1": F.lead(later, 1).over(order),
-            "l2": F.lead(later, 2).over(order),
-            "l3": F.lead(later, 3).over(order),
-            "l4": F.lead(later, 4).over(order),
-            "b1": F.lag(F.struct("tok", "kind", "pos"), 1).over(order),
-            "b2": F.lag(F.struct("tok", "kind", "pos"), 2).over(order),
-            "b3": F.lag(F.struct("tok", "kind", "pos"), 3).over(order),
+            "l1": F.lead(near, 1).over(order),
+            "l2": F.lead(near, 2).over(order),
+            "l3": F.lead(F.struct("tok", "off"), 3).over(order),
+            "l4": F.lead(F.struct("off"), 4).over(order),
+            "b1": F.lag(behind, 1).over(order),
+            "b2": F.lag(behind, 2).over(order),
+            "b3": F.lag(F.struct("tok"), 3).over(order),
         }
     )
     part_of = W.partitionBy(*FILE, "level", "seg").orderBy("pos")
@@ -179,14 +179,7 @@ def java_levels(tokens: DataFrame) -> DataFrame:
         }
     )
     comma = ((tok == ",") & (F.col("angle") == 0)).cast("int")
-    # Next `;` of the level, for bodies that are one statement.
-    back = W.partitionBy(*FILE, "level").orderBy(F.col("pos").desc())
-    return rows.withColumn("part", F.sum(comma).over(inside) - comma).withColumn(
-        "semi_end",
-        F.last(F.when((tok == ";") & ~F.col("delim"), F.col("end")), ignorenulls=True).over(
-            back.rowsBetween(W.unboundedPreceding, W.currentRow)
-        ),
-    )
+    return rows.withColumn("part", F.sum(comma).over(inside) - comma)
 
 
 # --- containment ------------------------------------------------------------------------------
@@ -367,23 +360,34 @@ def java_iterations(levels: DataFrame, variables: DataFrame, files: DataFrame) -
     """
     tok = F.col("tok")
     code = levels.filter(~F.col("delim"))
+    # A body without braces ends at the next `;` of its level: merge the loops' rows with
+    # the semicolons and carry the nearest one back.
+    word = tok.isin("for", "while", "do") & (F.col("kind") == "name")
+    back = W.partitionBy(*FILE, "level").orderBy(F.col("pos").desc()).rowsBetween(
+        W.unboundedPreceding, W.currentRow
+    )
+    previous = W.partitionBy(*FILE, "level").orderBy("pos")
+    heads = (
+        code.withColumn("_prev_start", F.lag("start.tok", 1).over(previous))
+        .filter(word | (tok == ";"))
+        .withColumn("semi_end", F.last(F.when(tok == ";", F.col("end")), ignorenulls=True).over(back))
+        .filter(word)
+    )
     block_or_statement = lambda after, close: (
         F.when(F.col(f"{after}.tok") == "{", F.col(f"{after}.off") + 1).otherwise(F.col(f"{after}.off")),
         F.when(F.col(f"{after}.tok") == "{", F.col(f"{close}.off")).otherwise(F.col("semi_end")),
     )
     start_do, end_do = block_or_statement("l1", "l2")
-    dos = code.filter((tok == "do") & (F.col("kind") == "name")).select(
+    dos = heads.filter(tok == "do").select(
         *FILE, F.lit("do-while").alias("iteration_kind"), start_do.alias("start"), end_do.alias("end"),
         F.lit(None).cast("int").alias("head_pos"),
     )
     start_for, end_for = block_or_statement("l3", "l4")
     # `while` right after a `do` body belongs to it.
     closes_do = _false((F.col("b1.tok") == "}") & (F.col("b2.tok") == "{") & (F.col("b3.tok") == "do"))
-    previous = W.partitionBy(*FILE, "level").orderBy("pos")
     loops = (
-        code.withColumn("_prev_start", F.lag("start.tok", 1).over(previous))
-        .filter(
-            tok.isin("for", "while") & (F.col("kind") == "name")
+        heads.filter(
+            tok.isin("for", "while")
             & _false(F.col("l1.tok") == "(") & _false(F.col("l2.tok") == ")")
         )
         .filter((tok == "for") | ~(closes_do | _false((F.col("b1.tok") == ";") & (F.col("_prev_start") == "do"))))
@@ -794,7 +798,8 @@ def annotated_queries(files: DataFrame) -> DataFrame:
 
     The value is the first argument that is one literal, alone or after ``value =``.
     """
-    levels = java_levels(java_tokens(files, literals=True))
+    # Only files that mention the annotation are lexed with their literals.
+    levels = java_levels(java_tokens(files.filter(F.rlike("content", F.lit(r"@\s*Query\b"))), literals=True))
     tok = F.col("tok")
     heads = levels.filter(
         ~F.col("delim") & (tok == "Query") & _false(F.col("p1") == "@") & _false(F.col("l1.tok") == "(")
@@ -943,29 +948,61 @@ def import_paths(wanted: DataFrame, declared: DataFrame) -> DataFrame:
 # --- everything at once ---------------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
 class JavaFacts:
-    files: DataFrame
-    levels: DataFrame
-    types: DataFrame
-    methods: DataFrame
-    iterations: DataFrame
-    repositories: DataFrame
-    handles: DataFrame
-    variables: DataFrame
-
-
-def java_facts(files: DataFrame, persist: bool = True) -> JavaFacts:
-    """The shared tables of ``files(repo, path, content)``; the level table is kept."""
-    def keep(df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
-
-    levels = keep(java_levels(java_tokens(files)))
-    types = keep(java_types(levels))
-    methods = keep(java_methods(levels, types))
-    variables = keep(declared_variables(levels))
-    repositories = repository_closure(types)
-    return JavaFacts(
-        files, levels, types, methods, keep(java_iterations(levels, variables, files)), repositories,
-        keep(java_handles(variables, types, methods, repositories, files)), variables,
-    )
+    """The shared tables of ``files(repo, path, content)``, each written when first asked for.
+
+    Every later step reads several of them, so they are tables in the shared folder:
+    text is lexed once, and a lost executor costs no second lexing.
+    """
+
+    def __init__(self, files: DataFrame):
+        self.files = files
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        return cut_lineage(java_levels(java_tokens(self.files)))
+
+    @cached_property
+    def types(self) -> DataFrame:
+        return cut_lineage(java_types(self.levels))
+
+    @cached_property
+    def methods(self) -> DataFrame:
+        return cut_lineage(java_methods(self.levels, self.types))
+
+    @cached_property
+    def variables(self) -> DataFrame:
+        return cut_lineage(declared_variables(self.levels))
+
+    @cached_property
+    def repositories(self) -> DataFrame:
+        return repository_closure(self.types)
+
+    @cached_property
+    def iterations(self) -> DataFrame:
+        return cut_lineage(java_iterations(self.levels, self.variables, self.files))
+
+    @cached_property
+    def handles(self) -> DataFrame:
+        return cut_lineage(
+            java_handles(self.variables, self.types, self.methods, self.repositories, self.files)
+        )
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        return entity_relations(self.types, self.levels, self.variables, self.files)
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return call_sites(
+            self.levels, self.types, self.methods, self.handles, self.iterations,
+            self.repositories, self.files,
+        )
+
+    @cached_property
+    def lazy(self) -> DataFrame:
+        return lazy_accesses(self.levels, self.types, self.methods, self.iterations, self.relations)
+
+    @cached_property
+    def queries(self) -> DataFrame:
+        return cut_lineage(java_queries(self.files, self.levels, self.types))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,19 +30,32 @@ def local_session(cores: int | str = 8, name: str = "stmtlens") -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDER: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests, a laptop) a local one stands in.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _LOCAL_FOLDER:
+        _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="stmtlens-"))
+    return _LOCAL_FOLDER[0]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder the cluster names.
+    """Write ``df`` to the shared folder and read it back.
 
-    Only where no folder is configured (tests, a laptop) is a local one set.
+    One pass over ``df``, unlike an eager checkpoint, which computes it twice; lost
+    executors cost nothing, and the planner knows the real size of what it reads.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-            prefix="stmtlens-checkpoint-"
-        )
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stmtlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
