@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stmtlens.catalog import java, logs
-from stmtlens.catalog.base import pick, sql_values, table
+from stmtlens.catalog.base import pick, spread, sql_values, table
 from stmtlens.operators import nplusone as np1
 from stmtlens.operators.repeated import repeated_statements, usable_groups
 
@@ -83,7 +83,10 @@ _CANDIDATES = sql_values(
 
 def graded(spark, folder):
     """Candidates by arithmetic on line items; many share an identity."""
-    li = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    li = spread(
+        table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"),
+        "l_orderkey", "l_linenumber",
+    )
     ok, pk, ln, q = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber"), F.col("l_quantity").cast("int")
     lazy = pk % 4 == 0
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")

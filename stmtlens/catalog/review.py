@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stmtlens.catalog.base import pick, table
+from stmtlens.catalog.base import pick, spread, table
 from stmtlens.operators import review as rv
 from stmtlens.session import shared_folder
 from stmtlens.sources.sinks import write_findings
@@ -17,8 +17,11 @@ _RULES = ["missing-where", "no-limit", "select-star", "unindexed-filter", "non-s
 
 def findings(spark, folder):
     """One finding per line item, repeated where the supplier is a multiple of 7."""
-    li = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
+    li = spread(
+        table(spark, folder, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
+        ),
+        "l_orderkey", "l_linenumber",
     )
     ok, pk, sk, ln = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     copies = F.when(sk % 7 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))

@@ -366,6 +366,21 @@ SELECT repo, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'ambiguous'
        WHEN b IS NOT NULL THEN 'application.yaml' WHEN blank THEN 'src/main/resources/application.properties' END
     AS source_file
 FROM d""",
+    "changelog_scan": """
+SELECT op, path, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * cols) AS BIGINT) AS n_columns FROM (
+  SELECT op, path, cols, CASE WHEN kind = 'all' THEN n WHEN kind = 'even' AND c_custkey % 2 = 0 THEN n
+    WHEN kind = 'gone' AND c_custkey % 3 = 1 THEN n WHEN kind = 'cycle' AND c_custkey % 3 = 2 THEN n ELSE 0 END AS n
+  FROM customer, (VALUES
+    ('file', 'db/root.xml', 'all', 1, 0), ('property', 'db/root.xml', 'all', 2, 0), ('include', 'db/root.xml', 'all', 2, 0),
+    ('changeSet', 'db/root.xml', 'all', 1, 0), ('dropIndex', 'db/root.xml', 'all', 1, 0), ('dropIndex', 'db/root.xml', 'even', 1, 0),
+    ('file', 'db/a.xml', 'all', 1, 0), ('include', 'db/a.xml', 'cycle', 1, 0), ('changeSet', 'db/a.xml', 'all', 1, 0),
+    ('createTable', 'db/a.xml', 'all', 1, 3), ('createIndex', 'db/a.xml', 'all', 1, 2), ('createIndex', 'db/a.xml', 'all', 1, 1),
+    ('addUniqueConstraint', 'db/a.xml', 'all', 1, 2), ('dropIndex', 'db/a.xml', 'all', 1, 0),
+    ('file', 'db/sub/b.xml', 'all', 1, 0), ('include', 'db/sub/b.xml', 'all', 1, 0), ('include', 'db/sub/b.xml', 'gone', 1, 0),
+    ('changeSet', 'db/sub/b.xml', 'all', 1, 0), ('addColumn', 'db/sub/b.xml', 'all', 1, 1), ('createTable', 'db/sub/b.xml', 'all', 1, 1),
+    ('file', 'legacy/other-ChangeLog.xml', 'even', 1, 0), ('changeSet', 'legacy/other-ChangeLog.xml', 'even', 1, 0),
+    ('file', 'pom.xml', 'all', 1, 0), ('file', 'broken.xml', 'all', 1, 0)) x(op, path, kind, n, cols))
+GROUP BY op, path""",
     "include_order": """
 SELECT 'c' || c_custkey AS repo, path, order_key FROM customer, (VALUES
   ('db/root.xml', '', 0), ('db/a.xml', '1', 0), ('db/sub/b.xml', '3', 0), ('db/gone.xml', '3.1', 1))

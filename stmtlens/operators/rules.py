@@ -206,9 +206,7 @@ def rule_select_star(t: AuditTables) -> DataFrame:
 
 def _bare_columns(t: AuditTables, ops: list[str], one_sided: list[str]) -> DataFrame:
     """Bare columns of WHERE predicates, one row per column occurrence."""
-    where = t.predicates.filter((F.col("section") == "WHERE") & F.col("u").isin(ops)).join(
-        t.facts.filter("has_where").select("qid"), "qid", "left_semi"
-    )
+    where = _where_predicates(t).filter(F.col("u").isin(ops))
     left = F.struct(F.col("left_qualifier").alias("qualifier"), F.col("left_name").alias("name"))
     right = F.struct(F.col("right_qualifier").alias("qualifier"), F.col("right_name").alias("name"))
     sides = F.when(F.col("u").isin(one_sided), F.array(left)).otherwise(F.array(left, right))
@@ -265,9 +263,7 @@ def rule_unindexed_filter(t: AuditTables) -> DataFrame:
 
 
 def _where_predicates(t: AuditTables) -> DataFrame:
-    return t.predicates.filter(F.col("section") == "WHERE").join(
-        t.facts.filter("has_where").select("qid"), "qid", "left_semi"
-    )
+    return t.predicates.filter((F.col("section") == "WHERE") & F.col("owned"))
 
 
 def _column_text(prefix: str) -> Column:

@@ -132,6 +132,9 @@ _CLAUSES = (
     "UNION INTERSECT EXCEPT MINUS USING ON JOIN INTO UPDATE DELETE INSERT MERGE FOR"
 ).split()
 
+_VERBS = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE"]
+_SET_WORDS = ["UNION", "INTERSECT", "EXCEPT", "MINUS"]
+
 #: Words that end an operand (a comparison never reaches over them).
 _OPERAND_ENDS = (
     "AND OR XOR NOT WHERE ON HAVING WHEN THEN ELSE END CASE SELECT DISTINCT FROM GROUP ORDER "
@@ -225,8 +228,10 @@ def sql_tokens(
 
 
 def with_sections(tokens: DataFrame, key: str = "qid") -> DataFrame:
-    """Adds ``section``: the root clause a token stands in (subqueries included), and
-    ``outer_join``: whether the last root JOIN has a side."""
+    """Adds ``section``: the root clause a token stands in (subqueries included),
+    ``outer_join``: whether the last root JOIN has a side, and ``owned``: whether the
+    clauses are the statement's own (not those of a set operation's or an INSERT's query).
+    """
     running = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     opener = (F.col("depth") == 0) & F.col("u").isin(_CLAUSES) & (F.col("kind") == "word")
     # `IS DISTINCT FROM` compares, it opens no clause.
@@ -236,12 +241,20 @@ def with_sections(tokens: DataFrame, key: str = "qid") -> DataFrame:
         (F.col("p1") == "OUTER") & F.col("p2").isin(sides), F.lit(False)
     )
     joins = (F.col("depth") == 0) & (F.col("u") == "JOIN")
-    return tokens.withColumns(
+    whole = W.partitionBy(key)
+    root_word = (F.col("depth") == 0) & (F.col("kind") == "word")
+    own = ["SELECT", "UPDATE", "DELETE"]
+    marked = tokens.withColumns(
         {
             "section": F.last(F.when(opener, F.col("u")), ignorenulls=True).over(running),
             "outer_join": F.last(F.when(joins, outer), ignorenulls=True).over(running),
+            "_first": F.min(F.when(F.col("pos") == 1, F.col("u"))).over(whole),
+            "_main": F.min(F.when(root_word & F.col("u").isin(_VERBS), F.struct("pos", "u"))).over(whole),
+            "_set": F.max(root_word & F.col("u").isin(_SET_WORDS)).over(whole),
         }
     )
+    owned = (F.col("_first").isin(*own, "FROM") | ((F.col("_first") == "WITH") & F.col("_main.u").isin(own))) & ~F.col("_set")
+    return marked.withColumn("owned", F.coalesce(owned, F.lit(False))).drop("_first", "_main", "_set")
 
 
 def clause_facts(sectioned: DataFrame, key: str = "qid") -> DataFrame:
@@ -249,12 +262,11 @@ def clause_facts(sectioned: DataFrame, key: str = "qid") -> DataFrame:
     root = F.col("depth") == 0
     u = F.col("u")
     first = F.min_by(u, F.col("pos"))
-    verbs = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE"]
     has = lambda *words: F.bool_or(root & u.isin(*words) & (F.col("kind") == "word"))
     facts = sectioned.groupBy(key).agg(
         first.alias("_first"),
-        F.min_by(u, F.when(root & u.isin(verbs), F.col("pos"))).alias("_main"),
-        has("UNION", "INTERSECT", "EXCEPT", "MINUS").alias("is_set_operation"),
+        F.min_by(u, F.when(root & u.isin(_VERBS), F.col("pos"))).alias("_main"),
+        has(*_SET_WORDS).alias("is_set_operation"),
         has("WHERE").alias("_where"),
         (
             has("LIMIT")
@@ -455,7 +467,7 @@ def predicates(levels: DataFrame, key: str = "qid") -> DataFrame:
             **described("right", F.col),
         }
     )
-    keep = [key, "pos", "level", "section", "outer_join", "u", "negated"]
+    keep = [key, "pos", "level", "section", "owned", "outer_join", "u", "negated"]
     for prefix in ("left", "right"):
         keep += [
             f"{prefix}_{c}"
