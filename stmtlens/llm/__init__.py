@@ -1,5 +1 @@
-"""Operators for preparing training text at scale; nothing else in the package imports them.
-
-Python tasks import these modules by name, so a cluster needs the repository on its
-workers (``--py-files`` or an installed package).
-"""
+"""Operators for preparing training text at scale; nothing else in the package imports them."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_PACKAGE = "stmtlens-tasks.zip"
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package's modules to the Python workers, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if any(str(f).endswith(_PACKAGE) for f in context.listFiles):
+        return
+    top = Path(__file__).resolve().parent.parent
+    made = Path(tempfile.mkdtemp(prefix="stmtlens-")) / _PACKAGE
+    with zipfile.ZipFile(made, "w") as archive:
+        for path in sorted(top.rglob("*.py")):
+            archive.write(path, path.relative_to(top.parent))
+    context.addPyFile(str(made))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,6 +72,7 @@ def map_texts(df: DataFrame, key: str, text: str, one: Callable[[str], tuple], s
                 [batch.column(0), *(pa.array(c, type=t) for c, t in zip(columns, kinds))], names=[key, *out]
             )
 
+    ship(df.sparkSession)
     kinds = arrow_types(df.sparkSession, schema)
     key_type = df.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"`{key}` {key_type}, {schema}")

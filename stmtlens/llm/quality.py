@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlens.llm.common import WORD, map_texts, table
+from stmtlens.llm.common import WORD, map_texts, ship, table
 
 #: Marks between the entries of a menu or a trail.
 _MENU = re.compile(r"\s[|»›•·>/]+(?:\s|$)")
@@ -105,6 +105,7 @@ def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     names = docs.columns
     at = names.index(text)
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from stmtlens.llm import byte_bpe, quality, token_counts
+from stmtlens.llm import byte_bpe, line_dedup, packing, quality, sharding, simhash, token_counts
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
+    "op3_packing": packing.op3_packing,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality": quality.op5_quality,
     "op6_bpe": byte_bpe.op6_bpe,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+}
+ORACLES = {
+    "op1_sharding": sharding.OP1_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
