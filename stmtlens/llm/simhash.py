@@ -32,11 +32,22 @@ RADIUS = 3
 #: Shingles whose bits are summed at once.
 _BLOCK = 1 << 16
 
-_ONE_FLIP = "transform(sequence(0, 63), i -> shiftleft(1L, i))"
-_SAME_HALF = (
-    "flatten(transform(sequence(0, 62), i -> transform(filter(sequence(1, 63), j -> j > i and (j < 32) = (i < 32)),"
-    " j -> shiftleft(1L, i) | shiftleft(1L, j))))"
-)
+#: The bits of each half of a fingerprint: (first, last, mask).
+_HALVES = ((0, 31, 0x00000000FFFFFFFF), (32, 63, -0x100000000))
+
+
+def _literal(flips: list[int]) -> str:
+    """An SQL array of bit masks; a constant of the plan, unlike a transform of a sequence."""
+    signed = (f"{f}L" if f < 1 << 63 else f"({f - (1 << 64) + 1}L - 1L)" for f in flips)
+    return f"array({', '.join(signed)})"
+
+
+def _one_flip(first: int, last: int) -> list[int]:
+    return [1 << i for i in range(first, last + 1)]
+
+
+def _two_flips(first: int, last: int) -> list[int]:
+    return [1 << i | 1 << j for i in range(first, last) for j in range(i + 1, last + 1)]
 
 
 def fingerprint(text: str) -> int:
@@ -73,19 +84,37 @@ def hex16(fp: str | Column) -> Column:
 
 def ball_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links between the distinct fingerprints of column ``fp`` that keep its components."""
+    links = [_links_by_half(distinct, *_HALVES[1], *_HALVES[0][:2]), _links_by_half(distinct, *_HALVES[0], *_HALVES[1][:2])]
+    return links[0].union(links[1]).distinct()
+
+
+def _links_by_half(distinct: DataFrame, first: int, last: int, mask: int, low: int, high: int) -> DataFrame:
+    """The links whose two flips lie in the bits ``low`` to ``high``.
+
+    Those flips leave the other half of a variant as it is, so rows are shuffled on that half
+    (33 for a fingerprint: itself and its flips there) and make the rest of their variants after it.
+    """
     odd = F.bit_count("fp") % 2 == 1
-    flips = F.when(odd, F.expr(f"concat(array(0L), {_ONE_FLIP}, {_SAME_HALF})")).otherwise(F.expr(_ONE_FLIP))
-    variants = distinct.select("fp", F.explode(flips).alias("flip")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant")
+    one, two = _one_flip(low, high), _two_flips(low, high)
+    keyed = distinct.select("fp", F.explode(F.expr(_literal([0, *_one_flip(first, last)]))).alias("moved"))
+    keyed = keyed.select(
+        "fp", "moved", F.col("fp").bitwiseXOR(F.col("moved")).bitwiseAND(F.lit(mask)).alias("half")
+    ).repartition("half")
+    flips = (
+        F.when(F.col("moved") != 0, F.array("moved"))
+        .when(odd, F.expr(_literal([0, *one, *two])))
+        .otherwise(F.expr(_literal(one)))
+    )
+    variants = keyed.select("fp", "half", F.explode(flips).alias("flip")).select(
+        "fp", "half", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant")
     )
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("variant"))) <= 1
-    centre = F.min(F.when(near, F.col("fp"))).over(Window.partitionBy("variant"))
+    centre = F.min(F.when(near, F.col("fp"))).over(Window.partitionBy("half", "variant"))
     return (
         variants.select("fp", centre.alias("centre"))
         .filter("centre <> fp")
         .select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
         .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-        .distinct()
     )
 
 
