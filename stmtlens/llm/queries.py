@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from stmtlens.llm import byte_bpe, line_dedup, packing, quality, sharding, simhash, token_counts
+from stmtlens.llm import (
+    byte_bpe, embeddings, language_model, line_dedup, packing, quality, sharding, simhash, token_counts,
+)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,7 +12,9 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality": quality.op5_quality,
     "op6_bpe": byte_bpe.op6_bpe,
+    "op7_language_model": language_model.op7_language_model,
     "op8_simhash": simhash.op8_simhash,
+    "op9_embeddings": embeddings.op9_embeddings,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
