@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from stmtlens.llm import (
-    byte_bpe, embeddings, language_model, line_dedup, packing, quality, sharding, simhash, token_counts,
+    byte_bpe, embeddings, language_model, line_dedup, packing, pii, quality, sharding, simhash, token_counts,
 )
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_pii": pii.op2_pii,
     "op3_packing": packing.op3_packing,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality": quality.op5_quality,
@@ -16,8 +18,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_sharding": sharding.OP1_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
