@@ -298,8 +298,9 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_llm_spans")
     )
     found = written(found, "found")
+    # A merge at every size: what could be broadcast grows with the documents.
     joined = docs.withColumn("_llm_digest", _digest(F.col(text))).join(
-        found, docs[key].eqNullSafe(F.col("_llm_k")) & (F.col("_llm_digest") == F.col("_llm_d")), "left"
+        found.hint("merge"), docs[key].eqNullSafe(F.col("_llm_k")) & (F.col("_llm_digest") == F.col("_llm_d")), "left"
     )
     whole = F.col(text)
     begun = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))

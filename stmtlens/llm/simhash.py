@@ -167,7 +167,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     ).distinct()
     marked = docs.withColumn("_llm_own", digest)
     joined = marked.join(
-        keepers, marked[key].eqNullSafe(F.col("_llm_key")) & (F.col("_llm_own") == F.col("_llm_digest"))
+        keepers.hint("merge"), marked[key].eqNullSafe(F.col("_llm_key")) & (F.col("_llm_own") == F.col("_llm_digest"))
     )
     once = Window.partitionBy("_llm_key", "_llm_digest").orderBy(F.lit(0))
     return (
