@@ -263,7 +263,7 @@ def touch(spark, folder):
 
 
 def root_scoring(spark, folder):
-    scan = scan_changelogs(sc.first_xml_files(changelog_files(spark, folder)))
+    scan = scan_changelogs(sc.xml_files(changelog_files(spark, folder)))
     return sc.pick_root(sc.score_roots(scan), changelog_files(spark, folder))
 
 

@@ -217,12 +217,20 @@ def _bare_columns(t: AuditTables, ops: list[str], one_sided: list[str]) -> DataF
     )
 
 
-def schema_columns(schema: DataFrame) -> DataFrame:
-    """Schema table with folded names: ``table_key, indexed, types``."""
-    return schema.groupBy(F.lower("table_name").alias("table_key")).agg(
-        F.first(F.transform("indexed_columns", F.lower)).alias("indexed"),
-        F.first("column_types").alias("types"),
+def _with_schema(t: AuditTables, resolved: DataFrame) -> DataFrame:
+    """Resolved columns with ``table_key, indexed, types`` of their table, where it is known.
+
+    Where the queries and the schema both name a repository, a table is looked up in its own
+    only.  Should a schema list a table twice, the greatest entry counts, whatever the order.
+    """
+    scope = ["repo"] if "repo" in t.schema.columns and "repo" in t.queries.columns else []
+    if scope:
+        resolved = resolved.join(t.queries.select("qid", *scope), "qid")
+    columns = t.schema.groupBy(*scope, F.lower("table_name").alias("table_key")).agg(
+        F.max(F.transform("indexed_columns", F.lower)).alias("indexed"),
+        F.max_by("column_types", F.to_json("column_types")).alias("types"),
     )
+    return resolved.withColumn("table_key", F.lower("table_name")).join(columns, [*scope, "table_key"])
 
 
 def rule_unindexed_filter(t: AuditTables) -> DataFrame:
@@ -230,9 +238,7 @@ def rule_unindexed_filter(t: AuditTables) -> DataFrame:
         t, ["=", "<>", "!=", "<", "<=", ">", ">=", "IN", "BETWEEN"], ["IN", "BETWEEN"]
     )
     resolved = st.resolve_columns(columns, t.aliases).filter(F.col("table_name").isNotNull())
-    known = resolved.withColumn("table_key", F.lower("table_name")).join(
-        schema_columns(t.schema), "table_key"
-    )
+    known = _with_schema(t, resolved)
     name = st.unquote_name(F.col("name"))
     missing = (
         known.withColumn("column", name)
@@ -251,10 +257,10 @@ def rule_unindexed_filter(t: AuditTables) -> DataFrame:
         missing, "unindexed-filter", "HIGH", seq=F.col("pos"),
         title=_tick("Filter on `", F.col("table_name"), ".", F.col("column"), "`, which has no index"),
         explanation=_tick(
-            "No index leads with `", F.col("column"), "`. Indexed columns on `",
-            F.col("table_name"), "`: ", F.when(listed == "", "none").otherwise(listed), ".",
+            "Every row of `", F.col("table_name"), "` is read to test `", F.col("column"),
+            "`; its indexes begin with: ", F.when(listed == "", "nothing").otherwise(listed), ".",
         ),
-        suggestion=_tick("Add an index on `", F.col("table_name"), ".", F.col("column"), "` if this filter is hot."),
+        suggestion=_tick("If this statement runs often, index `", F.col("column"), "`."),
         suggestion_sql=_tick(
             "CREATE INDEX idx_", F.lower("table_name"), "_", F.lower("column"), " ON ",
             F.col("table_name"), " (", F.col("column"), ");",
@@ -378,8 +384,7 @@ def rule_implicit_cast(t: AuditTables) -> DataFrame:
     )
     resolved = st.resolve_columns(columns, t.aliases).filter(F.col("table_name").isNotNull())
     typed = (
-        resolved.withColumn("table_key", F.lower("table_name"))
-        .join(schema_columns(t.schema), "table_key")
+        _with_schema(t, resolved)
         .withColumn("_key", F.lower(st.unquote_name(F.col("name"))))
         .withColumn(
             "declared",
@@ -391,7 +396,7 @@ def rule_implicit_cast(t: AuditTables) -> DataFrame:
     return _findings(
         typed, "non-sargable", "MEDIUM", "implicit-cast", seq=F.col("pos"),
         title=_tick("Comparison on `", shown, "` requires a type conversion"),
-        explanation=_tick("`", shown, "` is declared ", F.col("declared"), " but is compared to a number."),
+        explanation=_tick("`", shown, "` holds ", F.col("declared"), " values and meets a number here, so one side is converted per row."),
         suggestion="Compare with a value of the column's own type.",
     )
 

@@ -18,8 +18,7 @@ from stmtlens.sources.changelog import ROOT_TAG
 from stmtlens.sources.config import CANDIDATE_PATHS, CHANGELOG_KEY, config_entries, yaml_changelog
 
 SCOPE = ("repo", "root")
-#: Fixed value: so many XML files of a repository are looked at for a root.
-MAX_ROOT_CANDIDATES = 200
+#: Parts of conventional names of a root file.
 _NAMING_HINTS = ("changelog", "changeset", "db-changelog", "dbchangelog")
 
 
@@ -27,13 +26,13 @@ def include_target(path: Column, value: Column, relative: Column, other_dir: Col
     return normpath(join_path(F.when(relative, dirname(path)).otherwise(other_dir), value))
 
 
-def include_order(roots: DataFrame, scan: DataFrame, max_depth: int = 1000) -> DataFrame:
+def include_order(roots: DataFrame, scan: DataFrame) -> DataFrame:
     """``repo, root, path, order_key``: every reachable file at its first visit.
 
     Breadth-first relaxation: a file keeps its smallest order key; a later, larger one
     is dropped with all that would follow from it, which also ends cycles.  Each round
     is one distributed join; only "is anything new" reaches the driver, and rounds are
-    as many as the tree is deep.  ``roots(repo, root)``.
+    as many as the tree is deep.  Keys only fall, so the rounds end by themselves.  ``roots(repo, root)``.
     """
     edges = scan.filter((F.col("op") == "include") & (F.coalesce("value", F.lit("")) != "")).select(
         "repo", "path", "item", "value", "relative"
@@ -45,7 +44,7 @@ def include_order(roots: DataFrame, scan: DataFrame, max_depth: int = 1000) -> D
         )
     )
     frontier = best
-    for _ in range(max_depth):
+    while True:
         reached = (
             frontier.join(edges, ["repo", "path"])
             .select(
@@ -70,7 +69,6 @@ def include_order(roots: DataFrame, scan: DataFrame, max_depth: int = 1000) -> D
                 F.min("order_key").alias("order_key")
             )
         )
-    raise ValueError(f"include tree deeper than {max_depth}")
 
 
 def loadable_roots(order: DataFrame, scan: DataFrame) -> DataFrame:
@@ -332,18 +330,9 @@ def discover_changelog(configs: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
-def first_xml_files(files: DataFrame, limit: int = MAX_ROOT_CANDIDATES) -> DataFrame:
-    """The first ``limit`` XML files of each repository in listed order (``seq``).
-
-    This bound is part of the search; it becomes a window group limit.
-    """
-    order = W.partitionBy("repo").orderBy("seq")
-    return (
-        files.filter(F.lower("path").endswith(".xml"))
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= limit)
-        .drop("_n")
-    )
+def xml_files(files: DataFrame) -> DataFrame:
+    """The XML files, each of which may be a root."""
+    return files.filter(F.lower("path").endswith(".xml"))
 
 
 def score_roots(scan: DataFrame) -> DataFrame:

@@ -514,7 +514,9 @@ def table_aliases(levels: DataFrame, key: str = "qid") -> DataFrame:
         ~F.col("delimiter")
         & (F.col("code").isin("c") | ((F.col("code") == "f") & (F.col("prev_u") == "INTO")))
         & (
-            F.col("prev_u").isin("JOIN", "INTO", "UPDATE", "ONLY")
+            F.col("prev_u").isin("JOIN", "INTO", "ONLY")
+            # A row lock (FOR [NO KEY] UPDATE ..) and an upsert's branch name no table.
+            | ((F.col("prev_u") == "UPDATE") & ~F.coalesce(F.col("prev2_u").isin("FOR", "KEY", "DO"), F.lit(False)))
             | ((F.col("prev_u") == "TABLE"))
             | ((F.col("prev_u") == "USING") & (F.col("prev2_clause").isin("FROM", "JOIN", "INTO")))
             | ((F.col("prev_u") == "FROM") & from_ok)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtlens.operators import diff, review, rules
@@ -29,20 +29,29 @@ def _extent(text):
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def _place(file_seq, ordinal, rule_order, seq, other) -> Column:
+    """Where a finding was raised: an order of numbers, no padded text that could be cut."""
+    names = ("file_seq", "ordinal", "rule_order", "seq")
+    parts = [F.col(c) if isinstance(c, str) else c for c in (file_seq, ordinal, rule_order, seq)]
+    return F.struct(*(p.cast("long").alias(n) for p, n in zip(parts, names)), other.cast("string").alias("other"))
+
+
 def review_changes(
     changed: DataFrame,
     heads: DataFrame,
     policy: DataFrame,
     schema: DataFrame | None = None,
     cross_findings: DataFrame | None = None,
-    max_findings: int = review.DEFAULT_MAX_FINDINGS,
+    max_findings: int | None = None,
 ) -> ReviewTables:
     """Review SQL changes.
 
     ``changed(repo, pr, seq, path, status, patch, additions, deletions)``, ``heads(repo,
     pr, path, content, dialect)``, ``policy`` as of ``layer_policy``.  ``cross_findings``
-    carry the columns of ``findings`` below.
+    carry the columns of ``findings`` below.  ``max_findings`` limits what is shown; without
+    it all is.  Findings of equal rank keep the listed order of their files.
     """
+    shown_at_most = (1 << 31) - 1 if max_findings is None else max_findings
     outcome = diff.ingest_outcome(changed, heads, KEYS)
     sources = heads.join(outcome.filter("outcome = 'source'").select(*KEYS), list(KEYS), "left_semi")
     queries = st.split_statements(sources.filter(F.lower("path").endswith(".sql")), KEYS)
@@ -51,17 +60,19 @@ def review_changes(
     )
     found = rules.run_rules(rules.audit_tables(queries, schema, persist=True)).join(
         queries.select("qid", *KEYS, "ordinal", "id", "line", _extent(F.col("text")).alias("extent")), "qid"
-    )
+    ).join(changed.select(*KEYS, F.col("seq").cast("long").alias("file_seq")), list(KEYS))
     none = F.lit(None).cast("int")
     static = found.select(
-        "repo", "pr", F.concat_ws("|", F.lpad("path", 512, " "), F.lpad(F.col("ordinal").cast("string"), 10, "0"),
-                                  F.lpad(F.col("rule_order").cast("string"), 3, "0"),
-                                  F.lpad(F.col("seq").cast("string"), 12, "0")).alias("seq"),
+        "repo", "pr", _place("file_seq", "ordinal", "rule_order", "seq", F.lit("")).alias("seq"),
         "rule_id", "severity", F.col("id").alias("query_id"), F.col("path").alias("file"), "line", "title",
         "explanation", "suggestion", "suggestion_sql", "confidence", "confidence_basis", "extent",
         none.alias("span_start"), none.alias("span_end"),
     )
-    merged = review.merge_findings(*([static] if cross_findings is None else [static, cross_findings]))
+    stages = [static]
+    if cross_findings is not None:
+        zero = F.lit(0)
+        stages.append(cross_findings.withColumn("seq", _place(zero, zero, zero, zero, F.col("seq"))))
+    merged = review.merge_findings(*stages)
     ranked = review.rank_findings(merged, order=("stage", "seq"))
     lines = diff.patch_lines(changed, KEYS).withColumnRenamed("path", "file")
     file_keys = ("repo", "pr", "file")
@@ -76,7 +87,7 @@ def review_changes(
     unchanged = scoped.groupBy("repo", "pr").agg(F.count_if(~F.col("in_scope")).alias("n_unchanged"))
     return ReviewTables(
         findings=judged,
-        shown=review.cap_findings(kept, max_findings, order=("stage", "seq")),
+        shown=review.cap_findings(kept, shown_at_most, order=("stage", "seq")),
         statuses=review.review_status(runs, judged, queries, degraded),
-        digest=review.review_digest(runs, kept, queries, degraded, unchanged, max_findings),
+        digest=review.review_digest(runs, kept, queries, degraded, unchanged, shown_at_most),
     )

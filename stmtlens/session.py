@@ -36,11 +36,15 @@ _LOCAL_FOLDER: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a local one stands in.
+    Only where that is unset and all tasks run in one process (tests, a laptop) a local one
+    stands in; on a cluster its absence is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL_FOLDER:
         _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="stmtlens-"))
     return _LOCAL_FOLDER[0]

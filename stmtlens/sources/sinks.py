@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_findings(findings: DataFrame, path: str, fmt: str = "parquet", by: str = "repo") -> None:
+def write_findings(
+    findings: DataFrame, path: str, fmt: str = "parquet", by: str = "repo", mode: str = "errorifexists"
+) -> None:
     """Write findings partitioned by repository.
 
-    Rows of one repository may fill many files: no repartitioning by the key, so a
-    repository with a third of all findings is written by many tasks.
+    Rows are rebalanced by repository first: small ones fill one file, and one with a third of
+    all findings is split over many tasks.  ``mode`` says what happens to an earlier review.
     """
-    findings.write.mode("overwrite").partitionBy(by).format(fmt).save(path)
+    findings.hint("rebalance", by).write.mode(mode).partitionBy(by).format(fmt).save(path)
