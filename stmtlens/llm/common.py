@@ -55,6 +55,17 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows whose texts a Python task holds as strings at a time.
+PART_ROWS = 1000
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, some at a time: an Arrow batch may hold ten thousand texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def map_texts(df: DataFrame, key: str, text: str, one: Callable[[str], tuple], schema: str) -> DataFrame:
     """``one(text)`` for every row, in Arrow batches: (key, *one(text)); a null text is empty.
 
@@ -65,7 +76,7 @@ def map_texts(df: DataFrame, key: str, text: str, one: Callable[[str], tuple], s
     out = df.sparkSession.createDataFrame([], schema).schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             made = [one(t) for t in batch.column(1).to_pylist()]
             columns = list(zip(*made)) if made else [[] for _ in out]
             yield pa.RecordBatch.from_arrays(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtlens.llm import elias_fano as ef
-from stmtlens.llm.common import shared_path, ship, table, written
+from stmtlens.llm.common import parts, shared_path, ship, table, written
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
@@ -191,7 +191,7 @@ def _windows(plan: Plan, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarra
 def _held(batches, least: int = HELD_TOKENS):
     """Token lists of several rows at a time: (keys, token lists), about ``least`` tokens together."""
     keys, texts, held = [], [], 0
-    for batch in batches:
+    for batch in parts(batches):
         for key, value in zip(batch.column(0), batch.column(1).to_pylist()):
             made = tokens(value)
             keys.append(key)

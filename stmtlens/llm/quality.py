@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlens.llm.common import WORD, map_texts, ship, table
+from stmtlens.llm.common import WORD, map_texts, parts, ship, table
 
 #: Marks between the entries of a menu or a trail.
 _MENU = re.compile(r"\s[|»›•·>/]+(?:\s|$)")
@@ -110,7 +110,7 @@ def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     at = names.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             made = [judge(t or "") for t in batch.column(at).to_pylist()]
             keep = pa.array([m[6] for m in made], type=pa.bool_())
             fresh = pa.array([m[-1] for m in made], type=batch.schema.field(at).type)
