@@ -189,7 +189,7 @@ def merged(spark, folder):
     told = prose(spark, folder).filter(F.col("conv_id") % 5 != 0)
     base = table(spark, folder, "conversations").select(
         "conv_id", "turn", F.lit("Fact.").alias("explanation"),
-        F.array(F.struct(F.lit("Repetition (static)").alias("label"), F.lit("x").alias("detail"))).alias("evidence"),
+        F.array(F.struct(F.lit("loop").alias("label"), F.lit("x").alias("detail"))).alias("evidence"),
         F.array(F.lit("Join it.")).alias("suggestions"),
     )
     return np1.reconcile(base, _places(spark, folder), told, ["conv_id", "turn"]).select(
@@ -280,15 +280,15 @@ LEFT JOIN m USING (repo, repository_type, method_name)""",
         AS rule_id, severity, CASE WHEN lazy THEN 'Potential N+1 from a lazy association loaded inside a loop'
           WHEN tier = 'very-high' THEN 'N+1 query pattern, corroborated by a captured statement log'
           ELSE 'Potential N+1 query pattern' END AS title,
-        CASE WHEN runtime_count IS NULL THEN 'Each iteration costs a round trip, so latency grows with the collection.'
-          ELSE format('The shape ran {:,} times in the log with {:,} distinct parameter sets, {:,} ms in all.',
+        CASE WHEN runtime_count IS NULL THEN 'Statements grow with the number of elements.'
+          ELSE format('Logged: {:,} runs, {:,} sets of values, {:,} ms.',
                runtime_count, runtime_count // 2, runtime_count * 3) END AS impact,
         iteration_line AS span_start, line AS span_end, CASE WHEN resolution = 'declared' THEN 'R.java:1' END AS query_id,
         confidence,
-        'Repetition (static)' || CASE WHEN line % 30 <> 0 THEN ',Nesting (static)' ELSE '' END
-          || CASE WHEN dependency = 'loop-element-argument' THEN ',Element dependency (static)' ELSE '' END
-          || CASE WHEN resolution = 'declared' THEN ',Query declaration (static)' ELSE '' END
-          || CASE WHEN runtime_count IS NOT NULL THEN ',Runtime (observed)' ELSE '' END || ',Confidence tier' AS evidence,
+        'loop' || CASE WHEN line % 30 <> 0 THEN ',depth' ELSE '' END
+          || CASE WHEN dependency = 'loop-element-argument' THEN ',element' ELSE '' END
+          || CASE WHEN resolution = 'declared' THEN ',declared' ELSE '' END
+          || CASE WHEN runtime_count IS NOT NULL THEN ',log' ELSE '' END || ',grade' AS evidence,
         CASE WHEN lazy THEN 1 ELSE 2 END AS n_suggestions, tier IN ('very-high', 'high') AS observed FROM best""",
     "runtime_claims": f"""
 SELECT conv_id, turn FROM conversations JOIN {_FLAGS} ON (conv_id * 7 + turn) % 8 = s WHERE claims AND conv_id % 3 <> 0""",

@@ -109,6 +109,21 @@ TEMPLATES = [
        "SELECT", "wr", (*_AB, ("o", "other")), [(*UNINDEXED, _noindex("country"))]),
     _t("INSERT INTO t{k} (id, email) SELECT id, email FROM other WHERE kind = 2", "INSERT", "",
        _AB),
+    _t("SELECT id FROM srv.db.dbo.t{k} w WHERE srv.db.dbo.t{k}.country = 'x'", "SELECT", "wr",
+       (("t{k}", "t{k}"), ("w", "t{k}")), [(*UNINDEXED, _noindex("country"))]),
+    _t("SELECT id FROM t{k} WHERE a.b.c.id::text = 'x' AND a.b.id::text = 'y'", "SELECT", "wr",
+       findings=[(*CAST, _CONV.format("a.b.c.id")), (*CAST, _CONV.format("a.b.id"))]),
+    _t("SELECT id FROM t{k} WHERE country = 'x' FOR UPDATE SKIP LOCKED", "SELECT", "wr",
+       findings=[(*UNINDEXED, _noindex("country"))]),
+    _t("SELECT id FROM t{k} WHERE country = 'x' FOR UPDATE NOWAIT", "SELECT", "wr",
+       findings=[(*UNINDEXED, _noindex("country"))]),
+    _t("SELECT id FROM t{k} WHERE id > DATE_SUB(NOW(), INTERVAL 1 DAY) AND id < date_trunc('day', DATE '2020-01-01')",
+       "SELECT", "wr"),
+    _t("SELECT id FROM t{k} WHERE id > MAKE_INTERVAL(days => 3)", "SELECT", "wr"),
+    _t("SELECT t{k}.id FROM t{k} JOIN other o ON o.d >= DATE '2020-01-01'", "SELECT", "r",
+       (*_AB, ("o", "other"))),
+    _t("SELECT id FROM t{k} WHERE LOWER(a.b.c.email) = 'q' AND id >= TIMESTAMP '2020-01-01 00:00:00'", "SELECT", "wr",
+       findings=[(*WRAP, "Filtered column is wrapped in `LOWER(...)`")]),
 ]
 N = len(TEMPLATES)
 # Columns the schema table declares for t{k}; `id` is always indexed, `country` for

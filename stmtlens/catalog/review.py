@@ -362,22 +362,14 @@ ORACLES = {
       ), k AS (SELECT *, n_queries - n_unreadable AS n_analyzed, least(n_found, 20) AS n_shown,
                  greatest(n_found - 20, 0) AS n_omitted FROM j)
       SELECT * EXCLUDE (is_degraded),
-        CASE WHEN n_queries = 0 AND is_degraded THEN 'This change could not be analyzed.'
-             WHEN n_queries = 0 THEN 'No queries were found in this change.'
-             WHEN n_analyzed = 0 THEN 'Found ' || n_queries || CASE WHEN n_queries = 1 THEN ' query' ELSE ' queries' END
-               || ', none of which could be reviewed.'
-             WHEN n_found = 0 THEN 'Reviewed ' || n_analyzed || CASE WHEN n_analyzed = 1 THEN ' query' ELSE ' queries' END
-               || ' and found no problems.'
-             ELSE 'Reviewed ' || n_analyzed || CASE WHEN n_analyzed = 1 THEN ' query' ELSE ' queries' END
-               || ' and found ' || n_found || CASE WHEN n_found = 1 THEN ' problem.' ELSE ' problems.' END
-               || CASE WHEN n_omitted = 0 THEN '' ELSE ' Showing the 20 highest-priority; ' || n_omitted
-                    || ' lower-priority ' || CASE WHEN n_omitted = 1 THEN 'finding is' ELSE 'findings are' END
-                    || ' omitted.' END END
-        || CASE WHEN n_unchanged = 0 THEN '' ELSE ' ' || n_unchanged || ' more '
-             || CASE WHEN n_unchanged = 1 THEN 'finding in code this change did not touch is'
-                     ELSE 'findings in code this change did not touch are' END || ' not shown.' END
-        || CASE WHEN is_degraded OR n_unreadable > 0
-             THEN ' **Part of this change could not be reviewed — see below.**' ELSE '' END AS headline
+        CASE WHEN n_queries = 0 AND is_degraded THEN 'Nothing readable here.'
+             WHEN n_queries = 0 THEN 'No SQL here.'
+             WHEN n_analyzed = 0 THEN n_queries || CASE WHEN n_queries = 1 THEN ' query' ELSE ' queries' END || ', all unreadable.'
+             ELSE n_analyzed || CASE WHEN n_analyzed = 1 THEN ' query' ELSE ' queries' END || ' read, '
+               || CASE n_found WHEN 0 THEN 'all fine' WHEN 1 THEN '1 finding' ELSE n_found || ' findings' END
+               || CASE WHEN n_omitted = 0 THEN '' ELSE ' (first 20 listed)' END || '.' END
+        || CASE WHEN n_unchanged = 0 THEN '' ELSE ' Outside the change: ' || n_unchanged || '.' END
+        || CASE WHEN is_degraded OR n_unreadable > 0 THEN ' Parts were not read.' ELSE '' END AS headline
       FROM k""",
     "body_budget": _FINDINGS
     + """, sized AS (

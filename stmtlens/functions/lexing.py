@@ -22,7 +22,7 @@ _TRIVIA_MYSQL = r"(?:\s++|--[^\n]*+|\#[^\n]*+|/\*[\s\S]*?\*/)"
 _NAME = r"[A-Za-z_\x{80}-\x{FFFF}][\w$\x{80}-\x{FFFF}]*+"
 _NUMBER = r"\d++(?:\.\d*+)?+(?:[eE][+-]?+\d++)?+|\.\d++(?:[eE][+-]?+\d++)?+"
 _PARAM = r":\#\{[^}]*+\}|:[A-Za-z_]\w*+|\?\d*+|%s|%\(\w++\)s|\$\d++|@\w++"
-_SYMBOL = r"<=>|<>|<=|>=|!=|\|\||::|->>|->|:=|/\*|[\s\S]"
+_SYMBOL = r"<=>|<>|<=|>=|=>|!=|\|\||::|->>|->|:=|/\*|[\s\S]"
 
 _STRING_ANSI = (
     r"[eE]'(?:[^'\\]|\\[\s\S]|'')*+'"

@@ -34,17 +34,22 @@ LAZY_BY_DEFAULT = ("OneToMany", "ManyToMany")
 EAGER_BY_DEFAULT = ("ManyToOne", "OneToOne")
 EACH_ELEMENT = ("forEach", "forEachOrdered", "forEachRemaining", "removeIf")
 EACH_STREAM_ELEMENT = (
-    "map flatMap filter peek mapToObj mapToInt mapToLong mapToDouble mapToTop anyMatch allMatch "
+    "map flatMap filter peek mapToObj mapToInt mapToLong mapToDouble anyMatch allMatch "
     "noneMatch takeWhile dropWhile sorted collect reduce"
 ).split()
+# Reserved words of the Java language specification that are no names: of its statements (chapter 14),
+# then of its expressions (chapter 15).
 CONTROL_WORDS = (
-    "if for while switch catch synchronized return new throw else do try assert case instanceof "
-    "super this break continue finally yield"
-).split()
+    "assert", "break", "case", "catch", "continue", "do", "else", "finally", "for", "if", "return",
+    "switch", "synchronized", "throw", "try", "while", "yield",
+    "instanceof", "new", "super", "this",
+)
+# Its modifiers (chapters 8 and 9): of access, then the others; "non" is the first half of non-sealed.
 MODIFIERS = (
-    "public private protected static final abstract native transient volatile strictfp "
-    "synchronized default sealed non"
-).split()
+    "private", "protected", "public",
+    "abstract", "default", "final", "native", "non", "sealed", "static", "strictfp", "synchronized",
+    "transient", "volatile",
+)
 TYPE_WORDS = ("class", "interface", "enum", "record")
 
 

@@ -257,10 +257,10 @@ def rule_unindexed_filter(t: AuditTables) -> DataFrame:
         missing, "unindexed-filter", "HIGH", seq=F.col("pos"),
         title=_tick("Filter on `", F.col("table_name"), ".", F.col("column"), "`, which has no index"),
         explanation=_tick(
-            "Every row of `", F.col("table_name"), "` is read to test `", F.col("column"),
-            "`; its indexes begin with: ", F.when(listed == "", "nothing").otherwise(listed), ".",
+            "`", F.col("column"), "` leads no index of `", F.col("table_name"), "` (leading columns: ",
+            F.when(listed == "", "none").otherwise(listed), ").",
         ),
-        suggestion=_tick("If this statement runs often, index `", F.col("column"), "`."),
+        suggestion=_tick("An index on `", F.col("column"), "` would serve it."),
         suggestion_sql=_tick(
             "CREATE INDEX idx_", F.lower("table_name"), "_", F.lower("column"), " ON ",
             F.col("table_name"), " (", F.col("column"), ");",
@@ -346,12 +346,19 @@ def rule_wrapped_column(t: AuditTables) -> DataFrame:
     )
 
 
+_PART = r"(?:[A-Za-z_\x{80}-\x{FFFF}][\w$\x{80}-\x{FFFF}]*+|\"[^\"]*+\"|`[^`]*+`|\[[^\]]*+\])"
+#: A name of any number of parts, then a cast.
+_CAST_NAME = rf"\A{_PART}(?:\s*+\.\s*+{_PART})*+\s*+::"
+
+
 def rule_explicit_cast(t: AuditTables) -> DataFrame:
+    # Names of three parts and more reach beyond the codes ahead; their text decides below.
     prefix = (F.col("len") >= 3) & F.col("ahead").startswith("ct") | (
         (F.col("len") >= 5) & F.col("ahead").startswith("c.ct")
     )
+    long = (F.col("len") >= 7) & F.col("ahead").startswith("c.c.c")
     casts = _sides(t).filter(
-        ((F.col("len") == 3) & (F.col("shape") == "x()") & F.col("inner_bare")) | prefix
+        ((F.col("len") == 3) & (F.col("shape") == "x()") & F.col("inner_bare")) | prefix | long
     )
     column = F.when(
         F.col("shape") == "x()",
@@ -362,7 +369,8 @@ def rule_explicit_cast(t: AuditTables) -> DataFrame:
             F.col("shape") == "x()", F.regexp_extract("side_text", r"\s(?i:as)\s+(.*?)\s*\)\z", 1)
         ).otherwise(F.trim(F.regexp_extract("side_text", r"::\s*(.*)\z", 1)))
     )
-    shown = _with_side_text(t, casts).withColumn("column", column).withColumn("target", target)
+    parted = ~F.col("ahead").startswith("c.c.c") | F.rlike("side_text", F.lit(_CAST_NAME))
+    shown = _with_side_text(t, casts).filter(parted).withColumn("column", column).withColumn("target", target)
     return _findings(
         shown, "non-sargable", "MEDIUM", "explicit-cast",
         seq=F.col("pos") * 2 + F.col("side"),
@@ -396,8 +404,8 @@ def rule_implicit_cast(t: AuditTables) -> DataFrame:
     return _findings(
         typed, "non-sargable", "MEDIUM", "implicit-cast", seq=F.col("pos"),
         title=_tick("Comparison on `", shown, "` requires a type conversion"),
-        explanation=_tick("`", shown, "` holds ", F.col("declared"), " values and meets a number here, so one side is converted per row."),
-        suggestion="Compare with a value of the column's own type.",
+        explanation=_tick("Text (", F.col("declared"), ") in `", shown, "` against a number."),
+        suggestion="Quote the number.",
     )
 
 

@@ -19,6 +19,7 @@ from stmtlens.sources.config import CANDIDATE_PATHS, CHANGELOG_KEY, config_entri
 
 SCOPE = ("repo", "root")
 #: Parts of conventional names of a root file.
+# Parts of names that change histories go by.
 _NAMING_HINTS = ("changelog", "changeset", "db-changelog", "dbchangelog")
 
 
@@ -158,12 +159,12 @@ def index_events(ops: DataFrame, keys: tuple[str, ...] = SCOPE) -> DataFrame:
     indexes = named.filter((F.col("op") == "createIndex") & (F.coalesce("index_name", F.lit("")) != "")).select(
         *keys, "table_name", "index_name", F.lit("create").alias("kind"), names.alias("columns"), "order_key"
     )
-    prefix = F.when(F.col("op") == "addPrimaryKey", "__pk__#").otherwise("__unique__#")
+    unnamed = F.when(F.col("op") == "addPrimaryKey", "primary key of ").otherwise("unique of ")
     constraints = named.filter(
         F.col("op").isin("addPrimaryKey", "addUniqueConstraint") & (F.coalesce("value", F.lit("")) != "")
     ).select(
         *keys, "table_name",
-        F.when(F.coalesce("index_name", F.lit("")) != "", F.col("index_name")).otherwise(F.concat(prefix, table)).alias("index_name"),
+        F.when(F.coalesce("index_name", F.lit("")) != "", F.col("index_name")).otherwise(F.concat(unnamed, table)).alias("index_name"),
         F.lit("create").alias("kind"), names.alias("columns"), "order_key",
     )
     drops = named.filter((F.col("op") == "dropIndex") & (F.coalesce("index_name", F.lit("")) != "")).select(
@@ -174,13 +175,13 @@ def index_events(ops: DataFrame, keys: tuple[str, ...] = SCOPE) -> DataFrame:
         *keys, "table_name", "order_key", "column",
         F.explode(
             F.concat(
-                F.when(F.col("pk"), F.array(F.lit("#inline_pk"))).otherwise(F.array().cast("array<string>")),
-                F.when(F.col("uniq"), F.array(F.lit("#inline_unique"))).otherwise(F.array().cast("array<string>")),
+                F.when(F.col("pk"), F.array(F.lit("primary key"))).otherwise(F.array().cast("array<string>")),
+                F.when(F.col("uniq"), F.array(F.lit("unique"))).otherwise(F.array().cast("array<string>")),
             )
-        ).alias("_suffix"),
+        ).alias("_constraint"),
     ).select(
         *keys, "table_name",
-        F.concat("table_name", F.lit("."), "column", "_suffix").alias("index_name"),
+        F.concat_ws(" ", "_constraint", "table_name", "column").alias("index_name"),
         F.lit("create").alias("kind"), F.array("column").alias("columns"), "order_key",
     )
     return (

@@ -144,6 +144,25 @@ _OPERAND_ENDS = (
 
 _COMPARISONS = ["=", "<>", "!=", "<", "<=", ">", ">=", "<=>"]
 
+#: Types that may stand before a string literal (``DATE '2020-01-01'``).
+_TYPED = ["DATE", "TIME", "TIMESTAMP", "TIMESTAMPTZ", "DATETIME", "INTERVAL"]
+#: Units of time, singular; a plural S is allowed.
+_UNIT = r"\A(?:MICROSECOND|MILLISECOND|SECOND|MINUTE|HOUR|DAY|WEEK|MONTH|QUARTER|YEAR|DECADE|CENTURY)S?\z"
+#: Calls whose first argument is a unit, not a column.
+_UNIT_CALLS = ["TIMESTAMPADD", "TIMESTAMPDIFF", "DATEADD", "DATEDIFF", "DATEPART", "DATENAME", "EXTRACT"]
+
+
+def _is_no_column() -> Column:
+    """A name that is part of a constant or a label: a literal's type, a unit, an argument's name."""
+    u = F.col("u")
+    literal = u.isin(_TYPED) & (F.col("k1") == "string")
+    length = (u == "INTERVAL") & F.col("k1").isin("string", "number", "param")
+    unit = F.rlike("u", F.lit(_UNIT)) & (
+        (F.col("p2") == "INTERVAL") | (F.col("p1") == "TO") | ((F.col("p1") == "(") & F.col("p2").isin(_UNIT_CALLS))
+    )
+    label = F.col("n1").isin("=>", ":=") & F.col("p1").isin("(", ",")
+    return F.coalesce((F.col("kind") != "quoted") & (literal | length | unit), F.lit(False)) | F.coalesce(label, F.lit(False))
+
 
 def sql_tokens(
     queries: DataFrame, key: str = "qid", text: str = "text", dialect: str | None = "dialect"
@@ -215,7 +234,7 @@ def sql_tokens(
         .when(F.col("u").isin("CAST", "TRY_CAST") & calls, "x")
         .when((F.col("kind") == "name") & calls, "f")
         .when(F.col("u").isin("LEFT", "RIGHT") & calls, "f")
-        .when(F.col("kind").isin("name", "quoted"), "c")
+        .when(F.col("kind").isin("name", "quoted"), F.when(_is_no_column(), "k").otherwise("c"))
         .when(F.col("kind") == "word", "k")
         .when(tok == "::", "t")
         .when(tok.isin("(", ")", ".", ",", "*"), tok)
@@ -326,9 +345,10 @@ def clause_facts(sectioned: DataFrame, key: str = "qid") -> DataFrame:
 def level_rows(sectioned: DataFrame, key: str = "qid") -> DataFrame:
     """Tokens by nesting level; each bracket also delimits the level inside it.
 
-    Every row carries the codes and texts of the next five tokens *of its level* and
-    the running number of column names over the whole statement, so that operands
-    are described by two positions and never collected.
+    Every row carries the codes of the next five tokens *of its level*, the running number
+    of column names over the whole statement and that of runs over the level, so that operands
+    are described by two positions and never collected.  A run is a name with all its
+    parts (``a.b.c``), however many, or any other single token.
     """
     column_like = (
         (F.col("code") == "c")
@@ -349,13 +369,20 @@ def level_rows(sectioned: DataFrame, key: str = "qid") -> DataFrame:
     rows = rows.withColumn("code", F.when(F.col("delimiter"), F.lit("|")).otherwise(F.col("code")))
     ahead = [F.coalesce(F.lead("code", i).over(order), F.lit("|")) for i in range(1, 6)]
     level = W.partitionBy(key, "level")
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # Delimiters and their insides never continue a name.
+    dot = (F.col("tok") == ".") & ~F.col("delimiter")
+    opens_run = ~(dot | F.coalesce(F.lag(dot, 1).over(order), F.lit(False)))
+    last = F.struct(
+        "tok", "code", F.lag("tok", 2).over(order).alias("qualifier"), F.lag("code", 2).over(order).alias("qualifier_code")
+    )
     return rows.withColumns(
         {
             "lpos": F.row_number().over(order),
             "ahead": F.concat(*ahead),
+            "opens_run": opens_run,
+            "last": last,
             "t1": F.lead("tok", 1).over(order),
-            "t3": F.lead("tok", 3).over(order),
-            "t5": F.lead("tok", 5).over(order),
             "off1": F.lead("off", 1).over(order),
             # For `CAST(`: does a bare column stand right inside, before AS?
             "inner_bare": F.lead(_cast_of_column(), 2).over(order),
@@ -363,11 +390,18 @@ def level_rows(sectioned: DataFrame, key: str = "qid") -> DataFrame:
             "prev_u": F.lag("u", 1).over(order),
             "prev2_u": F.lag("u", 2).over(order),
         }
+    ).withColumns(
+        {
+            "n_runs": F.sum(F.col("opens_run").cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)),
+            "prev_last": F.lag("last", 1).over(order),
+        }
     ).withColumns(
         {
             "level_last": F.max("lpos").over(level),
             "level_end": F.max("end").over(level),
             "level_columns": F.max("n_columns").over(level),
+            "level_runs": F.max("n_runs").over(level),
+            "level_tail": F.last("last").over(whole),
         }
     )
 
@@ -382,7 +416,7 @@ def _cast_of_column() -> Column:
     )
 
 
-_SIDE_FIELDS = ["lpos", "pos", "n_columns", "ahead", "t1", "t3", "t5", "off1", "inner_bare"]
+_SIDE_FIELDS = ["lpos", "pos", "n_columns", "n_runs", "ahead", "t1", "off1", "inner_bare"]
 
 
 def predicates(levels: DataFrame, key: str = "qid") -> DataFrame:
@@ -408,7 +442,7 @@ def predicates(levels: DataFrame, key: str = "qid") -> DataFrame:
     # `x NOT IN (...)`: NOT stands between the operand and the operator, so the
     # operand starts at the mark before it.
     negated = F.col("is_op") & F.coalesce(F.col("prev_u") == "NOT", F.lit(False))
-    following = F.struct("lpos", "n_columns", "prev_end")
+    following = F.struct("lpos", "n_columns", "n_runs", "prev_end", "prev_last")
     both = (
         marks.withColumns(
             {
@@ -435,6 +469,11 @@ def predicates(levels: DataFrame, key: str = "qid") -> DataFrame:
         )
         .withColumns(
             {
+                "left_runs": F.when(negated, F.col("_not.n_runs")).otherwise(F.col("n_runs"))
+                - F.coalesce(F.col("_start.n_runs"), F.lit(0)) - 1,
+                "left_tail": F.when(negated, F.col("_not.prev_last")).otherwise(F.col("prev_last")),
+                "right_runs": F.coalesce(F.col("_next.n_runs") - 1, F.col("level_runs")) - F.col("n_runs"),
+                "right_tail": F.when(F.col("_next.lpos").isNotNull(), F.col("_next.prev_last")).otherwise(F.col("level_tail")),
                 # Before the first mark of a level stands nothing.
                 "left_len": F.col("_stop") - F.coalesce(F.col("_start.lpos"), F.lit(0)) - 1,
                 "left_has_column": F.col("n_columns")
@@ -446,17 +485,15 @@ def predicates(levels: DataFrame, key: str = "qid") -> DataFrame:
     def described(prefix, get):
         n = F.col(f"{prefix}_len")
         shape = F.substring(get("ahead"), F.lit(1), F.greatest(F.least(n, F.lit(5)), F.lit(0)))
-        bare = lambda size, codes: (n == size) & (shape == codes)
+        tail = F.col(f"{prefix}_tail")
+        # One name, with as many parts as it likes.
+        bare = (F.col(f"{prefix}_runs") == 1) & shape.startswith("c") & (tail["code"] == "c")
         return {
             f"{prefix}_ahead": get("ahead"),
             f"{prefix}_shape": shape,
             f"{prefix}_token": get("t1"),
-            f"{prefix}_name": F.when(bare(1, "c"), get("t1"))
-            .when(bare(3, "c.c"), get("t3"))
-            .when(bare(5, "c.c.c"), get("t5")),
-            f"{prefix}_qualifier": F.when(bare(3, "c.c"), get("t1")).when(
-                bare(5, "c.c.c"), get("t3")
-            ),
+            f"{prefix}_name": F.when(bare, tail["tok"]),
+            f"{prefix}_qualifier": F.when(bare & (n >= 3) & (tail["qualifier_code"] == "c"), tail["qualifier"]),
             f"{prefix}_inner_bare": F.coalesce(get("inner_bare"), F.lit(False)),
             f"{prefix}_lo": get("off1"),
         }
@@ -524,31 +561,24 @@ def table_aliases(levels: DataFrame, key: str = "qid") -> DataFrame:
             | ((F.col("prev_u") == "LATERAL"))
         )
     )
-    # codes ahead: table `c` then optional `.c` parts, then optional [AS] alias.
-    ahead = F.col("ahead")
-    parts = (
-        F.when(ahead.startswith(".c.c"), 2).when(ahead.startswith(".c"), 1).otherwise(0)
-    )
+    # Without the insides of names a table's row is followed by what comes after all its parts,
+    # and the token before that one is the last part: the table's own name.
+    after = {
+        "_next": F.lead(F.struct("tok", "code", "prev_last"), 1).over(order),
+        "_next2": F.lead(F.struct("tok", "code"), 2).over(order),
+    }
     found = (
-        rows.withColumns(
-            {
-                "_parts": parts,
-                **{f"l{i}": F.lead("tok", i).over(order) for i in range(1, 7)},
-                **{f"lc{i}": F.lead("code", i).over(order) for i in range(1, 7)},
-            }
-        )
-        .filter(starts)
+        rows.withColumn("_starts", starts)
+        .filter("opens_run")
+        .withColumns(after)
+        .filter("_starts")
+        .withColumn("_last", F.when(F.col("_next").isNotNull(), F.col("_next.prev_last")).otherwise(F.col("level_tail")))
         # `FROM series(..)` is a call; `USING (..)` of a join is a column list.
-        .filter(~((F.col("_parts") == 0) & (F.col("code") == "f") & (F.col("prev_u") != "INTO")))
+        .filter(~((F.col("_last.code") == "f") & (F.col("prev_u") != "INTO")))
     )
-    p = F.col("_parts")
-    name = F.when(p == 0, F.col("tok")).when(p == 1, F.col("l2")).otherwise(F.col("l4"))
-    next_tok = F.when(p == 0, F.col("l1")).when(p == 1, F.col("l3")).otherwise(F.col("l5"))
-    next_code = F.when(p == 0, F.col("lc1")).when(p == 1, F.col("lc3")).otherwise(F.col("lc5"))
-    next2_tok = F.when(p == 0, F.col("l2")).when(p == 1, F.col("l4")).otherwise(F.col("l6"))
-    next2_code = F.when(p == 0, F.col("lc2")).when(p == 1, F.col("lc4")).otherwise(F.col("lc6"))
-    alias = F.when(next_code == "c", next_tok).when(
-        (F.upper(next_tok) == "AS") & (next2_code == "c"), next2_tok
+    name, next_tok, next2_tok = F.col("_last.tok"), F.col("_next.tok"), F.col("_next2.tok")
+    alias = F.when(F.col("_next.code") == "c", next_tok).when(
+        (F.upper(next_tok) == "AS") & (F.col("_next2.code") == "c"), next2_tok
     )
     entries = found.select(
         key, "pos", unquote_name(name).alias("table_name"), unquote_name(alias).alias("_alias")

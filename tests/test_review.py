@@ -74,5 +74,5 @@ def test_review_end_to_end(spark):
     assert [(r.query_id, r.rule_id, r.blocks) for r in out.findings.collect()] == [("a.sql:2", "missing-where", True)]
     assert {r.pr: r.status for r in out.statuses.collect()} == {1: "BLOCKED", 2: "FAILED", 3: "PASS"}
     lines = {r.pr: r.headline for r in out.digest.collect()}
-    assert lines[1] == "Reviewed 4 queries and found 1 problem. 1 more finding in code this change did not touch is not shown."
-    assert lines[3] == "No queries were found in this change."
+    assert lines[1] == "4 queries read, 1 finding. Outside the change: 1."
+    assert lines[3] == "No SQL here."
