@@ -16,12 +16,8 @@ from stmtlens.sources.corpus import LANGUAGES, extension
 _HEADER = r"\A@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
-def patch_lines(files: DataFrame, keys: tuple[str, ...] = ("path",), patch: str = "patch") -> DataFrame:
-    """One row per patch line from the first hunk header on.
-
-    ``hunk`` counts headers, ``advances`` says the line exists in the head file and
-    ``head_line`` is its number there.
-    """
+def _marked_lines(files: DataFrame, keys: tuple[str, ...], patch: str) -> DataFrame:
+    """All patch lines with their kind; lines before the first header are hunk 0."""
     text = F.regexp_replace(F.col(patch), r"(?:\r\n|\n|\r)\z", "")
     exploded = hash_spread(
         files.filter(F.col(patch).isNotNull()).select(*keys, text.alias("_patch")), *keys
@@ -41,12 +37,12 @@ def patch_lines(files: DataFrame, keys: tuple[str, ...] = ("path",), patch: str
         ),
     )
     first = F.substring(raw, 1, 1)
-    marked = (
+    return (
         exploded.withColumn("is_header", F.rlike(raw, F.lit(_HEADER)))
         .withColumns(
             {
                 "hunk": F.sum(F.col("is_header").cast("int")).over(running),
-                "_header": F.last(header, ignorenulls=True).over(running),
+                "_header": header,
                 "kind": F.when(F.col("is_header"), "header")
                 .when(first == "\\", "note")
                 .when(first == "-", "removed")
@@ -57,6 +53,16 @@ def patch_lines(files: DataFrame, keys: tuple[str, ...] = ("path",), patch: str
         )
         .withColumn("advances", F.col("kind").isin("added", "context"))
     )
+
+
+def patch_lines(files: DataFrame, keys: tuple[str, ...] = ("path",), patch: str = "patch") -> DataFrame:
+    """One row per patch line from the first hunk header on.
+
+    ``hunk`` counts headers, ``advances`` says the line exists in the head file and
+    ``head_line`` is its number there.
+    """
+    order = W.partitionBy(*keys).orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    marked = _marked_lines(files, keys, patch).withColumn("_header", F.last("_header", ignorenulls=True).over(order))
     in_hunk = W.partitionBy(*keys, "hunk").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         marked.withColumn("_done", F.sum(F.col("advances").cast("int")).over(in_hunk))
@@ -108,24 +114,23 @@ def hunk_table(lines: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame
 
 def malformed_patches(files: DataFrame, keys: tuple[str, ...] = ("path",), patch: str = "patch") -> DataFrame:
     """Files whose patch contradicts itself, with the first kind of fault found."""
-    lines = patch_lines(files, keys, patch)
-    per_hunk = lines.groupBy(*keys, "hunk").agg(
-        F.bool_or(F.col("kind") == "unknown").alias("unknown"),
-        (F.sum(F.col("advances").cast("int")) != F.first("head_lines")).alias("wrong_count"),
-    )
-    faults = per_hunk.groupBy(*keys).agg(
-        F.bool_or("unknown").alias("unknown"), F.bool_or("wrong_count").alias("wrong_count")
-    )
-    headless = (
-        files.filter(F.col(patch).isNotNull() & (F.regexp_replace(patch, r"\s", "") != ""))
-        .select(*keys)
-        .join(faults.select(*keys), list(keys), "left_anti")
-        .select(*keys, F.lit("no hunk header").alias("fault"))
+    per_hunk = _marked_lines(files, keys, patch).groupBy(*keys, "hunk").agg(
+        F.bool_or((F.col("hunk") > 0) & (F.col("kind") == "unknown")).alias("unknown"),
+        ((F.col("hunk") > 0) & (F.sum(F.col("advances").cast("int")) != F.max("_header.head_lines"))).alias("wrong"),
+        F.bool_or(F.rlike("raw", F.lit(r"\S"))).alias("written"),
     )
     return (
-        faults.filter("unknown or wrong_count")
-        .select(*keys, F.when(F.col("unknown"), "unknown line").otherwise("wrong count").alias("fault"))
-        .unionByName(headless)
+        per_hunk.groupBy(*keys)
+        .agg(
+            ((F.max("hunk") == 0) & F.bool_or("written")).alias("headless"),
+            F.bool_or("unknown").alias("unknown"), F.bool_or("wrong").alias("wrong"),
+        )
+        .select(
+            *keys,
+            F.when(F.col("headless"), "no hunk header").when(F.col("unknown"), "unknown line")
+            .when(F.col("wrong"), "wrong count").alias("fault"),
+        )
+        .filter("fault is not null")
     )
 
 
