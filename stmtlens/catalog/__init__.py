@@ -6,9 +6,9 @@ computes the expected rows from the same columns and never reads the text.
 
 from __future__ import annotations
 
-from stmtlens.catalog import logs, corpus, changes, schema, java, review, access
+from stmtlens.catalog import logs, corpus, changes, schema, java, review, access, jobs
 
-_MODULES = (logs, corpus, changes, schema, java, review, access)
+_MODULES = (logs, corpus, changes, schema, java, review, access, jobs)
 
 
 def all_queries() -> dict:

@@ -835,6 +835,8 @@ def annotated_queries(files: DataFrame) -> DataFrame:
         *FILE, (F.col("off") - 1).alias("off"), "end",
         (F.col("_lit.line") + F.when(block & opening, 1).otherwise(0)).cast("int").alias("line"),
         F.when(_false(F.col("_native")), "sql").otherwise("jpql").alias("kind"), text.alias("text"),
+        # Lines of the source that the text goes on over: only a text block holds more than one.
+        F.when(block, _newlines(text)).otherwise(0).alias("extent"),
     )
 
 
@@ -862,14 +864,14 @@ def derived_methods(levels: DataFrame, types: DataFrame, annotated: DataFrame) -
 
 
 def java_queries(files: DataFrame, levels: DataFrame, types: DataFrame) -> DataFrame:
-    """All queries a Java file declares, in source order: ``id, ordinal, kind, line, symbol, text``."""
+    """All queries a Java file declares, in source order: ``id, ordinal, kind, line, symbol, text, extent``."""
     annotated = annotated_queries(files)
     none = F.lit(None).cast("string")
     rows = annotated.filter(F.col("text").isNotNull()).select(
-        *FILE, "off", "line", "kind", none.alias("symbol"), "text"
+        *FILE, "off", "line", "kind", none.alias("symbol"), "text", "extent"
     ).unionByName(
         derived_methods(levels, types, annotated).select(
-            *FILE, "off", "line", F.lit("spring_data_derived").alias("kind"), "symbol", "text"
+            *FILE, "off", "line", F.lit("spring_data_derived").alias("kind"), "symbol", "text", F.lit(0).alias("extent")
         )
     )
     order = W.partitionBy(*FILE).orderBy("off", F.col("symbol").isNotNull())

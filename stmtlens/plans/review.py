@@ -11,8 +11,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stmtlens.functions import lexing as lx
+from stmtlens.functions.paths import split_ignored
 from stmtlens.operators import diff, review, rules
 from stmtlens.operators import statements as st
+from stmtlens.operators.java import JavaFacts
+from stmtlens.plans.nplusone import nplusone_findings
+from stmtlens.session import cut_lineage
 
 KEYS = ("repo", "pr", "path")
 
@@ -36,6 +41,33 @@ def _place(file_seq, ordinal, rule_order, seq, other) -> Column:
     return F.struct(*(p.cast("long").alias(n) for p, n in zip(parts, names)), other.cast("string").alias("other"))
 
 
+_UNREADABLE = "unterminated or unbalanced text"
+
+
+def _review_key() -> Column:
+    """One value that stands for (repo, pr) where the Java operators look for a repository."""
+    return F.to_json(F.struct("repo", "pr"))
+
+
+def _java_queries(facts: JavaFacts, sources: DataFrame) -> DataFrame:
+    """The queries of Java files in the columns of the SQL files' statements."""
+    reviews = sources.select(*KEYS, "dialect", _review_key().alias("_review"))
+    found = facts.queries.withColumnRenamed("repo", "_review")
+    well = lx.sql_well_formed(F.col("text"), F.col("dialect"))
+    return found.join(reviews, ["_review", "path"]).select(
+        *KEYS, "ordinal", "line", "text", "dialect", F.when(~well, F.lit(_UNREADABLE)).alias("parse_error"), "id",
+        "kind", "extent",
+    )
+
+
+def _java_findings(facts: JavaFacts, sources: DataFrame, groups: DataFrame | None) -> DataFrame:
+    reviews = sources.select("repo", "pr", _review_key().alias("_review")).distinct()
+    if groups is not None:
+        groups = groups.join(reviews, "repo").drop("repo", "pr").withColumnRenamed("_review", "repo")
+    found = nplusone_findings(facts, groups).withColumnRenamed("repo", "_review")
+    return found.join(reviews, "_review").drop("_review")
+
+
 def review_changes(
     changed: DataFrame,
     heads: DataFrame,
@@ -43,23 +75,38 @@ def review_changes(
     schema: DataFrame | None = None,
     cross_findings: DataFrame | None = None,
     max_findings: int | None = None,
+    groups: DataFrame | None = None,
+    disabled: DataFrame | None = None,
+    ignored: DataFrame | None = None,
 ) -> ReviewTables:
-    """Review SQL changes.
+    """Review changes of SQL and Java files.
 
     ``changed(repo, pr, seq, path, status, patch, additions, deletions)``, ``heads(repo,
-    pr, path, content, dialect)``, ``policy`` as of ``layer_policy``.  ``cross_findings``
-    carry the columns of ``findings`` below.  ``max_findings`` limits what is shown; without
+    pr, path, content, dialect)``, ``policy`` as of ``layer_policy``.  ``schema`` as of
+    ``table_schema``; with a ``repo`` each repository sees its own.  ``groups`` are the
+    ``repeated_statements`` per ``repo`` and back up N+1 findings.  ``cross_findings`` carry the
+    columns of ``findings`` below.  ``disabled(repo, rule_id)`` switches rules off,
+    ``ignored(repo, pattern)`` leaves files out.  ``max_findings`` limits what is shown; without
     it all is.  Findings of equal rank keep the listed order of their files.
+
+    The ranked findings and, for Java files, their facts are written to the shared folder while
+    the plan is built, as four results read them.
     """
+    if ignored is not None:
+        changed = split_ignored(changed, ignored).filter("not ignored").drop("ignored")
     shown_at_most = (1 << 31) - 1 if max_findings is None else max_findings
     outcome = diff.ingest_outcome(changed, heads, KEYS)
     sources = heads.join(outcome.filter("outcome = 'source'").select(*KEYS), list(KEYS), "left_semi")
     queries = st.split_statements(sources.filter(F.lower("path").endswith(".sql")), KEYS)
-    queries = queries.withColumn("qid", F.to_json(F.struct(*KEYS, "ordinal"))).withColumn(
-        "kind", F.lit("raw_sql")
-    )
+    queries = queries.withColumns({"kind": F.lit("raw_sql"), "extent": _extent(F.col("text"))})
+    java = cut_lineage(sources.filter(F.lower("path").endswith(".java")))
+    facts = None
+    if not java.isEmpty():
+        facts = JavaFacts(java.select(_review_key().alias("repo"), "path", "content"))
+        queries = queries.unionByName(_java_queries(facts, java))
+    queries = queries.withColumn("qid", F.to_json(F.struct(*KEYS, "ordinal")))
     found = rules.run_rules(rules.audit_tables(queries, schema, persist=True)).join(
-        queries.select("qid", *KEYS, "ordinal", "id", "line", _extent(F.col("text")).alias("extent")), "qid"
+        queries.select("qid", *KEYS, "ordinal", "id", "line", "extent"), "qid"
     ).join(changed.select(*KEYS, F.col("seq").cast("long").alias("file_seq")), list(KEYS))
     none = F.lit(None).cast("int")
     static = found.select(
@@ -68,15 +115,20 @@ def review_changes(
         "explanation", "suggestion", "suggestion_sql", "confidence", "confidence_basis", "extent",
         none.alias("span_start"), none.alias("span_end"),
     )
-    stages = [static]
+    crossing = [] if facts is None else [_java_findings(facts, java, groups)]
     if cross_findings is not None:
-        zero = F.lit(0)
-        stages.append(cross_findings.withColumn("seq", _place(zero, zero, zero, zero, F.col("seq"))))
-    merged = review.merge_findings(*stages)
+        crossing.append(cross_findings)
+    zero = F.lit(0)
+    merged = review.merge_findings(
+        static, *(c.withColumn("seq", _place(zero, zero, zero, zero, F.col("seq"))) for c in crossing)
+    )
+    if disabled is not None:
+        merged = review.disable_rules(merged, disabled)
     ranked = review.rank_findings(merged, order=("stage", "seq"))
     lines = diff.patch_lines(changed, KEYS).withColumnRenamed("path", "file")
     file_keys = ("repo", "pr", "file")
-    scoped = diff.scope_changes(ranked, diff.change_ranges(lines, file_keys), diff.hunks(lines, file_keys))
+    # Four results read these rows; without the cut each would do all of the above again.
+    scoped = cut_lineage(diff.scope_changes(ranked, diff.change_ranges(lines, file_keys), diff.hunks(lines, file_keys)))
     kept = scoped.filter("in_scope")
     judged = review.should_block(kept, policy)
     runs = changed.select("repo", "pr").distinct()
