@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -240,6 +242,25 @@ def sql_tokens(spark, folder):
     )
 
 
+def _token_facts(text):
+    """(tokens, deepest bracket, strings, numbers) of a template, by a lexer of its own for what templates hold."""
+    text = re.sub(r"--[^\n]*", " ", text.replace("{k}", "1"))
+    found = re.findall(r"'(?:[^']|'')*'|\"[^\"]*\"|:\w+|[A-Za-z_]\w*|\d+|<>|::|=>|>=|<=|\S", text)
+    # A colon pair is no parameter: `id::text`.
+    depth = deepest = 0
+    for token in found:
+        depth -= token == ")"
+        deepest = max(deepest, depth)
+        depth += token == "("
+    return len(found), deepest, sum(t[0] == "'" for t in found), sum(t.isdigit() for t in found)
+
+
+_TOKENS = sql_values(
+    [(n, *_token_facts(t["text"].replace("::", " :: "))) for n, t in enumerate(TEMPLATES)],
+    "t, n_tokens, deepest, n_strings, n_numbers",
+)
+
+
 def mark_inferred(spark, folder):
     """Statements of odd parts are read as derived methods; every third has a confidence."""
     q = query_corpus(spark, folder).withColumn(
@@ -353,6 +374,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "sql_tokens": f"""
+SELECT p_partkey AS qid, n_tokens, deepest, n_strings, n_numbers FROM part JOIN {_TOKENS} ON p_partkey % {N} = t""",
     "source_scan": """
 SELECT CASE p_partkey % 6 WHEN 0 THEN 'db/m' || p_partkey || '.sql' WHEN 1 THEN 'db/M' || p_partkey || '.SQL'
             ELSE 'src/A' || p_partkey || '.java' END AS path,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from stmtlens.catalog.base import fill, pick, spread, sql_values, table
@@ -158,6 +160,26 @@ def tokens(spark, folder):
     )
 
 
+def _token_facts(text):
+    """(tokens, deepest bracket, line of the last token) of a file, by a lexer of its own for what the files hold."""
+    blank = lambda m: "\n" * m[0].count("\n") + " "
+    # Comments and literals go together: either may hold the other's mark.
+    text = re.sub(r'"""[\s\S]*?"""|"(?:\\.|[^"\\\n])*"|//[^\n]*|/\*[\s\S]*?\*/', blank, text.replace("{k}", "1"))
+    found = list(re.finditer(r"[A-Za-z_$][\w$]*|\d[\w.]*|->|::|--|\+\+|&&|\S", text))
+    depth = deepest = 0
+    for m in found:
+        depth -= m[0] in ")]}"
+        deepest = max(deepest, depth)
+        depth += m[0] in "([{"
+    return len(found), deepest, 1 + text.count("\n", 0, found[-1].start())
+
+
+def _token_rows():
+    rows = [(t, SERVICE, *_token_facts(_FRAME.replace("{body}", body))) for t, body in enumerate(BODIES)]
+    rest = [(REPOSITORY, _REPOSITORY), (BASES, _BASES), (ENTITY, _ENTITY)]
+    return rows + [(None, path, *_token_facts(text)) for path, text in rest]
+
+
 def types(spark, folder):
     return _facts(spark, folder).types.select(
         "repo", "path", "name", "kind", "line", F.array_join("supertypes", ",").alias("supertypes"),
@@ -503,6 +525,9 @@ _SPATH = f"replace('{SERVICE}', '{{k}}', CAST(c_custkey AS VARCHAR)) AS path"
 _T = "c_custkey % 10 = t"
 
 ORACLES = {
+    "java_tokens": _per_customer(
+        f"{_PATH}, n_tokens, deepest, last_line", sql_values(_token_rows(), "t, path, n_tokens, deepest, last_line"),
+        f"t IS NULL OR c_custkey % {len(BODIES)} = t"),
     "java_types": _per_customer(
         f"{_PATH}, replace(name, '{{k}}', CAST(c_custkey AS VARCHAR)) AS name, kind, line, supertypes, first_argument, annotations",
         _TYPES),

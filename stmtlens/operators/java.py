@@ -155,7 +155,7 @@ def java_levels(tokens: DataFrame) -> DataFrame:
     before = order.rowsBetween(W.unboundedPreceding, -1)
     tok = F.col("tok")
     ends = F.col("delim") | tok.isin(";", "{", "}")
-    near = F.struct("tok", "off", "end", "pos")
+    near = F.struct("tok", "off", "end", "pos", "line")
     behind = F.struct("tok", "kind", "pos")
     rows = rows.withColumns(
         {
@@ -164,7 +164,7 @@ def java_levels(tokens: DataFrame) -> DataFrame:
             "seg": F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)),
             "l1": F.lead(near, 1).over(order),
             "l2": F.lead(near, 2).over(order),
-            "l3": F.lead(F.struct("tok", "off"), 3).over(order),
+            "l3": F.lead(F.struct("tok", "off", "line"), 3).over(order),
             "l4": F.lead(F.struct("off"), 4).over(order),
             "b1": F.lag(behind, 1).over(order),
             "b2": F.lag(behind, 2).over(order),
@@ -384,7 +384,7 @@ def java_iterations(levels: DataFrame, variables: DataFrame, files: DataFrame) -
     )
     start_do, end_do = block_or_statement("l1", "l2")
     dos = heads.filter(tok == "do").select(
-        *FILE, F.lit("do-while").alias("iteration_kind"), start_do.alias("start"), end_do.alias("end"),
+        *FILE, F.lit("do-while").alias("iteration_kind"), start_do.alias("start"), end_do.alias("end"), F.col("l1.line").alias("line"),
         F.lit(None).cast("int").alias("head_pos"),
     )
     start_for, end_for = block_or_statement("l3", "l4")
@@ -397,7 +397,7 @@ def java_iterations(levels: DataFrame, variables: DataFrame, files: DataFrame) -
         )
         .filter((tok == "for") | ~(closes_do | _false((F.col("b1.tok") == ";") & (F.col("_prev_start") == "do"))))
         .select(
-            *FILE, tok.alias("iteration_kind"), start_for.alias("start"), end_for.alias("end"),
+            *FILE, tok.alias("iteration_kind"), start_for.alias("start"), end_for.alias("end"), F.col("l3.line").alias("line"),
             F.col("l1.pos").alias("head_pos"), F.col("l2.off").alias("head_end"),
         )
     )
@@ -419,7 +419,7 @@ def java_iterations(levels: DataFrame, variables: DataFrame, files: DataFrame) -
     )
     is_enhanced = F.col("iteration_kind") == "enhanced-for"
     shaped = enhanced.select(
-        *FILE, "iteration_kind", "start", "end",
+        *FILE, "iteration_kind", "start", "end", "line",
         F.when(is_enhanced, F.col("element")).alias("element"),
         F.when(is_enhanced, F.col("element_type")).alias("element_type"),
         F.when(is_enhanced, F.col("colon_end")).alias("text_lo"),
@@ -429,15 +429,16 @@ def java_iterations(levels: DataFrame, variables: DataFrame, files: DataFrame) -
     blank = [none("string").alias("element"), none("string").alias("element_type"),
              none("long").alias("text_lo"), none("long").alias("text_hi")]
     spans = (
-        shaped.unionByName(dos.select(*FILE, "iteration_kind", "start", "end", *blank))
+        shaped.unionByName(dos.select(*FILE, "iteration_kind", "start", "end", "line", *blank))
         .unionByName(_lambdas(levels))
         .filter(F.col("start").isNotNull() & F.col("end").isNotNull())
     )
-    before = lambda n: F.substring("content", F.lit(1), n.cast("int"))
-    return spans.join(files.select(*FILE, "content"), list(FILE)).select(
-        *FILE, "iteration_kind", "start", "end", "element", "element_type",
-        (1 + _newlines(before(F.col("start")))).cast("int").alias("line"),
-        F.when(F.col("text_lo").isNotNull(), source_text(F.col("text_lo"), F.col("text_hi"))).alias("iterable"),
+    # Only the loops over elements show a part of the text; the others meet none in this join.
+    texts = files.select(F.col("repo").alias("_repo"), F.col("path").alias("_path"), "content")
+    shows = F.when(F.col("text_lo").isNotNull(), F.col("path"))
+    return spans.join(texts, (F.col("repo") == F.col("_repo")) & (shows == F.col("_path")), "left").select(
+        *FILE, "iteration_kind", "start", "end", "element", "element_type", F.col("line").cast("int").alias("line"),
+        source_text(F.col("text_lo"), F.col("text_hi")).alias("iterable"),
     )
 
 
@@ -488,7 +489,7 @@ def _lambdas(levels: DataFrame) -> DataFrame:
             *FILE,
             F.when(F.col("method").isin(*EACH_ELEMENT), "lambda-for-each").otherwise("lambda-stream").alias("iteration_kind"),
             F.when(close_block, F.col("l1.off") + 1).otherwise(F.col("l1.off")).alias("start"),
-            F.when(close_block, F.col("l2.off")).otherwise(F.col("_stop")).alias("end"),
+            F.when(close_block, F.col("l2.off")).otherwise(F.col("_stop")).alias("end"), F.col("l1.line").alias("line"),
             F.coalesce(parameter, F.when(F.col("_parts") == 0, F.col("_inner"))).alias("element"),
             F.lit(None).cast("string").alias("element_type"),
             F.lit(None).cast("long").alias("text_lo"), F.lit(None).cast("long").alias("text_hi"),
