@@ -15,7 +15,8 @@ HEADLINE = [
     "repeated_statements", "normalize_sql", "log_scan", "statement_split", "clause_facts",
     "rule_missing_where", "rule_select_star", "rule_no_limit", "rule_unindexed_filter",
     "added_ranges", "malformed_patches", "rank_findings", "cap_findings", "review_status",
-    "index_state", "dedup_candidates", "order_summary",
+    "index_state", "dedup_candidates", "order_summary", "scope_changes", "table_schema", "review_digest",
+    "java_iterations", "call_sites", "review_job", "nplusone_job",
 ]
 
 

@@ -350,10 +350,12 @@ def level_rows(sectioned: DataFrame, key: str = "qid") -> DataFrame:
     are described by two positions and never collected.  A run is a name with all its
     parts (``a.b.c``), however many, or any other single token.
     """
+    # `EXTRACT(YEAR FROM d)`: that FROM introduces a column.
+    of_unit = (F.col("p1") == "FROM") & F.rlike("p2", F.lit(_UNIT))
     column_like = (
         (F.col("code") == "c")
         & ~F.coalesce(F.col("n1") == ".", F.lit(False))
-        & ~F.coalesce(F.col("p1").isin("AS", "::", "FROM", "JOIN", "INTO", "UPDATE"), F.lit(False))
+        & ~F.coalesce(F.col("p1").isin("AS", "::", "FROM", "JOIN", "INTO", "UPDATE") & ~F.coalesce(of_unit, F.lit(False)), F.lit(False))
     )
     running = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     counted = sectioned.withColumn("n_columns", F.sum(column_like.cast("int")).over(running))

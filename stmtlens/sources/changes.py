@@ -15,9 +15,15 @@ FILE_SCHEMA = (
 
 
 def read_changed_files(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded payload files (one JSON array each) with their origin."""
-    raw = spark.read.schema(FILE_SCHEMA).option("multiLine", "true").json(path)
-    return _shape(raw.withColumn("origin", F.col("_metadata.file_path")), ["origin"])
+    """Recorded payload files (one JSON array each) with their origin, files in listed order.
+
+    Folders like ``repo=../pr=..`` below ``path`` become the columns of the review's key.
+    """
+    raw = spark.read.option("wholetext", "true").text(path)
+    keys = [c for c in raw.columns if c != "value"]
+    return parse_changed_files(
+        raw.select(*keys, F.col("_metadata.file_path").alias("origin"), F.col("value").alias("payload"))
+    )
 
 
 def parse_changed_files(payloads: DataFrame, payload: str = "payload") -> DataFrame:

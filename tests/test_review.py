@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from stmtlens.operators import review as rv
 from stmtlens.plans.review import review_changes
 from stmtlens.sources.changes import read_changed_files
+from stmtlens.sources.corpus import read_sources
 
 
 def findings(spark, rows):
@@ -76,3 +77,23 @@ def test_review_end_to_end(spark):
     lines = {r.pr: r.headline for r in out.digest.collect()}
     assert lines[1] == "4 queries read, 1 finding. Outside the change: 1."
     assert lines[3] == "No SQL here."
+
+
+def test_payload_folders_name_the_review_and_keep_the_order(spark, tmp_path):
+    folder = tmp_path / "repo=r" / "pr=7"
+    folder.mkdir(parents=True)
+    (folder / "files.json").write_text(
+        '[{"filename": "z.sql", "status": "added", "patch": "+x"}, {"filename": "a.sql", "status": "odd"}]'
+    )
+    rows = read_changed_files(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.repo, r.pr, r.seq, r.path, r.status) for r in rows] == [
+        ("r", 7, 0, "z.sql", "added"), ("r", 7, 1, "a.sql", "modified"),
+    ]
+
+
+def test_sources_are_read_whole(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.SQL").write_text("SELECT 1;\nSELECT 2;")
+    (tmp_path / "b.md").write_text("no")
+    rows = read_sources(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.content, r.language) for r in rows] == [("a.SQL", "SELECT 1;\nSELECT 2;", ".sql")]
