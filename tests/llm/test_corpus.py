@@ -128,6 +128,20 @@ def test_line_dedup(documents, odd):
     assert line_dedup.clean_documents(odd.limit(0)).columns == odd.columns
 
 
+def test_line_dedup_removes_repeated_passages(spark):
+    long, other = (" ".join(f"{x}{i}" for i in range(51)) for x in "ab")
+    just = " ".join(f"c{i}" for i in range(50))
+    rows = [(1, f"{long}\none\n{just}", "a"), (2, f"two\n {long}", "a"), (3, f"{just}\nthree", "a"),
+            (4, "spread\nfour", "a"), (5, "spread\nfive", "b"), (6, other, "c"), (7, other, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(docs).collect()}
+    want = {i: t for i, t, _ in rows} | {2: "two", 5: "five"}
+    assert got == want
+    # A threshold above two is decided by the exact count.
+    three = {r["doc_id"]: r["text"] for r in line_dedup.remove_spread_lines(docs, 3, passages=False).collect()}
+    assert three == {i: t for i, t, _ in rows}
+
+
 def test_elias_fano(tmp_path):
     make = np.random.default_rng(1)
     for n, universe in ((0, 10), (1, 1), (5, 1000), (1000, 1200), (20000, 1 << 45), (300, 301)):
