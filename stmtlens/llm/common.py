@@ -90,7 +90,7 @@ def map_texts(df: DataFrame, key: str, text: str, one: Callable[[str], tuple], s
 
 
 def arrow_types(spark: SparkSession, schema: str) -> list[pa.DataType]:
-    known = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    known = {"bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
     return [known[f.dataType.simpleString()] for f in spark.createDataFrame([], schema).schema]
 
 

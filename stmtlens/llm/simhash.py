@@ -14,6 +14,12 @@ each of these is within the radius of all the others.  So links from one centre
 join the group without emitting its pairs, and a group holds at most 1,057 fingerprints.  Pairs
 of two-flip members need no link there: if they are within the radius, they meet elsewhere.
 Links are deduplicated and verified against the radius.
+
+A stage that removes near copies needs a wider radius.  ``keep_one`` can take fingerprints of two
+words of 64 bits, each in four blocks.  Of two words at most five bits apart, two blocks are at
+most two bits apart together, so all balls of radius one around each pair of blocks make them meet;
+most pairs that are further apart meet, too, as some pair of blocks is near.  What meets is only a
+candidate: the similarity of the texts' own five-word shingles decides.
 """
 
 from __future__ import annotations
@@ -29,6 +35,9 @@ from stmtlens.llm.common import components, map_texts, table, written
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: Words of the shingles that find candidates in the wide search, and of those that are compared.
+WIDE_SHINGLE = 2
+COMPARED_SHINGLE = 5
 #: Shingles whose bits are summed at once.
 _BLOCK = 1 << 16
 
@@ -78,6 +87,40 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return map_texts(docs, key, text, lambda value: (fingerprint(value),), "fp bigint")
 
 
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(words: list[bytes], size: int) -> list[bytes]:
+    """All runs of ``size`` words; a shorter text is one shingle, one without words none."""
+    if len(words) <= size:
+        return [b" ".join(words)] if words else []
+    return [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+
+
+def wide_print(text: str) -> tuple[int, int, int]:
+    """(hash of the words, two words of a 128-bit fingerprint)."""
+    from xxhash import xxh3_128_digest, xxh64_intdigest
+
+    words = _words(text)
+    node = xxh64_intdigest(b" ".join(words), SEED)
+    shingles = _shingles(words, WIDE_SHINGLE)
+    total = np.zeros(128, dtype=np.int64)
+    for at in range(0, len(shingles), _BLOCK):
+        hashes = b"".join(xxh3_128_digest(s, SEED) for s in shingles[at : at + _BLOCK])
+        total += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+    low, high = np.packbits(2 * total > len(shingles)).view("<i8").tolist()
+    return node - (1 << 64) * (node >> 63), low, high
+
+
+def compared_shingles(text: str) -> list[int]:
+    """The hashes of the distinct shingles that decide whether texts are similar."""
+    from xxhash import xxh64_intdigest
+
+    every = {xxh64_intdigest(s, SEED) for s in _shingles(_words(text), COMPARED_SHINGLE)}
+    return [h - (1 << 64) * (h >> 63) for h in every]
+
+
 def hex16(fp: str | Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -132,6 +175,66 @@ def near_classes(prints: DataFrame, first: Column) -> DataFrame:
     )
 
 
+def block_links(prints: DataFrame) -> DataFrame:
+    """(a, b): candidates among the rows (rep, fp, fq), each linked to the least one that it meets.
+
+    Rows are shuffled on one block (17 for each of 12 pairs of blocks: itself and its flips there)
+    and make the variants of the other block after it.  All rows of a variant's group are linked to
+    one centre, so no group emits its pairs.
+    """
+    at = lambda word, block: f"int(shiftrightunsigned({word}, {16 * block}) & 65535L)"
+    couples = [(w, i, j) for w in ("fp", "fq") for i in range(4) for j in range(i + 1, 4)]
+    blocks = ", ".join(
+        f"struct({n} as t, {at(w, i)} as moving, {at(w, j)} as other)" for n, (w, i, j) in enumerate(couples)
+    )
+    flips = ", ".join(str(f) for f in [0, *_one_flip(0, 15)])
+    keyed = prints.select("rep", F.explode(F.expr(f"array({blocks})")).alias("b")).select(
+        "rep", "b.*", F.explode(F.expr(f"array({flips})")).alias("moved")
+    )
+    keyed = keyed.select(
+        "rep", F.expr("(t << 16) | (moving ^ moved)").alias("half"),
+        F.expr("if(moved = 0, other, other | 65536)").alias("other"),
+    ).repartition("half")
+    variants = keyed.select(
+        "rep", "half", F.explode(F.expr(f"if(other >= 65536, array(0), array({flips}))")).alias("flip"), "other"
+    ).select("rep", "half", F.expr("(other & 65535) ^ flip").alias("variant"))
+    centre = F.min("rep").over(Window.partitionBy("half", "variant"))
+    return variants.select(centre.alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
+
+
+def similar_classes(prints: DataFrame, texts: DataFrame, first: Column, similarity: float) -> DataFrame:
+    """(node, first): the least ``first`` of each component of texts at least so similar.
+
+    ``prints`` holds (node, fp, fq) for every row of ``texts`` (k, d, _text); ``first`` ends with
+    the fields k and d of a row.  Nodes are distinct up to case and white space.
+    """
+    nodes = written(
+        prints.groupBy("node").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("fq").alias("fq")),
+        "nodes",
+    )
+    reps = written(nodes.groupBy("fp", "fq").agg(F.min("node").alias("rep")), "reps")
+    same = nodes.join(reps, ["fp", "fq"]).filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    pairs = written(block_links(reps).union(same), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    wanted = written(wanted.select("node", F.col("first.k").alias("wk"), F.col("first.d").alias("wd")), "wanted")
+    found = texts.join(wanted.hint("merge"), texts["k"].eqNullSafe(wanted["wk"]) & (texts["d"] == wanted["wd"]))
+    found = found.groupBy("node").agg(F.first("_text").alias("_text"))
+    sets = written(
+        map_texts(found, "node", "_text", lambda value: (compared_shingles(value),), "grams array<bigint>"), "sets"
+    )
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b"
+    )
+    shared = F.size(F.array_intersect("ga", "gb"))
+    alike = both.filter(shared >= F.lit(similarity) * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
+    roots = components(alike)
+    named = written(
+        nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named"
+    )
+    least = written(named.groupBy("root").agg(F.min("first").alias("least")), "least")
+    return written(named.join(least, "root").select("node", F.col("least").alias("first")), "classes")
+
+
 def simhash_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) for every row of ``docs``.
 
@@ -145,24 +248,32 @@ def simhash_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(classes, "fp").select(key, hex16("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float | None = None
+) -> DataFrame:
     """``docs`` with one row of each component: that of the least key, then the least text digest.
 
+    Components are those of :func:`simhash_classes`, or with ``similarity`` those of texts whose
+    five-word shingles have at least this Jaccard similarity, sought among wide fingerprints.
     Of rows alike in key and text one stays; null keys come last; all columns stay.
     """
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     # The digest is taken beside the fingerprint, so that the text is read once.
+    wide = similarity is not None
+    one, schema = (wide_print, "node bigint, fp bigint, fq bigint") if wide else (lambda value: (fingerprint(value),), "fp bigint")
     narrow = docs.select(F.struct(F.col(key).alias("k"), digest.alias("d")).alias("_row"), F.col(text).alias("_text"))
     prints = written(
         narrow.select(F.to_json("_row").alias("_id"), "_text").transform(
-            lambda df: map_texts(df, "_id", "_text", lambda value: (fingerprint(value),), "fp bigint")
+            lambda df: map_texts(df, "_id", "_text", one, schema)
         ),
         "fingerprints",
     )
     kind = docs.schema[key].dataType.simpleString()
     row = F.from_json("_id", f"k {kind}, d bigint")
     order = F.struct(row["k"].isNull().alias("n"), row["k"].alias("k"), row["d"].alias("d"))
-    keepers = near_classes(prints, order).select(
+    texts = narrow.select("_row.k", "_row.d", F.coalesce("_text", F.lit("")).alias("_text"))
+    classes = similar_classes(prints, texts, order, similarity) if wide else near_classes(prints, order)
+    keepers = classes.select(
         F.col("first.k").alias("_llm_key"), F.col("first.d").alias("_llm_digest")
     ).distinct()
     marked = docs.withColumn("_llm_own", digest)

@@ -49,6 +49,36 @@ def test_ball_links_keep_components(spark):
     assert least_roots(prints, found) == least_roots(prints, links)
 
 
+def test_near_duplicate_stage_finds_similar_texts(spark, odd):
+    pick = random.Random(11)
+    words = ["".join(pick.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows = []
+    for i in range(60):
+        base = [pick.choice(words) for _ in range(120)]
+        rows.append((10 * i, " ".join(base)))
+        near, far = list(base), list(base)
+        for at in (20, 70):  # shares 106 of 126 five-word shingles: 0.84
+            near[at] = "other"
+        for at in (20, 40, 60, 80, 100):  # 91 of 141: 0.65
+            far[at] = "other"
+        rows += [(10 * i + 1, " ".join(near)), (10 * i + 2, " ".join(far))]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, source string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    grams = {i: set(simhash.compared_shingles(t)) for i, t in rows}
+    ids = sorted(grams)
+    links = [
+        (a, b) for n, a in enumerate(ids) for b in ids[n + 1 : n + 3]
+        if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    ]
+    roots = set(least_roots(ids, links).values())
+    assert len(links) >= 60 and roots <= kept and len(kept - roots) <= 2
+    # More are further apart than the radius of op8.
+    apart = [((simhash.fingerprint(dict(rows)[a]) ^ simhash.fingerprint(dict(rows)[b])) & (2**64 - 1)).bit_count() for a, b in links]
+    assert sum(x > simhash.RADIUS for x in apart) > 40
+    assert simhash.keep_one(odd, similarity=0.8).columns == odd.columns
+    assert simhash.keep_one(odd.limit(0), similarity=0.8).count() == 0
+
+
 def slow_best_fit(items, capacity, per_source):
     bins, out = [], []
     for length, source, cluster in items:
