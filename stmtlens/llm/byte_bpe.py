@@ -2,8 +2,9 @@
 
 Long texts are cut where the split pattern must end a match whatever stands around: between
 something and white space after it, before the last white space of a longer run, and between a
-letter and a digit.  The matches, and so the ids, are those of the whole text, while the
-library's matcher never meets a text that outgrows its stack.
+letter and a digit.  A very long run of white space is a part of its own, wherever it stands.  The
+matches, and so the ids, are those of the whole text, while the library's matcher never meets a text
+that outgrows its stack.
 """
 
 from __future__ import annotations
@@ -31,12 +32,25 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
+        self.run = regex.compile(r"\s{%d,}+" % LONG)
         #: A safe cut is the place before this match.
         self.cut = regex.compile(r"(?<=\S)\s|(?<=\s)\s(?=\S)|(?<=\p{L})\p{N}|(?<=\p{N})\p{L}")
 
     def parts(self, text: str, size: int = LONG) -> list[str]:
         """``text`` cut at safe places, each part about ``size`` long where the text allows it."""
         out, at = [], 0
+        for run in self.run.finditer(text):
+            # Before something, the last white space is no part of the run's match.
+            end = run.end() - (run.end() < len(text))
+            if run.start() > at:
+                out += self._cut(text[at : run.start()], size)
+            out.append(text[run.start() : end])
+            at = end
+        return out + self._cut(text[at:], size) if at < len(text) else out
+
+    def _cut(self, text: str, size: int) -> list[str]:
+        """Parts of a text without very long runs; what it was cut from goes on at a safe place."""
+        out, at = [], 0
         while len(text) - at > size:
             found = self.cut.search(text, at + size)
             if not found:
@@ -52,7 +66,7 @@ class Encoder:
 
     def _plain(self, part: str) -> list[int]:
         if len(part) > LONG and part.isspace():
-            # One match without a following word; the library's matcher would not survive it.
+            # One match; the library's matcher would not survive it.
             return self.library._encode_single_piece(part)
         return self.library.encode_ordinary(part)
 

@@ -58,6 +58,18 @@ def test_bpe_cuts_are_safe_and_round_trip():
         assert made.decode(made.encode(text)) == text.encode()
 
 
+def test_bpe_long_white_space_is_a_part_of_its_own():
+    made = byte_bpe.encoder(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
+    for space in " \n":
+        run = space * 1_000_100
+        for text in ("w" + run, "one two" + run + "word", run + "w", "a1" + run + "," + run):
+            ids = made.encode(text)
+            assert made.decode(ids) == text.encode()
+    # Where the library bears the run, the ids are its own.
+    for text in (a + s * 70_000 + b for a in ("", "w", "a, ", "1") for s in " \n\t\u3000" for b in ("", "w", "1x", "!", "\x1c.")):
+        assert made.encode(text) == made.library.encode_ordinary(text)
+
+
 def test_bpe_odd_rows(odd):
     got = rows_of(byte_bpe.bpe_digest(odd))
     empty = hashlib.sha256(b"").hexdigest()
