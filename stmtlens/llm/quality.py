@@ -15,7 +15,7 @@ _MENU = re.compile(r"\s[|»›•·>/]+(?:\s|$)")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _WORD = re.compile(WORD)
 _END = tuple(".!?…:;\"'”’»)]。！？」』。।؟")
-#: Phrases of page furniture; a line holds one and is short, or it stays.
+#: Phrases of page furniture; a line is short and they are a good part of its words, or it stays.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy",
     "accept cookies", "use cookies", "enable javascript", "javascript is disabled", "sign in",
@@ -23,8 +23,13 @@ BOILERPLATE = (
     "skip to content", "powered by", "tous droits réservés", "politique de confidentialité",
     "alle rechte vorbehalten", "datenschutz", "impressum", "todos los derechos reservados",
     "política de privacidad", "lorem ipsum", "licensed under", "permission is hereby granted",
+    "datenschutzerklärung", "datenschutzhinweise", "datenschutzbestimmungen", "this work is licensed under",
+    "general public license", "apache license", "creative commons",
 )
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+#: Longer phrases first, as one may begin another.
+_BOILERPLATE = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(BOILERPLATE, key=len, reverse=True)))})\b")
+#: The least share of a line's words that lie in such phrases.
+FURNITURE = 0.25
 #: A document that loses more than this share of the characters in its words is rejected.
 MAX_LOST = 0.5
 
@@ -37,7 +42,7 @@ def line_fault(line: str, words: list[str]) -> str | None:
     marks = len(_MENU.findall(line))
     if marks >= 2 and len(words) <= 5 * (marks + 1):
         return "navigation"
-    if len(words) <= 30 and _BOILERPLATE.search(line.lower()):
+    if len(words) <= 30 and sum(len(x.split()) for x in _BOILERPLATE.findall(line.lower())) >= FURNITURE * len(words):
         return "boilerplate"
     if len(words) < 4 and not line.rstrip().endswith(_END):
         return "punctuation"

@@ -114,6 +114,17 @@ def test_quality_keeps_prose_and_drops_furniture(odd):
     assert quality.clean_documents(odd).columns == odd.columns
 
 
+def test_quality_boilerplate_is_words_and_most_of_a_line():
+    fault = lambda line: quality.line_fault(line, line.split())
+    for line in ("They teach design in the old town hall.", "We repaint every sign interiors people ask for.",
+                 "The news was spread more widely than before.", "It stays fresh because cookies were baked today.",
+                 "Visitors had to sign in at the desk before the morning session began."):
+        assert fault(line) is None
+    for line in ("All rights reserved.", "Please sign in to continue.", "Click here to read more about us.", "Zur Datenschutzerklärung.",
+                 "We use cookies to improve your experience.", "This work is licensed under the GNU General Public License, version 3."):
+        assert fault(line) == "boilerplate"
+
+
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
