@@ -7,8 +7,9 @@ bucket with its own (local) depth.
 One aggregate gives the bytes of every cell at a depth at which a cell is a small part of the
 limit; the coarser levels are sums of those, so the levels of the directory cost no pass over
 the documents.  Cells that are still too large (a few long documents together) are counted again
-some bits deeper, over their own rows alone, until they fit or can't be split: a single row, or
-rows whose hashes are equal.  Such a shard stays whole and is marked.
+some bits deeper, over their own rows alone, until they fit or can't be split.  Rows whose hashes
+are equal go on with the bits of a second hash, over key, text digest and a copy number, so that
+only a single row can be over the limit; such a shard is marked.
 """
 
 from __future__ import annotations
@@ -40,101 +41,137 @@ def _prefix(hashed: Column, depth: Column) -> Column:
     )
 
 
-def _cells(rows: DataFrame, depth: int) -> DataFrame:
+def _cells(rows: DataFrame, depth: int, by: list[str]) -> DataFrame:
     """Bytes and rows of each cell at ``depth``, and whether it can be split further."""
-    return rows.groupBy(_prefix(F.col("hashed"), depth).alias("cell")).agg(
+    return rows.groupBy(*by, _prefix(F.col("hashed"), depth).alias("cell")).agg(
         F.sum("bytes").alias("bytes"), F.count("*").alias("rows"), (F.min("hashed") < F.max("hashed")).alias("splits")
     )
 
 
-def _leaves(cells: DataFrame, base: int, depth: int, limit: int) -> DataFrame:
+def _leaves(cells: DataFrame, base: int, depth: int, limit: int, by: list[str]) -> DataFrame:
     """(cell, leaf depth) for the cells counted at ``depth``, whose cells at ``base`` are too large.
 
     The leaf of a cell is the first level on its path that fits; one whose own bytes are too many
     has the depth null.
     """
     levels = cells.select(
-        "cell", "bytes", F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("depth")
-    ).select("cell", "bytes", "depth", F.expr(f"shiftright(cell, {depth} - depth)").alias("node"))
-    nodes = levels.groupBy("depth", "node").agg(F.sum("bytes").alias("node_bytes"))
-    fits = levels.join(nodes, ["depth", "node"]).groupBy("cell").agg(
+        *by, "cell", "bytes", F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("depth")
+    ).select(*by, "cell", "bytes", "depth", F.expr(f"shiftright(cell, {depth} - depth)").alias("node"))
+    nodes = levels.groupBy(*by, "depth", "node").agg(F.sum("bytes").alias("node_bytes"))
+    fits = levels.join(nodes, [*by, "depth", "node"]).groupBy(*by, "cell").agg(
         F.min(F.when(F.col("node_bytes") <= limit, F.col("depth"))).alias("leaf")
     )
     return fits
 
 
-def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+def directory(rows: DataFrame, limit: int = LIMIT, by: tuple[str, ...] = ()) -> DataFrame:
     """(depth, prefix): the buckets that the rows (hashed, bytes) fill, as leaves of the directory.
 
-    Every row lies in exactly one.  A bucket at the depth ``BITS`` may be over the limit.
+    With ``by``, one directory for each value of those columns.  Every row lies in exactly one.  A bucket at the depth ``BITS`` may be over the limit.
     """
-    total = rows.agg(F.sum("bytes").alias("t")).first()["t"] or 0
+    by = list(by)
+    total = rows.groupBy(*by).agg(F.sum("bytes").alias("t")).agg(F.max("t").alias("t")).first()["t"] or 0
     base, depth = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + FINER)
     found, left = None, rows
     while True:
-        cells = written(_cells(left, depth), "cells")
-        leaves = written(_leaves(cells, base, depth, limit).join(cells, "cell"), "leaves")
+        cells = written(_cells(left, depth, by), "cells")
+        leaves = written(_leaves(cells, base, depth, limit, by).join(cells, [*by, "cell"]), "leaves")
         # What can't be split is a leaf where it parts from the others; any depth from here names it.
         done = leaves.filter(F.col("leaf").isNotNull() | ~F.col("splits")).select(
-            F.coalesce("leaf", F.lit(depth)).alias("depth"),
+            *by, F.coalesce("leaf", F.lit(depth)).alias("depth"),
             F.expr(f"shiftright(cell, {depth} - coalesce(leaf, {depth}))").alias("prefix"),
         ).distinct()
         found = done if found is None else found.union(done)
-        deeper = leaves.filter(F.col("leaf").isNull() & F.col("splits")).select("cell")
+        deeper = leaves.filter(F.col("leaf").isNull() & F.col("splits")).select(*by, "cell")
         if depth == BITS or deeper.isEmpty():
             return found
         left = written(
-            left.withColumn("cell", _prefix(F.col("hashed"), depth)).join(deeper, "cell", "left_semi").select(
-                "hashed", "bytes"
+            left.withColumn("cell", _prefix(F.col("hashed"), depth)).join(deeper, [*by, "cell"], "left_semi").select(
+                *by, "hashed", "bytes"
             ),
             "large",
         )
         base, depth = depth, min(BITS, depth + FINER)
 
 
-def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, shard, depth, shard_rows, shard_bytes, over_limit) for every row of ``docs``.
-
-    ``shard`` is the bit string of the bucket ("" if one shard holds all).  A null text has no
-    bytes, a null key is hashed as an empty text, and rows with equal keys share a shard, as no
-    hash can part them: such a bucket, and one with a single row, may be over the limit and says
-    so.  Other columns are not read; an empty table gives an empty result.
-    """
-    rows = docs.select(
-        F.col(key).alias("_id"),
-        F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"),
-        key_hash(key).alias("hashed"),
-    )
-    rows = written(rows, "rows")
-    leaves = written(directory(rows, limit), "directory")
+def _place(rows: DataFrame, limit: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with the depth and prefix of the bucket of each."""
+    leaves = written(directory(rows, limit, by), "directory")
     # Depths that occur are few; a row meets its bucket by equality on one of them.
     depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())
-    sought = rows.select(
-        "_id", "bytes", "hashed", F.explode(F.array(*[F.lit(d) for d in depths]).cast("array<int>")).alias("depth")
+    sought = rows.withColumn(
+        "depth", F.explode(F.array(*[F.lit(d) for d in depths]).cast("array<int>"))
     ).withColumn("prefix", F.expr(f"shiftright(hashed, {BITS} - depth)")) if depths else rows.withColumns(
         {"depth": F.lit(0), "prefix": F.lit(0).cast("bigint")}
     )
-    placed = written(
-        sought.join(leaves, ["depth", "prefix"]).select("_id", "bytes", "depth", "prefix"), "placed"
+    names = [*by, "depth", "prefix"]
+    return written(sought.join(leaves, names).select(*rows.columns, "depth", "prefix"), "placed")
+
+
+def _bits() -> Column:
+    return F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
+
+
+def _assign(rows: DataFrame, limit: int) -> DataFrame:
+    """(_id, bytes, copy, shard) of the rows (_id, bytes, hashed, digest, copy).
+
+    Rows without a copy number get one among those alike where a bucket's key can't split it.
+    """
+    rows = written(rows, "rows")
+    placed = _place(rows, limit).withColumn("shard", _bits())
+    large = written(
+        placed.groupBy("shard").agg(F.sum("bytes").alias("b"), F.count("*").alias("n"))
+        .filter((F.col("b") > limit) & (F.col("n") > 1)).select("shard"),
+        "large",
+    )
+    if large.isEmpty():
+        return placed.select("_id", "bytes", "copy", "shard")
+    alike = ["_id", "bytes", "digest", "copy", "shard"]
+    counted = placed.join(large, "shard", "left_semi").groupBy(*alike).agg(F.count("*").alias("n"))
+    second = F.md5(F.to_json(F.struct("_id", "digest", "copy", "nth")))
+    parted = counted.select(*alike, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth")).select(
+        *alike, F.conv(F.substring(second, 1, BITS // 4), 16, 10).cast("bigint").alias("hashed")
     )
-    sizes = placed.groupBy("depth", "prefix").agg(
-        F.count("*").alias("shard_rows"), F.sum("bytes").alias("shard_bytes")
+    parted = _place(written(parted, "parted"), limit, ("shard",))
+    return placed.join(large, "shard", "left_anti").select("_id", "bytes", "copy", "shard").union(
+        parted.select("_id", "bytes", "copy", F.concat("shard", _bits()).alias("shard"))
     )
-    name = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    return placed.join(written(sizes, "sizes"), ["depth", "prefix"]).select(
-        F.col("_id").alias(key), F.col("bytes").alias("n_bytes"), name.alias("shard"),
-        F.col("depth").cast("bigint").alias("depth"), "shard_rows", "shard_bytes",
+
+
+def _rows(docs: DataFrame, key: str, text: str, copy: Column) -> DataFrame:
+    return docs.select(
+        F.col(key).alias("_id"),
+        F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"),
+        key_hash(key).alias("hashed"), F.xxhash64(text).alias("digest"), copy.cast("bigint").alias("copy"),
+    )
+
+
+def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, shard, depth, shard_rows, shard_bytes, over_limit) for every row of ``docs``.
+
+    ``shard`` is the bit string of the bucket ("" if one shard holds all).  A null text has no
+    bytes, a null key is hashed as an empty text.  Rows with equal keys share a shard if it fits,
+    else a second hash parts them; a shard with a single row may be over the limit and says so.
+    Other columns are not read; an empty table gives an empty result.
+    """
+    placed = written(_assign(_rows(docs, key, text, F.lit(None)), limit), "assigned")
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("shard_rows"), F.sum("bytes").alias("shard_bytes"))
+    return placed.join(written(sizes, "sizes"), "shard").select(
+        F.col("_id").alias(key), F.col("bytes").alias("n_bytes"), "shard",
+        F.length("shard").cast("bigint").alias("depth"), "shard_rows", "shard_bytes",
         (F.col("shard_bytes") > limit).alias("over_limit"),
     )
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` with one folder per shard; rows with equal keys stay together."""
-    shards = assign_shards(docs, limit, key, text).select(F.col(key).alias("_llm_key"), "shard").distinct()
+    """Write ``docs`` with one folder per shard; rows are numbered in a table of the shared folder."""
+    numbered = written(docs.withColumn("_llm_row", F.monotonically_increasing_id()), "numbered")
+    shards = _assign(_rows(numbered, key, text, F.col("_llm_row")), limit).select(
+        F.col("copy").alias("_llm_row"), F.col("shard").alias("_shard")
+    )
     (
-        docs.join(shards, docs[key].eqNullSafe(shards["_llm_key"]))
-        .drop("_llm_key")
-        .withColumnRenamed("shard", "_shard")
+        numbered.join(shards, "_llm_row")
+        .drop("_llm_row")
         .repartition("_shard")
         .write.partitionBy("_shard")
         .parquet(path)

@@ -140,6 +140,23 @@ def test_sharding_against_brute_force(spark, documents, odd):
     assert sharding.assign_shards(odd.limit(0)).count() == 0
 
 
+def test_sharding_parts_rows_of_one_key(spark, tmp_path):
+    rows = [(7, "x" * 90 + str(i)) for i in range(40)] + [(None, "same" * 20)] * 40 + [(i, "y" * 50) for i in range(100, 130)]
+    rows += [(8, "z" * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sharding.assign_shards(docs, 500).collect()
+    assert sorted((r[0] or 0, r["n_bytes"]) for r in got) == sorted((i or 0, len(t)) for i, t in rows)
+    sums = Counter()
+    for r in got:
+        sums[r["shard"]] += r["n_bytes"]
+    assert all(r["shard_bytes"] == sums[r["shard"]] for r in got)
+    assert [(r["doc_id"], r["shard_rows"]) for r in got if r["over_limit"]] == [(8, 1)]
+    assert not any(a != b and b.startswith(a) for a in sums for b in sums)
+    sharding.write_shards(docs, f"{tmp_path}/out", 500)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(str, rows_of(back.select("doc_id", "text")))) == sorted(map(str, rows))
+
+
 def test_line_dedup(documents, odd):
     rows = documents.collect()
     sites, first = {}, {}
