@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from stmtlens.llm import (
-    byte_bpe, embeddings, language_model, line_dedup, packing, pii, quality, sharding, simhash, token_counts,
+    byte_bpe, embeddings, language_model, line_dedup, packing, pii, quality, resampling, sharding, simhash,
+    token_counts,
 )
 
 QUERIES = {
@@ -18,9 +19,11 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_sharding": sharding.OP1_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
