@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from stmtlens.llm import (
     byte_bpe, embeddings, language_model, line_dedup, packing, pii, quality, resampling, sharding, simhash,
-    token_counts,
+    subwords, token_counts, vector_codes,
 )
 
 QUERIES = {
@@ -20,10 +20,13 @@ QUERIES = {
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_quality_classifier": subwords.op13_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_sharding": sharding.OP1_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_importance_resampling": resampling.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
