@@ -131,8 +131,8 @@ def frequent(texts: DataFrame, longest: int = LONGEST, head: int = HEAD) -> tupl
                     if longest > 1:
                         counts[1].update(pairwise(block))
                     counts = tuple(_trimmed(c, _COUNTERS) if len(c) > 2 * _COUNTERS else c for c in counts)
-        rows = [(0, w, b"", n) for w, n in _trimmed(counts[0], head).items() if len(w) <= HEAD_BYTES]
-        rows += [(1, *p, n) for p, n in _trimmed(counts[1], head).items() if len(p[0]) + len(p[1]) <= HEAD_BYTES]
+        rows = [(0, w, b"", n) for w, n in counts[0].most_common(head) if len(w) <= HEAD_BYTES]
+        rows += [(1, *p, n) for p, n in counts[1].most_common(head) if len(p[0]) + len(p[1]) <= HEAD_BYTES]
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=["kind", "a", "b", "n"]
