@@ -220,10 +220,10 @@ def _bare_columns(t: AuditTables, ops: list[str], one_sided: list[str]) -> DataF
 def _with_schema(t: AuditTables, resolved: DataFrame) -> DataFrame:
     """Resolved columns with ``table_key, indexed, types`` of their table, where it is known.
 
-    Where the queries and the schema both name a repository, a table is looked up in its own
-    only.  Should a schema list a table twice, the greatest entry counts, whatever the order.
+    Where the queries and the schema both name a repository (and a version of it), a table is looked
+    up in its own only.  Should a schema list a table twice, the greatest entry counts, whatever the order.
     """
-    scope = ["repo"] if "repo" in t.schema.columns and "repo" in t.queries.columns else []
+    scope = [c for c in ("repo", "rev") if c in t.schema.columns and c in t.queries.columns]
     if scope:
         resolved = resolved.join(t.queries.select("qid", *scope), "qid")
     columns = t.schema.groupBy(*scope, F.lower("table_name").alias("table_key")).agg(

@@ -16,6 +16,7 @@ from stmtlens.functions.paths import split_ignored
 from stmtlens.operators import diff, review, rules
 from stmtlens.operators import statements as st
 from stmtlens.operators.java import JavaFacts
+from stmtlens.operators.schema_versions import schema_versions
 from stmtlens.plans.nplusone import nplusone_findings
 from stmtlens.session import cut_lineage
 
@@ -78,6 +79,8 @@ def review_changes(
     groups: DataFrame | None = None,
     disabled: DataFrame | None = None,
     ignored: DataFrame | None = None,
+    files: DataFrame | None = None,
+    roots: DataFrame | None = None,
 ) -> ReviewTables:
     """Review changes of SQL and Java files.
 
@@ -86,7 +89,10 @@ def review_changes(
     ``table_schema``; with a ``repo`` each repository sees its own.  ``groups`` are the
     ``repeated_statements`` per ``repo`` and back up N+1 findings.  ``cross_findings`` carry the
     columns of ``findings`` below.  ``disabled(repo, rule_id)`` switches rules off,
-    ``ignored(repo, pattern)`` leaves files out.  ``max_findings`` limits what is shown; without
+    ``ignored(repo, pattern)`` leaves files out.  With ``files(repo, path, content)``, the repositories
+    at their base, the schema of each review is read from its changelogs, at the head where the change
+    touches them (``schema_versions``; ``roots`` are its configured roots), and ``heads`` hold the
+    changelogs and configurations of the change, too; ``schema`` is not read then.  ``max_findings`` limits what is shown; without
     it all is.  Findings of equal rank keep the listed order of their files.
 
     The ranked findings and, for Java files, their facts are written to the shared folder while
@@ -95,6 +101,7 @@ def review_changes(
     if ignored is not None:
         changed = split_ignored(changed, ignored).filter("not ignored").drop("ignored")
     shown_at_most = (1 << 31) - 1 if max_findings is None else max_findings
+    versions = None if files is None else schema_versions(files, changed, heads, roots)
     outcome = diff.ingest_outcome(changed, heads, KEYS)
     sources = heads.join(outcome.filter("outcome = 'source'").select(*KEYS), list(KEYS), "left_semi")
     queries = st.split_statements(sources.filter(F.lower("path").endswith(".sql")), KEYS)
@@ -105,7 +112,11 @@ def review_changes(
         facts = JavaFacts(java.select(_review_key().alias("repo"), "path", "content"))
         queries = queries.unionByName(_java_queries(facts, java))
     queries = queries.withColumn("qid", F.to_json(F.struct(*KEYS, "ordinal")))
-    found = rules.run_rules(rules.audit_tables(queries, schema, persist=True)).join(
+    judged_by = queries
+    if versions is not None:
+        schema = versions.schema
+        judged_by = queries.join(versions.sources.select("repo", "pr", "rev"), ["repo", "pr"])
+    found = rules.run_rules(rules.audit_tables(judged_by, schema, persist=True)).join(
         queries.select("qid", *KEYS, "ordinal", "id", "line", "extent"), "qid"
     ).join(changed.select(*KEYS, F.col("seq").cast("long").alias("file_seq")), list(KEYS))
     none = F.lit(None).cast("int")
