@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtlens.catalog.base import fill, pick, spread, sql_values, table
+from stmtlens.operators import records as rc
 from stmtlens.operators import rules as ru
 from stmtlens.operators import statements as st
 from stmtlens.sources.corpus import scan_sources
@@ -192,7 +193,7 @@ WHERE check_name = '{check}'
 
 
 def clause_facts(spark, folder):
-    return _tables(spark, folder).facts.select(
+    return _tables(spark, folder).records.select(
         "qid", "verb", "has_where", "has_limit", "has_fetch", "has_group", "has_using",
         "has_target_join", "has_from", "is_set_operation",
     )
@@ -208,7 +209,7 @@ _FACTS = sql_values(
 
 
 def aliases(spark, folder):
-    return _tables(spark, folder).aliases
+    return rc.table_aliases(_tables(spark, folder).records)
 
 
 _ALIASES = sql_values(
@@ -218,14 +219,9 @@ _ALIASES = sql_values(
 
 def resolve(spark, folder):
     """Each statement asks for `id`, `t{k}.id` and `zz.id`: which table is it?"""
-    t = _tables(spark, folder)
-    asked = t.queries.select(
-        "qid",
-        F.explode(
-            F.array(F.lit(None).cast("string"), F.concat(F.lit("T"), F.col("qid").cast("string")), F.lit("zz"))
-        ).alias("qualifier"),
-    )
-    return st.resolve_columns(asked, t.aliases).select("qid", "qualifier", "table_name")
+    asked = F.array(F.lit(None).cast("string"), F.concat(F.lit("T"), F.col("qid").cast("string")), F.lit("zz"))
+    rows = F.transform(asked, lambda q: F.struct(q.alias("qualifier"), rc.table_of(q).alias("table_name")))
+    return _tables(spark, folder).records.select("qid", F.explode(rows).alias("_r")).select("qid", "_r.*")
 
 
 _ONE_TABLE = sql_values(

@@ -1,4 +1,4 @@
-"""The rule families, as filters and joins over the token, clause and predicate tables.
+"""The rule families, as expressions over one record per statement.
 
 Each ``rule_*`` function takes :class:`AuditTables` and returns finding rows:
 ``qid, rule_id, check, seq, severity, title, explanation, suggestion, suggestion_sql``.
@@ -8,13 +8,12 @@ Rows with a parse error and opaque commands never reach the tables.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtlens.functions import lexing as lx
+from stmtlens.operators import records
 from stmtlens.operators import statements as st
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
@@ -26,6 +25,13 @@ INFERRED_BASIS = (
     "Spring Data may issue a different statement (a join, for example)"
 )
 
+#: Columns that tell whose schema a statement is judged by, where queries and schema have them.
+SCHEMA_SCOPE = ("repo", "rev")
+
+_FINDING_TYPE = (
+    "struct<rule_id:string,check:string,seq:bigint,severity:string,title:string,explanation:string,"
+    "suggestion:string,suggestion_sql:string>"
+)
 FINDING_COLUMNS = [
     "qid", "rule_id", "check", "seq", "severity", "title", "explanation", "suggestion",
     "suggestion_sql",
@@ -34,25 +40,17 @@ FINDING_COLUMNS = [
 
 @dataclass(frozen=True)
 class AuditTables:
-    """The tables all rules share.  ``queries`` has ``qid, text, dialect, kind``."""
-
-    queries: DataFrame
-    sectioned: DataFrame
-    facts: DataFrame
-    levels: DataFrame
-    predicates: DataFrame
-    aliases: DataFrame
+    """What all rules read: a record of each statement (``records.statement_records``), and the schema."""
+
+    records: DataFrame
     schema: DataFrame | None = None
 
 
-def audit_tables(
-    queries: DataFrame, schema: DataFrame | None = None, persist: bool = False
-) -> AuditTables:
-    """Derive the shared tables from ``queries(qid, text, dialect, kind[, parse_error])``.
+def audit_tables(queries: DataFrame, schema: DataFrame | None = None) -> AuditTables:
+    """The records of ``queries(qid, text, dialect, kind[, repo][, rev][, parse_error])``.
 
-    Nothing is computed here.  With ``persist`` the level table is kept (memory, then
-    disk) after its first use, so that several rules lex the text once; a lost part is
-    recomputed from its lineage.
+    Nothing is computed here, and nothing is kept: a rule is a filter of the records, and all rules
+    together are one pass over them.
     """
     opaque = F.upper(F.regexp_extract(F.ltrim("text"), r"\A\s*([A-Za-z]+)", 1)).isin(
         lx.OPAQUE_VERBS
@@ -60,27 +58,13 @@ def audit_tables(
     usable = queries.filter(~opaque & lx.sql_well_formed(F.col("text"), F.col("dialect")))
     if "parse_error" in queries.columns:
         usable = usable.filter(F.col("parse_error").isNull())
-    sectioned = st.with_sections(st.sql_tokens(usable))
-    levels = st.level_rows(sectioned)
-    if persist:
-        levels = levels.persist(StorageLevel.MEMORY_AND_DISK)
-        sectioned = levels.filter(~F.col("delimiter"))
-    return AuditTables(
-        queries=usable,
-        sectioned=sectioned,
-        facts=st.clause_facts(sectioned),
-        levels=levels,
-        predicates=st.predicates(levels),
-        aliases=st.table_aliases(levels),
-        schema=schema,
-    )
+    carry = ("kind", *(c for c in SCHEMA_SCOPE if c in queries.columns))
+    return AuditTables(records=records.statement_records(usable, carry=carry), schema=schema)
 
 
-def _findings(rows: DataFrame, rule_id: str, severity: str, check: str | None = None, *,
-              title: Column, explanation: Column, suggestion: str | Column,
-              suggestion_sql: Column | None = None, seq: Column | None = None) -> DataFrame:
-    return rows.select(
-        "qid",
+def _finding(rule_id: str, severity: str, check: str | None = None, *, title: Column, explanation: Column,
+             suggestion: str | Column, suggestion_sql: Column | None = None, seq: Column | None = None) -> Column:
+    return F.struct(
         F.lit(rule_id).alias("rule_id"),
         F.lit(check or rule_id).alias("check"),
         (seq if seq is not None else F.lit(0)).cast("long").alias("seq"),
@@ -88,262 +72,161 @@ def _findings(rows: DataFrame, rule_id: str, severity: str, check: str | None =
         title.alias("title"),
         explanation.alias("explanation"),
         (F.lit(suggestion) if isinstance(suggestion, str) else suggestion).alias("suggestion"),
-        (suggestion_sql if suggestion_sql is not None else F.lit(None).cast("string")).alias(
-            "suggestion_sql"
-        ),
+        (suggestion_sql if suggestion_sql is not None else F.lit(None).cast("string")).alias("suggestion_sql"),
     )
 
 
+def _if(condition: Column, finding: Column) -> Column:
+    """The finding in an array, or none."""
+    return F.filter(F.array(finding), lambda f: F.coalesce(condition, F.lit(False)))
+
+
 def _tick(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def rule_missing_where(t: AuditTables) -> DataFrame:
-    hit = t.facts.filter(
+def missing_where() -> Column:
+    hit = (
         F.col("verb").isin("UPDATE", "DELETE")
         & ~F.col("has_where")
         & ~F.col("has_using")
         & ~F.col("has_limit")
         & ~F.col("has_target_join")
     )
-    return _findings(
-        hit, "missing-where", "CRITICAL",
+    return _if(hit, _finding(
+        "missing-where", "CRITICAL",
         title=_tick(F.col("verb"), " has no WHERE clause and affects every row"),
         explanation=_tick(
             "Nothing limits the rows this ", F.col("verb"), " touches on ",
             F.coalesce(_tick("`", st.unquote_name(F.col("target")), "`"), F.lit("the target table")), "."
         ),
         suggestion="State the predicate that names the intended rows.",
-    )
+    ))
 
 
-def _projection_facts(t: AuditTables) -> DataFrame:
-    """``qid, all_aggregates``: every root projection is one aggregate call."""
-    own = (F.col("depth") == 0) & (F.col("section") == "SELECT")
-    running = st.W.partitionBy("qid").orderBy("pos").rowsBetween(st.W.unboundedPreceding, st.W.currentRow)
-    items = (
-        t.sectioned.filter(own)
-        .filter(~F.col("u").isin("SELECT", "DISTINCT", "ALL") | (F.col("kind") != "word"))
-        .withColumn("_item", F.sum((F.col("tok") == ",").cast("int")).over(running))
-        .filter(F.col("tok") != ",")
-        .groupBy("qid", "_item")
-        .agg(
-            F.count("*").alias("n"),
-            F.min_by("u", "pos").alias("first"),
-            F.min_by("n1", "pos").alias("second"),
-            F.max_by("u", "pos").alias("last"),
-            F.max_by("kind", "pos").alias("last_kind"),
-            F.max_by("p1", "pos").alias("before_last"),
-        )
-    )
-    aggregate = (
-        F.col("first").isin(lx.AGGREGATE_FUNCTIONS)
-        & (F.col("second") == "(")
-        & (
-            (F.col("n") == 3)
-            | ((F.col("n") == 4) & F.col("last_kind").isin("name", "quoted"))
-            | ((F.col("n") == 5) & (F.col("before_last") == "AS"))
+def no_limit() -> Column:
+    def bounds(p):
+        exactly_one = p["left_has_column"] != p["right_has_column"]
+        inner = (p["section"] == "ON") & ~p["outer_join"]
+        return inner & (
+            (p["u"].isin("=", "<", "<=", ">", ">=") & exactly_one) | ((p["u"] == "IN") & p["left_has_column"])
         )
-    )
-    return items.groupBy("qid").agg(F.bool_and(F.coalesce(aggregate, F.lit(False))).alias("all_aggregates"))
 
-
-def rule_no_limit(t: AuditTables) -> DataFrame:
-    exactly_one = F.col("left_has_column") != F.col("right_has_column")
-    bounded = (
-        t.predicates.filter((F.col("section") == "ON") & ~F.col("outer_join"))
-        .filter(
-            (F.col("u").isin("=", "<", "<=", ">", ">=") & exactly_one)
-            | ((F.col("u") == "IN") & F.col("left_has_column"))
-        )
-        .select("qid")
-        .distinct()
-    )
-    open_selects = t.facts.filter(
+    hit = (
         (F.col("verb") == "SELECT")
         & ~F.col("is_set_operation")
         & F.col("has_from")
         & ~(F.col("has_where") | F.col("has_limit") | F.col("has_fetch"))
+        & (F.col("has_group") | ~F.coalesce(F.col("all_aggregates"), F.lit(False)))
+        & ~F.coalesce(F.exists("predicates", bounds), F.lit(False))
     )
-    hit = (
-        open_selects.join(bounded, "qid", "left_anti")
-        .join(_projection_facts(t), "qid", "left")
-        .filter(F.col("has_group") | ~F.coalesce(F.col("all_aggregates"), F.lit(False)))
-    )
-    return _findings(
-        hit, "no-limit", "HIGH",
+    return _if(hit, _finding(
+        "no-limit", "HIGH",
         title=F.lit("SELECT reads an entire table with no row limit"),
         explanation=_tick(
             "Neither WHERE nor LIMIT/FETCH bounds the rows read from ",
             F.coalesce(_tick("`", st.unquote_name(F.col("target")), "`"), F.lit("the source table")), "."
         ),
         suggestion="Bound the result with a predicate, paging by key, or a streaming cursor.",
-    )
+    ))
 
 
-def rule_select_star(t: AuditTables) -> DataFrame:
-    star = (F.col("tok") == "*") & (
-        F.col("p1").isin("SELECT", "DISTINCT", "ALL", ",", ".")
-        | ((F.col("p2") == "TOP") & F.rlike("p1", F.lit(r"\A\d")))
-    )
-    # `COUNT(ALL *)` and `COUNT(DISTINCT *)` are calls, not projections.
-    hit = (
-        t.sectioned.withColumn(
-            "_star", F.coalesce(star, F.lit(False)) | ((F.col("pos") == 1) & (F.col("u") == "FROM"))
-        )
-        .groupBy("qid")
-        .agg(F.bool_or("_star").alias("_star"))
-        .filter("_star")
-        .join(t.queries.filter(F.col("kind") != DERIVED_KIND).select("qid"), "qid", "left_semi")
-    )
-    return _findings(
-        hit, "select-star", "MEDIUM",
+def select_star() -> Column:
+    return _if(F.col("has_star") & (F.col("kind") != DERIVED_KIND), _finding(
+        "select-star", "MEDIUM",
         title=F.lit("Query selects every column with `SELECT *`"),
         explanation=F.lit("The projection returns all columns of each row it matches."),
         suggestion="Name the columns the caller reads.",
-    )
+    ))
 
 
-def _bare_columns(t: AuditTables, ops: list[str], one_sided: list[str]) -> DataFrame:
-    """Bare columns of WHERE predicates, one row per column occurrence."""
-    where = _where_predicates(t).filter(F.col("u").isin(ops))
-    left = F.struct(F.col("left_qualifier").alias("qualifier"), F.col("left_name").alias("name"))
-    right = F.struct(F.col("right_qualifier").alias("qualifier"), F.col("right_name").alias("name"))
-    sides = F.when(F.col("u").isin(one_sided), F.array(left)).otherwise(F.array(left, right))
-    return (
-        where.select("qid", "pos", F.posexplode(sides).alias("side", "_c"))
-        .select("qid", "pos", "side", "_c.qualifier", "_c.name")
-        .filter(F.col("name").isNotNull())
-    )
+def _where_predicates(*operators: str) -> Column:
+    """The comparisons of a statement's own WHERE."""
+    wanted = lambda p: (p["section"] == "WHERE") & F.col("owned") & p["u"].isin(*operators)
+    return F.filter("predicates", wanted)
 
 
-def _with_schema(t: AuditTables, resolved: DataFrame) -> DataFrame:
-    """Resolved columns with ``table_key, indexed, types`` of their table, where it is known.
+def _column_text(qualifier: Column, name: Column) -> Column:
+    return F.concat_ws(".", qualifier, name)
 
-    Where the queries and the schema both name a repository (and a version of it), a table is looked
-    up in its own only.  Should a schema list a table twice, the greatest entry counts, whatever the order.
-    """
-    scope = [c for c in ("repo", "rev") if c in t.schema.columns and c in t.queries.columns]
-    if scope:
-        resolved = resolved.join(t.queries.select("qid", *scope), "qid")
-    columns = t.schema.groupBy(*scope, F.lower("table_name").alias("table_key")).agg(
-        F.max(F.transform("indexed_columns", F.lower)).alias("indexed"),
-        F.max_by("column_types", F.to_json("column_types")).alias("types"),
-    )
-    return resolved.withColumn("table_key", F.lower("table_name")).join(columns, [*scope, "table_key"])
 
+def leading_wildcard() -> Column:
+    def wild(p):
+        return (
+            p["left_name"].isNotNull() & (p["right_shape"] == "s") & (p["right_len"] == 1)
+            & F.rlike(p["right_token"], F.lit(r"\A[nN]?'%"))
+        )
 
-def rule_unindexed_filter(t: AuditTables) -> DataFrame:
-    columns = _bare_columns(
-        t, ["=", "<>", "!=", "<", "<=", ">", ">=", "IN", "BETWEEN"], ["IN", "BETWEEN"]
-    )
-    resolved = st.resolve_columns(columns, t.aliases).filter(F.col("table_name").isNotNull())
-    known = _with_schema(t, resolved)
-    name = st.unquote_name(F.col("name"))
-    missing = (
-        known.withColumn("column", name)
-        .filter(~F.array_contains("indexed", F.lower("column")))
-        .withColumn("column_key", F.lower("column"))
-        .groupBy("qid", "table_key", "column_key")
-        .agg(
-            F.min_by(F.struct("table_name", "column"), F.struct("pos", "side")).alias("_f"),
-            F.min("pos").alias("pos"),
-            F.first("indexed").alias("indexed"),
+    def found(p):
+        pattern = F.replace(F.regexp_replace(p["right_token"], r"\A[nN]?'|'\z", ""), F.lit("''"), F.lit("'"))
+        return _finding(
+            "non-sargable", "MEDIUM", "leading-wildcard", seq=p["pos"],
+            title=_tick("LIKE pattern starts with a wildcard on `", _column_text(p["left_qualifier"], p["left_name"]), "`"),
+            explanation=_tick("The pattern `", pattern, "` begins with `%`, so no index prefix can be sought."),
+            suggestion="Use an index made for substring search, or store the value reversed.",
         )
-        .select("qid", "pos", "_f.*", "indexed")
-    )
-    listed = F.array_join(F.sort_array("indexed"), ", ")
-    return _findings(
-        missing, "unindexed-filter", "HIGH", seq=F.col("pos"),
-        title=_tick("Filter on `", F.col("table_name"), ".", F.col("column"), "`, which has no index"),
-        explanation=_tick(
-            "`", F.col("column"), "` leads no index of `", F.col("table_name"), "` (leading columns: ",
-            F.when(listed == "", "none").otherwise(listed), ").",
-        ),
-        suggestion=_tick("An index on `", F.col("column"), "` would serve it."),
-        suggestion_sql=_tick(
-            "CREATE INDEX idx_", F.lower("table_name"), "_", F.lower("column"), " ON ",
-            F.col("table_name"), " (", F.col("column"), ");",
-        ),
-    )
 
+    return F.transform(F.filter(_where_predicates("LIKE", "ILIKE"), wild), found)
 
-def _where_predicates(t: AuditTables) -> DataFrame:
-    return t.predicates.filter((F.col("section") == "WHERE") & F.col("owned"))
 
+_COMPARING = ["=", "<>", "!=", "<", "<=", ">", ">=", "IN", "BETWEEN"]
+_ONE_SIDED = ["IN", "BETWEEN"]
 
-def _column_text(prefix: str) -> Column:
-    return F.concat_ws(".", f"{prefix}_qualifier", f"{prefix}_name")
 
+def _sides(fields: tuple[str, ...]) -> Column:
+    """The operands of WHERE comparisons as structs ``pos, side, fields``."""
 
-def rule_leading_wildcard(t: AuditTables) -> DataFrame:
-    hit = _where_predicates(t).filter(
-        F.col("u").isin("LIKE", "ILIKE")
-        & F.col("left_name").isNotNull()
-        & (F.col("right_shape") == "s")
-        & (F.col("right_len") == 1)
-        & F.rlike("right_token", F.lit(r"\A[nN]?'%"))
-    )
-    pattern = F.replace(F.regexp_replace("right_token", r"\A[nN]?'|'\z", ""), F.lit("''"), F.lit("'"))
-    return _findings(
-        hit, "non-sargable", "MEDIUM", "leading-wildcard", seq=F.col("pos"),
-        title=_tick("LIKE pattern starts with a wildcard on `", _column_text("left"), "`"),
-        explanation=_tick("The pattern `", pattern, "` begins with `%`, so no index prefix can be sought."),
-        suggestion="Use an index made for substring search, or store the value reversed.",
-    )
+    def both(p):
+        side = lambda n, prefix: F.struct(p["pos"].alias("pos"), F.lit(n).alias("side"), *(p[f"{prefix}_{c}"].alias(c) for c in fields))
+        return F.when(p["u"].isin(_ONE_SIDED), F.array(side(0, "left"))).otherwise(F.array(side(0, "left"), side(1, "right")))
 
+    return F.flatten(F.transform(_where_predicates(*_COMPARING), both))
 
-_COMPARING = ["=", "<>", "!=", "<", "<=", ">", ">=", "IN", "BETWEEN"]
 
+_SHAPES = ("shape", "ahead", "len", "token", "inner_bare", "lo", "hi", "has_column")
 
-def _sides(t: AuditTables) -> DataFrame:
-    """Comparison operands of WHERE predicates, one row per side."""
-    def side(prefix):
-        return F.struct(
-            *[F.col(f"{prefix}_{c}").alias(c) for c in
-              ("shape", "ahead", "len", "token", "inner_bare", "lo", "hi", "has_column")]
+
+def _side_text(s: Column) -> Column:
+    return F.trim(F.regexp_replace(F.substring(F.col("text"), s["lo"] + 1, s["hi"] - s["lo"]), r"\s+", " "))
+
+
+def wrapped_column() -> Column:
+    def call(s):
+        return (s["len"] == 3) & (s["shape"] == "f()") & s["has_column"] & ~F.upper(s["token"]).isin("CONVERT")
+
+    def read(s):
+        text = _side_text(s)
+        function = F.upper(s["token"])
+        canonical = F.concat(function, F.substring(text, F.length(s["token"]) + 1, F.length(text)))
+        return F.struct(canonical.alias("canonical"), s["pos"].alias("pos"), function.alias("function"))
+
+    def found(c):
+        return _finding(
+            "non-sargable", "MEDIUM", "wrapped-column", seq=c["pos"],
+            title=_tick("Filtered column is wrapped in `", c["function"], "(...)`"),
+            explanation=_tick("The filter compares `", c["canonical"], "` instead of the column itself."),
+            suggestion="Move the function to the other side, or index the expression.",
+            suggestion_sql=_tick("CREATE INDEX ... ON <table> ((", c["canonical"], "));"),
         )
 
-    where = _where_predicates(t).filter(F.col("u").isin(_COMPARING))
-    sides = F.when(F.col("u").isin("IN", "BETWEEN"), F.array(side("left"))).otherwise(
-        F.array(side("left"), side("right"))
-    )
-    return where.select("qid", "pos", F.posexplode(sides).alias("side", "_s")).select(
-        "qid", "pos", "side", "_s.*"
-    )
+    return F.transform(_least_of_each(F.transform(F.filter(_sides(_SHAPES), call), read), "canonical"), found)
 
 
-def _with_side_text(t: AuditTables, sides: DataFrame) -> DataFrame:
-    return sides.join(t.queries.select("qid", "text"), "qid").withColumn(
-        "side_text",
-        F.trim(
-            F.regexp_replace(
-                F.substring("text", F.col("lo") + 1, F.col("hi") - F.col("lo")), r"\s+", " "
-            )
-        ),
-    )
+def _least_of_each(rows: Column, *same: str) -> Column:
+    """Of the structs alike in ``same``, which are their first fields, the least."""
 
+    def marked(x, i, ordered):
+        before = F.get(ordered, i - 1)
+        alike = F.lit(True)
+        for c in same:
+            alike = alike & F.coalesce(before[c] == x[c], F.lit(False))
+        return F.struct(x.alias("x"), alike.alias("again"))
 
-def rule_wrapped_column(t: AuditTables) -> DataFrame:
-    calls = _sides(t).filter(
-        (F.col("len") == 3) & (F.col("shape") == "f()") & F.col("has_column")
-        & ~F.upper("token").isin("CONVERT")
-    )
-    function = F.upper("token")
-    once = (
-        _with_side_text(t, calls)
-        .withColumn("function", function)
-        .withColumn("canonical", F.concat(F.col("function"), F.substring(F.col("side_text"), F.length("token") + 1, F.length("side_text"))))
-        .groupBy("qid", "canonical")
-        .agg(F.min("pos").alias("pos"), F.first("function").alias("function"))
-    )
-    return _findings(
-        once, "non-sargable", "MEDIUM", "wrapped-column", seq=F.col("pos"),
-        title=_tick("Filtered column is wrapped in `", F.col("function"), "(...)`"),
-        explanation=_tick("The filter compares `", F.col("canonical"), "` instead of the column itself."),
-        suggestion="Move the function to the other side, or index the expression.",
-        suggestion_sql=_tick("CREATE INDEX ... ON <table> ((", F.col("canonical"), "));"),
-    )
+    # A transform of one element binds the sorted array to a name.
+    bound = F.transform(F.array(F.array_sort(rows)), lambda ordered: F.filter(
+        F.transform(ordered, lambda x, i: marked(x, i, ordered)), lambda y: ~y["again"]
+    ))
+    return F.transform(F.flatten(bound), lambda y: y["x"])
 
 
 _PART = r"(?:[A-Za-z_\x{80}-\x{FFFF}][\w$\x{80}-\x{FFFF}]*+|\"[^\"]*+\"|`[^`]*+`|\[[^\]]*+\])"
@@ -351,77 +234,207 @@ _PART = r"(?:[A-Za-z_\x{80}-\x{FFFF}][\w$\x{80}-\x{FFFF}]*+|\"[^\"]*+\"|`[^`]*+`
 _CAST_NAME = rf"\A{_PART}(?:\s*+\.\s*+{_PART})*+\s*+::"
 
 
-def rule_explicit_cast(t: AuditTables) -> DataFrame:
-    # Names of three parts and more reach beyond the codes ahead; their text decides below.
-    prefix = (F.col("len") >= 3) & F.col("ahead").startswith("ct") | (
-        (F.col("len") >= 5) & F.col("ahead").startswith("c.ct")
-    )
-    long = (F.col("len") >= 7) & F.col("ahead").startswith("c.c.c")
-    casts = _sides(t).filter(
-        ((F.col("len") == 3) & (F.col("shape") == "x()") & F.col("inner_bare")) | prefix | long
-    )
-    column = F.when(
-        F.col("shape") == "x()",
-        F.regexp_extract("side_text", r"\(\s*(.*?)\s+(?i:as)\s", 1),
-    ).otherwise(F.trim(F.regexp_extract("side_text", r"\A(.*?)\s*::", 1)))
-    target = F.upper(
-        F.when(
-            F.col("shape") == "x()", F.regexp_extract("side_text", r"\s(?i:as)\s+(.*?)\s*\)\z", 1)
-        ).otherwise(F.trim(F.regexp_extract("side_text", r"::\s*(.*)\z", 1)))
-    )
-    parted = ~F.col("ahead").startswith("c.c.c") | F.rlike("side_text", F.lit(_CAST_NAME))
-    shown = _with_side_text(t, casts).filter(parted).withColumn("column", column).withColumn("target", target)
-    return _findings(
-        shown, "non-sargable", "MEDIUM", "explicit-cast",
-        seq=F.col("pos") * 2 + F.col("side"),
-        title=_tick("Comparison on `", F.col("column"), "` requires a type conversion"),
-        explanation=_tick("`", F.col("column"), "` is cast to ", F.col("target"), " before it is compared."),
-        suggestion="Bind the parameter in the column's own type.",
-    )
+def explicit_cast() -> Column:
+    def cast(s):
+        # Names of three parts and more reach beyond the codes ahead; their text decides below.
+        prefix = (s["len"] >= 3) & s["ahead"].startswith("ct") | ((s["len"] >= 5) & s["ahead"].startswith("c.ct"))
+        long = (s["len"] >= 7) & s["ahead"].startswith("c.c.c")
+        return ((s["len"] == 3) & (s["shape"] == "x()") & s["inner_bare"]) | prefix | long
 
+    def read(s):
+        return F.struct(s.alias("s"), _side_text(s).alias("text"))
 
-def rule_implicit_cast(t: AuditTables) -> DataFrame:
-    equal = _where_predicates(t).filter(F.col("u").isin("=", "<>", "!="))
-    number = lambda side: (F.col(f"{side}_shape") == "n") & (F.col(f"{side}_len") == 1)
-    on_left = F.col("left_name").isNotNull() & number("right")
-    on_right = F.col("right_name").isNotNull() & number("left")
-    columns = equal.filter(on_left | on_right).select(
-        "qid", "pos",
-        F.when(on_left, F.col("left_qualifier")).otherwise(F.col("right_qualifier")).alias("qualifier"),
-        F.when(on_left, F.col("left_name")).otherwise(F.col("right_name")).alias("name"),
-    )
-    resolved = st.resolve_columns(columns, t.aliases).filter(F.col("table_name").isNotNull())
-    typed = (
-        _with_schema(t, resolved)
-        .withColumn("_key", F.lower(st.unquote_name(F.col("name"))))
-        .withColumn(
-            "declared",
-            F.lower(F.get(F.map_values(F.map_filter("types", lambda k, v: F.lower(k) == F.col("_key"))), F.lit(0))),
+    def parted(x):
+        return ~x["s"]["ahead"].startswith("c.c.c") | F.rlike(x["text"], F.lit(_CAST_NAME))
+
+    def found(x):
+        call, text = x["s"]["shape"] == "x()", x["text"]
+        column = F.when(call, F.regexp_extract(text, r"\(\s*(.*?)\s+(?i:as)\s", 1)).otherwise(
+            F.trim(F.regexp_extract(text, r"\A(.*?)\s*::", 1))
         )
-        .filter(F.rlike("declared", F.lit(r"\A(char|text|varchar|citext|uuid)")))
-    )
-    shown = F.concat_ws(".", "qualifier", "name")
-    return _findings(
-        typed, "non-sargable", "MEDIUM", "implicit-cast", seq=F.col("pos"),
-        title=_tick("Comparison on `", shown, "` requires a type conversion"),
-        explanation=_tick("Text (", F.col("declared"), ") in `", shown, "` against a number."),
+        target = F.upper(
+            F.when(call, F.regexp_extract(text, r"\s(?i:as)\s+(.*?)\s*\)\z", 1)).otherwise(
+                F.trim(F.regexp_extract(text, r"::\s*(.*)\z", 1))
+            )
+        )
+        return _finding(
+            "non-sargable", "MEDIUM", "explicit-cast", seq=x["s"]["pos"] * 2 + x["s"]["side"],
+            title=_tick("Comparison on `", column, "` requires a type conversion"),
+            explanation=_tick("`", column, "` is cast to ", target, " before it is compared."),
+            suggestion="Bind the parameter in the column's own type.",
+        )
+
+    casts = F.filter(_sides(_SHAPES), lambda s: F.coalesce(cast(s), F.lit(False)))
+    return F.transform(F.filter(F.transform(casts, read), parted), found)
+
+
+# --- rules that look a column up ----------------------------------------------------------
+
+
+def _resolved(columns: Column) -> Column:
+    """``columns`` (structs ``pos, side, qualifier, name``) with the ``table_name`` they belong to, where that
+    is known: the qualifier's table, or the only one."""
+
+    def placed(c):
+        table = records.table_of(c["qualifier"])
+        return F.struct(
+            F.lower(table).alias("table_key"), F.lower(st.unquote_name(c["name"])).alias("column_key"), c["pos"].alias("pos"),
+            c["side"].alias("side"), table.alias("table_name"), st.unquote_name(c["name"]).alias("column"),
+            F.concat_ws(".", c["qualifier"], c["name"]).alias("shown"),
+        )
+
+    return F.filter(F.transform(columns, placed), lambda c: c["table_name"].isNotNull())
+
+
+def filtered_columns() -> Column:
+    """Bare columns that WHERE compares, each column of a table once."""
+    return _least_of_each(_resolved(F.filter(_sides(("qualifier", "name")), lambda s: s["name"].isNotNull())), "table_key", "column_key")
+
+
+def unindexed_filter(c: Column, indexed: Column, types: Column) -> Column:
+    listed = F.array_join(F.sort_array(indexed), ", ")
+    return _if(~F.array_contains(indexed, c["column_key"]), _finding(
+        "unindexed-filter", "HIGH", seq=c["pos"],
+        title=_tick("Filter on `", c["table_name"], ".", c["column"], "`, which has no index"),
+        explanation=_tick(
+            "`", c["column"], "` leads no index of `", c["table_name"], "` (leading columns: ",
+            F.when(listed == "", "none").otherwise(listed), ").",
+        ),
+        suggestion=_tick("An index on `", c["column"], "` would serve it."),
+        suggestion_sql=_tick(
+            "CREATE INDEX idx_", F.lower(c["table_name"]), "_", c["column_key"], " ON ", c["table_name"], " (", c["column"], ");",
+        ),
+    ))
+
+
+def numbered_columns() -> Column:
+    """Bare columns that WHERE compares with a number."""
+
+    def compared(p):
+        number = lambda side: (p[f"{side}_shape"] == "n") & (p[f"{side}_len"] == 1)
+        on_left = p["left_name"].isNotNull() & number("right")
+        on_right = p["right_name"].isNotNull() & number("left")
+        pick = lambda c: F.when(on_left, p[f"left_{c}"]).when(on_right, p[f"right_{c}"])
+        return F.struct(p["pos"].alias("pos"), F.lit(0).alias("side"), pick("qualifier").alias("qualifier"), pick("name").alias("name"))
+
+    columns = F.transform(_where_predicates("=", "<>", "!="), compared)
+    return _resolved(F.filter(columns, lambda c: c["name"].isNotNull()))
+
+
+def implicit_cast(c: Column, indexed: Column, types: Column) -> Column:
+    declared = F.lower(F.get(F.map_values(F.map_filter(types, lambda k, v: F.lower(k) == c["column_key"])), F.lit(0)))
+    return _if(F.rlike(declared, F.lit(r"\A(char|text|varchar|citext|uuid)")), _finding(
+        "non-sargable", "MEDIUM", "implicit-cast", seq=c["pos"],
+        title=_tick("Comparison on `", c["shown"], "` requires a type conversion"),
+        explanation=_tick("Text (", declared, ") in `", c["shown"], "` against a number."),
         suggestion="Quote the number.",
-    )
+    ))
 
 
-#: All rules in the order their findings are raised for one query.
+#: All rules in the order their findings are raised for one query: the findings of a record, or the
+#: columns of it to look up and the findings of one of them.
 RULES = (
-    ("missing-where", rule_missing_where, False),
-    ("no-limit", rule_no_limit, False),
-    ("non-sargable", rule_leading_wildcard, False),
-    ("non-sargable", rule_wrapped_column, False),
-    ("non-sargable", rule_explicit_cast, False),
-    ("non-sargable", rule_implicit_cast, True),
-    ("select-star", rule_select_star, False),
-    ("unindexed-filter", rule_unindexed_filter, True),
+    ("missing-where", missing_where, None),
+    ("no-limit", no_limit, None),
+    ("non-sargable", leading_wildcard, None),
+    ("non-sargable", wrapped_column, None),
+    ("non-sargable", explicit_cast, None),
+    ("non-sargable", numbered_columns, implicit_cast),
+    ("select-star", select_star, None),
+    ("unindexed-filter", filtered_columns, unindexed_filter),
 )
 
 
+def _known_tables(schema: DataFrame, scope: list[str]) -> DataFrame:
+    """``scope, table_key, indexed, types``; should a schema list a table twice, the greatest entry counts."""
+    return schema.groupBy(*scope, F.lower("table_name").alias("table_key")).agg(
+        F.max(F.transform("indexed_columns", F.lower)).alias("indexed"),
+        F.max_by("column_types", F.to_json("column_types")).alias("types"),
+    )
+
+
+def _raised(t: AuditTables, chosen: list[int]) -> DataFrame:
+    """``qid, kind, rule_order`` and the findings of the chosen rules, from one pass over the records.
+
+    A record's findings and the columns it asks the schema for are exploded together; where the queries
+    and the schema both name a repository (and a version of it), a table is looked up in its own only.
+    A finding that needs no look-up meets nothing there: its key is its statement's, so that findings
+    spread over all tasks.
+    """
+    plain = [i for i in chosen if RULES[i][2] is None]
+    asking = [i for i in chosen if RULES[i][2] is not None]
+    tagged = lambda i, column, name: F.transform(column, lambda f: F.struct(F.lit(i).alias("rule_order"), f.alias(name)))
+    columns = [F.concat(*(tagged(i, RULES[i][1](), "f") for i in plain)).alias("_found")] if plain else []
+    asked = [F.concat(*(tagged(i, RULES[i][1](), "c") for i in asking)).alias("_asked")] if asking else []
+    scope = [c for c in SCHEMA_SCOPE if t.schema is not None and c in t.schema.columns and c in t.records.columns]
+    rows = t.records.select("qid", "kind", *scope, *columns, *asked)
+    if not asking:
+        return rows.select("qid", "kind", F.explode("_found").alias("_r")).select("qid", "kind", "_r.rule_order", "_r.f.*")
+    probe = F.transform("_asked", lambda r: F.struct(
+        r["c"]["table_key"].alias("table_key"), r["rule_order"].alias("rule_order"), r["c"].alias("c"), *([F.lit(None).cast(_FINDING_TYPE).alias("f")] if plain else []),
+    ))
+    if plain:
+        none = F.transform("_asked", lambda r: r["c"])
+        done = F.transform("_found", lambda r: F.struct(
+            F.concat(F.lit("\x00"), F.col("qid").cast("string")).alias("table_key"), r["rule_order"].alias("rule_order"),
+            F.get(F.filter(none, lambda c: F.lit(False)), F.lit(0)).alias("c"), r["f"].alias("f"),
+        ))
+        probe = F.concat(done, probe)
+    rows = rows.select("qid", "kind", *scope, F.explode(probe).alias("_r")).select("qid", "kind", *scope, "_r.*")
+    known = rows.join(_known_tables(t.schema, scope), [*scope, "table_key"], "left" if plain else "inner")
+    found = F.array().cast(f"array<{_FINDING_TYPE}>")
+    for i in asking:
+        found = F.when(
+            (F.col("rule_order") == i) & F.col("indexed").isNotNull(), RULES[i][2](F.col("c"), F.col("indexed"), F.col("types"))
+        ).otherwise(found)
+    if plain:
+        found = F.when(F.col("f").isNotNull(), F.array("f")).otherwise(found)
+    return known.select("qid", "kind", "rule_order", F.explode(found).alias("_f")).select("qid", "kind", "rule_order", "_f.*")
+
+
+def rule(t: AuditTables, name: str, check: str | None = None) -> DataFrame:
+    """The findings of one rule (of one of its checks): ``FINDING_COLUMNS``."""
+    chosen = [i for i, (rule_id, _, look_up) in enumerate(RULES) if rule_id == name and (look_up is None or t.schema is not None)]
+    if check is not None:
+        chosen = [i for i in chosen if _CHECKS.get(i) == check]
+    return _raised(t, chosen).select(*FINDING_COLUMNS)
+
+
+_CHECKS = {2: "leading-wildcard", 3: "wrapped-column", 4: "explicit-cast", 5: "implicit-cast"}
+
+
+def rule_missing_where(t: AuditTables) -> DataFrame:
+    return rule(t, "missing-where")
+
+
+def rule_no_limit(t: AuditTables) -> DataFrame:
+    return rule(t, "no-limit")
+
+
+def rule_select_star(t: AuditTables) -> DataFrame:
+    return rule(t, "select-star")
+
+
+def rule_unindexed_filter(t: AuditTables) -> DataFrame:
+    return rule(t, "unindexed-filter")
+
+
+def rule_leading_wildcard(t: AuditTables) -> DataFrame:
+    return rule(t, "non-sargable", "leading-wildcard")
+
+
+def rule_wrapped_column(t: AuditTables) -> DataFrame:
+    return rule(t, "non-sargable", "wrapped-column")
+
+
+def rule_explicit_cast(t: AuditTables) -> DataFrame:
+    return rule(t, "non-sargable", "explicit-cast")
+
+
+def rule_implicit_cast(t: AuditTables) -> DataFrame:
+    return rule(t, "non-sargable", "implicit-cast")
+
+
 def mark_inferred(findings: DataFrame) -> DataFrame:
     """Findings on derived-method queries get a confidence, unless one is set.
 
@@ -440,15 +453,13 @@ def severity_rank(severity: Column) -> Column:
 
 
 def run_rules(t: AuditTables, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """All findings, worst first, with the inferred marking applied."""
-    parts = []
-    for order, (rule_id, rule, needs_schema) in enumerate(RULES):
-        if rule_id in disabled or (needs_schema and t.schema is None):
-            continue
-        parts.append(rule(t).withColumn("rule_order", F.lit(order)))
-    found = reduce(DataFrame.unionByName, parts)
+    """All findings with ``rule_order``, worst first, with the inferred marking applied."""
+    chosen = [
+        i for i, (rule_id, _, look_up) in enumerate(RULES)
+        if rule_id not in disabled and (look_up is None or t.schema is not None)
+    ]
     return mark_inferred(
-        found.join(t.queries.select("qid", "kind"), "qid")
+        _raised(t, chosen)
         .withColumn("confidence", F.lit(None).cast("double"))
         .withColumn("confidence_basis", F.lit(None).cast("string"))
     )

@@ -31,6 +31,11 @@ def hash_spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def among(name: str, words) -> Column:
+    """Whether a column is one of many words: one expression, not one for each word."""
+    return F.expr(f"`{name}` IN ({', '.join(repr(w) for w in words)})")
+
+
 def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -165,22 +170,27 @@ def _is_no_column() -> Column:
 
 
 def sql_tokens(
-    queries: DataFrame, key: str = "qid", text: str = "text", dialect: str | None = "dialect"
+    queries: DataFrame, key: str = "qid", text: str = "text", dialect: str | None = "dialect",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Token table: one row per significant token.
+    """Token table: one row per significant token; with ``carry`` a struct ``carried`` of those columns.
 
     Columns: ``key, pos, off, end, line, tok, u, kind, depth, code`` and the next
     three tokens.  ``u`` is the upper-cased word, ``depth`` counts open parentheses
-    around the token (a pair shares the value outside it).  ``code`` is one letter for
+    around the token (a pair shares the value outside it); ``_n`` numbers all pieces of the
+    text, ``_piece`` is the token with the blanks and comments before it.  ``code`` is one letter for
     the token's role: c column-like name, f function name, x cast, k reserved word,
     n number, s string, p parameter, else the symbol.
     """
     speech = F.col(dialect) if dialect else F.lit(DEFAULT_DIALECT)
+    beside = [F.struct(*carry).alias("carried")] if carry else []
+    kept = ["carried"] if carry else []
     pieces = hash_spread(
-        queries.select(key, F.col(text).alias("_text"), speech.alias("_dialect")), key
+        queries.select(key, F.col(text).alias("_text"), speech.alias("_dialect"), *beside), key
     ).select(
         key,
         "_dialect",
+        *kept,
         F.posexplode(lx.sql_pieces(F.col("_text"), F.col("_dialect"))).alias("_n", "_piece"),
     )
     order = W.partitionBy(key).orderBy("_n")
@@ -190,7 +200,7 @@ def sql_tokens(
         F.when(lx.is_string_literal(tok, d), "string")
         .when(lx.is_number_literal(tok), "number")
         .when(lx.is_quoted_name(tok, d), "quoted")
-        .when(lx.is_plain_name(tok), F.when(F.col("u").isin(lx.SQL_KEYWORDS), "word").otherwise("name"))
+        .when(lx.is_plain_name(tok), F.when(among("u", lx.SQL_KEYWORDS), "word").otherwise("name"))
         .when(F.rlike(tok, F.lit(r"\A(?:\?|%s|%\(|\$\d|@\w|:[\w#])")), "param")
         .otherwise("symbol")
     )
@@ -242,47 +252,35 @@ def sql_tokens(
     )
     return full.withColumn("code", code).select(
         key, "pos", "off", "end", "line", "tok", "u", "kind", "code", "depth",
-        "n1", "n2", "n4", "k1", "k3", "p1", "p2",
+        "n1", "n2", "n4", "k1", "k3", "p1", "p2", "_n", "_piece", *kept,
     )
 
 
-def with_sections(tokens: DataFrame, key: str = "qid") -> DataFrame:
-    """Adds ``section``: the root clause a token stands in (subqueries included),
-    ``outer_join``: whether the last root JOIN has a side, and ``owned``: whether the
-    clauses are the statement's own (not those of a set operation's or an INSERT's query).
-    """
-    running = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    opener = (F.col("depth") == 0) & F.col("u").isin(_CLAUSES) & (F.col("kind") == "word")
+def section_marks() -> tuple[Column, Column, Column]:
+    """(opens a root clause, is a root JOIN, has a side) of a token."""
+    opener = (F.col("depth") == 0) & among("u", _CLAUSES) & (F.col("kind") == "word")
     # `IS DISTINCT FROM` compares, it opens no clause.
     opener = opener & ~((F.col("u") == "FROM") & F.coalesce(F.col("p1") == "DISTINCT", F.lit(False)) & F.coalesce(F.col("p2").isin("IS", "NOT"), F.lit(False)))
     sides = ["LEFT", "RIGHT", "FULL"]
     outer = F.coalesce(F.col("p1").isin(sides), F.lit(False)) | F.coalesce(
         (F.col("p1") == "OUTER") & F.col("p2").isin(sides), F.lit(False)
     )
-    joins = (F.col("depth") == 0) & (F.col("u") == "JOIN")
-    whole = W.partitionBy(key)
-    root_word = (F.col("depth") == 0) & (F.col("kind") == "word")
+    return opener, (F.col("depth") == 0) & (F.col("u") == "JOIN"), outer
+
+
+def owns_clauses(first: Column, main: Column, is_set: Column) -> Column:
+    """Whether a statement's clauses are its own: by its first word, its first verb and its set words."""
     own = ["SELECT", "UPDATE", "DELETE"]
-    marked = tokens.withColumns(
-        {
-            "section": F.last(F.when(opener, F.col("u")), ignorenulls=True).over(running),
-            "outer_join": F.last(F.when(joins, outer), ignorenulls=True).over(running),
-            "_first": F.min(F.when(F.col("pos") == 1, F.col("u"))).over(whole),
-            "_main": F.min(F.when(root_word & F.col("u").isin(_VERBS), F.struct("pos", "u"))).over(whole),
-            "_set": F.max(root_word & F.col("u").isin(_SET_WORDS)).over(whole),
-        }
-    )
-    owned = (F.col("_first").isin(*own, "FROM") | ((F.col("_first") == "WITH") & F.col("_main.u").isin(own))) & ~F.col("_set")
-    return marked.withColumn("owned", F.coalesce(owned, F.lit(False))).drop("_first", "_main", "_set")
+    return F.coalesce((first.isin(*own, "FROM") | ((first == "WITH") & main.isin(own))) & ~is_set, F.lit(False))
 
 
-def clause_facts(sectioned: DataFrame, key: str = "qid") -> DataFrame:
-    """One row per statement: the root verb and which of *its own* clauses exist."""
+def clause_aggregates() -> list[Column]:
+    """What a statement's facts are made of, gathered over its tokens."""
     root = F.col("depth") == 0
     u = F.col("u")
     first = F.min_by(u, F.col("pos"))
-    has = lambda *words: F.bool_or(root & u.isin(*words) & (F.col("kind") == "word"))
-    facts = sectioned.groupBy(key).agg(
+    has = lambda *words: F.bool_or(root & among("u", words) & (F.col("kind") == "word"))
+    return [
         first.alias("_first"),
         F.min_by(u, F.when(root & u.isin(_VERBS), F.col("pos"))).alias("_main"),
         has(*_SET_WORDS).alias("is_set_operation"),
@@ -307,9 +305,18 @@ def clause_facts(sectioned: DataFrame, key: str = "qid") -> DataFrame:
         F.min(F.when(root & (u == "SET"), F.col("pos"))).alias("_set_pos"),
         F.min(F.when(root & (u == "JOIN"), F.col("pos"))).alias("_join_pos"),
         F.bool_or(root & (u == "FROM") & (F.col("section") == "FROM")).alias("_from"),
-        F.count("*").alias("n_tokens"),
         F.min_by("tok", F.when(root & F.col("code").isin("c") & F.col("p1").isin("UPDATE", "FROM", "ONLY", "INTO", "JOIN"), F.col("pos"))).alias("target"),
-    )
+    ]
+
+
+CLAUSE_FACTS = [
+    "verb", "is_set_operation", "has_where", "has_limit", "has_fetch", "has_group", "has_using", "has_joins",
+    "has_target_join", "has_from", "is_opaque", "target",
+]
+
+
+def clause_columns(facts: DataFrame) -> DataFrame:
+    """``facts`` (with the columns of :func:`clause_aggregates`) with the ``CLAUSE_FACTS``."""
     verb = (
         F.when(F.col("is_set_operation") & F.col("_first").isin("SELECT", "(", "WITH"), "SET OPERATION")
         .when(F.col("_first") == "WITH", F.col("_main"))
@@ -317,98 +324,40 @@ def clause_facts(sectioned: DataFrame, key: str = "qid") -> DataFrame:
         .otherwise(F.col("_first"))
     )
     own = F.col("verb").isin("SELECT", "UPDATE", "DELETE")
-    return facts.withColumn("verb", verb).select(
-        key,
-        "verb",
-        "is_set_operation",
-        (F.col("_where") & own).alias("has_where"),
-        (F.col("_limit") & own).alias("has_limit"),
-        (F.col("_fetch") & own).alias("has_fetch"),
-        (F.col("_group") & own).alias("has_group"),
-        (F.col("_using") & (F.col("verb") == "DELETE")).alias("has_using"),
-        (F.col("_joins") & own).alias("has_joins"),
-        F.coalesce(
-            (F.col("verb").isin("UPDATE") & (F.col("_target_comma") | (F.col("_join_pos") < F.col("_set_pos"))))
-            | (F.col("verb").isin("DELETE") & F.col("_join_word")),
-            F.lit(False),
-        ).alias("has_target_join"),
-        (F.col("_from") & own).alias("has_from"),
-        F.col("verb").isin(*lx.OPAQUE_VERBS).alias("is_opaque"),
-        "target",
-        "n_tokens",
+    return facts.withColumn("verb", verb).withColumns(
+        {
+            "has_where": F.col("_where") & own,
+            "has_limit": F.col("_limit") & own,
+            "has_fetch": F.col("_fetch") & own,
+            "has_group": F.col("_group") & own,
+            "has_using": F.col("_using") & (F.col("verb") == "DELETE"),
+            "has_joins": F.col("_joins") & own,
+            "has_target_join": F.coalesce(
+                (F.col("verb").isin("UPDATE") & (F.col("_target_comma") | (F.col("_join_pos") < F.col("_set_pos"))))
+                | (F.col("verb").isin("DELETE") & F.col("_join_word")),
+                F.lit(False),
+            ),
+            "has_from": F.col("_from") & own,
+            "is_opaque": F.col("verb").isin(*lx.OPAQUE_VERBS),
+        }
     )
 
 
 # --- operand structure ---------------------------------------------------------------
 
 
-def level_rows(sectioned: DataFrame, key: str = "qid") -> DataFrame:
-    """Tokens by nesting level; each bracket also delimits the level inside it.
-
-    Every row carries the codes of the next five tokens *of its level*, the running number
-    of column names over the whole statement and that of runs over the level, so that operands
-    are described by two positions and never collected.  A run is a name with all its
-    parts (``a.b.c``), however many, or any other single token.
-    """
+def names_column() -> Column:
+    """Whether a token ends the name of a column."""
     # `EXTRACT(YEAR FROM d)`: that FROM introduces a column.
     of_unit = (F.col("p1") == "FROM") & F.rlike("p2", F.lit(_UNIT))
-    column_like = (
+    return (
         (F.col("code") == "c")
         & ~F.coalesce(F.col("n1") == ".", F.lit(False))
         & ~F.coalesce(F.col("p1").isin("AS", "::", "FROM", "JOIN", "INTO", "UPDATE") & ~F.coalesce(of_unit, F.lit(False)), F.lit(False))
     )
-    running = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = sectioned.withColumn("n_columns", F.sum(column_like.cast("int")).over(running))
-    bracket = F.col("tok").isin("(", ")")
-    rows = counted.withColumn(
-        "level",
-        F.explode(
-            F.when(bracket, F.array(F.col("depth"), F.col("depth") + 1)).otherwise(F.array("depth"))
-        ),
-    ).withColumn("delimiter", F.col("level") != F.col("depth"))
-    order = W.partitionBy(key, "level").orderBy("pos")
-    # The inside of a delimiter is not part of an operand: it reads as '|'.
-    rows = rows.withColumn("code", F.when(F.col("delimiter"), F.lit("|")).otherwise(F.col("code")))
-    ahead = [F.coalesce(F.lead("code", i).over(order), F.lit("|")) for i in range(1, 6)]
-    level = W.partitionBy(key, "level")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    # Delimiters and their insides never continue a name.
-    dot = (F.col("tok") == ".") & ~F.col("delimiter")
-    opens_run = ~(dot | F.coalesce(F.lag(dot, 1).over(order), F.lit(False)))
-    last = F.struct(
-        "tok", "code", F.lag("tok", 2).over(order).alias("qualifier"), F.lag("code", 2).over(order).alias("qualifier_code")
-    )
-    return rows.withColumns(
-        {
-            "lpos": F.row_number().over(order),
-            "ahead": F.concat(*ahead),
-            "opens_run": opens_run,
-            "last": last,
-            "t1": F.lead("tok", 1).over(order),
-            "off1": F.lead("off", 1).over(order),
-            # For `CAST(`: does a bare column stand right inside, before AS?
-            "inner_bare": F.lead(_cast_of_column(), 2).over(order),
-            "prev_end": F.lag("end", 1).over(order),
-            "prev_u": F.lag("u", 1).over(order),
-            "prev2_u": F.lag("u", 2).over(order),
-        }
-    ).withColumns(
-        {
-            "n_runs": F.sum(F.col("opens_run").cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)),
-            "prev_last": F.lag("last", 1).over(order),
-        }
-    ).withColumns(
-        {
-            "level_last": F.max("lpos").over(level),
-            "level_end": F.max("end").over(level),
-            "level_columns": F.max("n_columns").over(level),
-            "level_runs": F.max("n_runs").over(level),
-            "level_tail": F.last("last").over(whole),
-        }
-    )
 
 
-def _cast_of_column() -> Column:
+def cast_of_column() -> Column:
     """At an opening bracket: ``(col AS`` or ``(q.col AS`` follows."""
     name = F.col("k1").isin("name", "quoted")
     return (F.col("tok") == "(") & F.coalesce(
@@ -418,101 +367,19 @@ def _cast_of_column() -> Column:
     )
 
 
-_SIDE_FIELDS = ["lpos", "pos", "n_columns", "n_runs", "ahead", "t1", "off1", "inner_bare"]
-
-
-def predicates(levels: DataFrame, key: str = "qid") -> DataFrame:
-    """One row per comparison, IN, BETWEEN, LIKE with both operands described.
-
-    For each side: ``*_shape`` (codes of its own-level tokens), ``*_len``,
-    ``*_qualifier``/``*_name`` (bare columns), ``*_has_column``, ``*_lo``/``*_hi``
-    (text offsets) and ``*_token``.
-    """
+def operand_marks() -> tuple[Column, Column]:
+    """(is a comparison, ends an operand) of a level's token."""
     u = F.col("u")
     is_op = ~F.col("delimiter") & (
-        u.isin(*_COMPARISONS) | ((F.col("kind") == "word") & u.isin("IN", "BETWEEN", "LIKE", "ILIKE"))
+        among("u", _COMPARISONS) | ((F.col("kind") == "word") & u.isin("IN", "BETWEEN", "LIKE", "ILIKE"))
     )
     ends = (
         F.col("delimiter")
-        | ((F.col("kind") == "word") & u.isin(*_OPERAND_ENDS))
+        | ((F.col("kind") == "word") & among("u", _OPERAND_ENDS))
         | ((F.col("kind") == "word") & u.isin("LEFT", "RIGHT") & (F.col("code") == "k"))
         | u.isin(",", ";")
     )
-    marks = levels.withColumn("is_op", is_op).filter(is_op | ends)
-    order = W.partitionBy(key, "level").orderBy("pos")
-    side = F.struct(*_SIDE_FIELDS)
-    # `x NOT IN (...)`: NOT stands between the operand and the operator, so the
-    # operand starts at the mark before it.
-    negated = F.col("is_op") & F.coalesce(F.col("prev_u") == "NOT", F.lit(False))
-    following = F.struct("lpos", "n_columns", "n_runs", "prev_end", "prev_last")
-    both = (
-        marks.withColumns(
-            {
-                "_b1": F.lag(side, 1).over(order),
-                "_b2": F.lag(side, 2).over(order),
-                "_next": F.lead(following, 1).over(order),
-                "_not": F.lag(following, 1).over(order),
-            }
-        )
-        .filter(F.col("is_op"))
-        .withColumns(
-            {
-                "negated": negated,
-                "_start": F.when(negated, F.col("_b2")).otherwise(F.col("_b1")),
-                "_stop": F.when(negated, F.col("_not.lpos")).otherwise(F.col("lpos")),
-                "left_hi": F.when(negated, F.col("_not.prev_end")).otherwise(F.col("prev_end")),
-                "right_hi": F.coalesce(F.col("_next.prev_end"), F.col("level_end")),
-                "right_len": F.coalesce(F.col("_next.lpos"), F.col("level_last") + 1)
-                - F.col("lpos")
-                - 1,
-                "right_has_column": F.coalesce(F.col("_next.n_columns"), F.col("level_columns"))
-                > F.col("n_columns"),
-            }
-        )
-        .withColumns(
-            {
-                "left_runs": F.when(negated, F.col("_not.n_runs")).otherwise(F.col("n_runs"))
-                - F.coalesce(F.col("_start.n_runs"), F.lit(0)) - 1,
-                "left_tail": F.when(negated, F.col("_not.prev_last")).otherwise(F.col("prev_last")),
-                "right_runs": F.coalesce(F.col("_next.n_runs") - 1, F.col("level_runs")) - F.col("n_runs"),
-                "right_tail": F.when(F.col("_next.lpos").isNotNull(), F.col("_next.prev_last")).otherwise(F.col("level_tail")),
-                # Before the first mark of a level stands nothing.
-                "left_len": F.col("_stop") - F.coalesce(F.col("_start.lpos"), F.lit(0)) - 1,
-                "left_has_column": F.col("n_columns")
-                > F.coalesce(F.col("_start.n_columns"), F.lit(0)),
-            }
-        )
-    )
-
-    def described(prefix, get):
-        n = F.col(f"{prefix}_len")
-        shape = F.substring(get("ahead"), F.lit(1), F.greatest(F.least(n, F.lit(5)), F.lit(0)))
-        tail = F.col(f"{prefix}_tail")
-        # One name, with as many parts as it likes.
-        bare = (F.col(f"{prefix}_runs") == 1) & shape.startswith("c") & (tail["code"] == "c")
-        return {
-            f"{prefix}_ahead": get("ahead"),
-            f"{prefix}_shape": shape,
-            f"{prefix}_token": get("t1"),
-            f"{prefix}_name": F.when(bare, tail["tok"]),
-            f"{prefix}_qualifier": F.when(bare & (n >= 3) & (tail["qualifier_code"] == "c"), tail["qualifier"]),
-            f"{prefix}_inner_bare": F.coalesce(get("inner_bare"), F.lit(False)),
-            f"{prefix}_lo": get("off1"),
-        }
-
-    out = both.withColumns(
-        {
-            **described("left", lambda c: F.col(f"_start.{c}")),
-            **described("right", F.col),
-        }
-    )
-    keep = [key, "pos", "level", "section", "owned", "outer_join", "u", "negated"]
-    for prefix in ("left", "right"):
-        keep += [
-            f"{prefix}_{c}"
-            for c in ("shape", "ahead", "len", "token", "name", "qualifier", "inner_bare", "lo", "hi", "has_column")
-        ]
-    return out.select(*keep)
+    return is_op, ends
 
 
 # --- tables and aliases --------------------------------------------------------------
@@ -522,34 +389,23 @@ def unquote_name(token: Column) -> Column:
     return F.regexp_replace(token, r'^["`\[]|["`\]]$', "")
 
 
-def table_aliases(levels: DataFrame, key: str = "qid") -> DataFrame:
-    """``key, alias, table_name``: every table and alias of the whole statement.
-
-    ``alias`` is lower-cased, ``table_name`` as written; a table is its own alias.
-    """
-    order = W.partitionBy(key, "level").orderBy("pos")
-    running = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    u = F.col("u")
+def level_clause() -> Column:
+    """The clause a level's token opens, ``|`` for the brackets around the level."""
     word = (F.col("kind") == "word") & ~F.col("delimiter")
-    lclause = F.last(
-        F.when(F.col("delimiter"), "|").when(
-            word & u.isin("SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "SET",
-                          "VALUES", "RETURNING", "ON", "JOIN", "DELETE", "UPDATE", "INTO", "USING"),
-            u,
-        ),
-        ignorenulls=True,
-    ).over(running)
-    rows = levels.withColumn("lclause", lclause).withColumns(
-        {
-            "prev_clause": F.lag("lclause", 1).over(order),
-            "prev2_clause": F.lag("lclause", 2).over(order),
-        }
-    )
+    clauses = (
+        "SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "SET", "VALUES", "RETURNING", "ON", "JOIN",
+        "DELETE", "UPDATE", "INTO", "USING",
+    )
+    return F.when(F.col("delimiter"), "|").when(word & among("u", clauses), F.col("u"))
+
+
+def starts_table() -> Column:
+    """Whether a table's name begins at a token, by the two words and clauses (``lclause``) before it."""
     # FROM inside EXTRACT(..), TRIM(..) or IS DISTINCT FROM introduces no table.
     from_ok = F.col("prev2_clause").isin("SELECT", "DELETE", "SET", "FROM") & ~(
         F.coalesce(F.col("prev2_u") == "DISTINCT", F.lit(False))
     )
-    starts = (
+    return (
         ~F.col("delimiter")
         & (F.col("code").isin("c") | ((F.col("code") == "f") & (F.col("prev_u") == "INTO")))
         & (
@@ -563,51 +419,3 @@ def table_aliases(levels: DataFrame, key: str = "qid") -> DataFrame:
             | ((F.col("prev_u") == "LATERAL"))
         )
     )
-    # Without the insides of names a table's row is followed by what comes after all its parts,
-    # and the token before that one is the last part: the table's own name.
-    after = {
-        "_next": F.lead(F.struct("tok", "code", "prev_last"), 1).over(order),
-        "_next2": F.lead(F.struct("tok", "code"), 2).over(order),
-    }
-    found = (
-        rows.withColumn("_starts", starts)
-        .filter("opens_run")
-        .withColumns(after)
-        .filter("_starts")
-        .withColumn("_last", F.when(F.col("_next").isNotNull(), F.col("_next.prev_last")).otherwise(F.col("level_tail")))
-        # `FROM series(..)` is a call; `USING (..)` of a join is a column list.
-        .filter(~((F.col("_last.code") == "f") & (F.col("prev_u") != "INTO")))
-    )
-    name, next_tok, next2_tok = F.col("_last.tok"), F.col("_next.tok"), F.col("_next2.tok")
-    alias = F.when(F.col("_next.code") == "c", next_tok).when(
-        (F.upper(next_tok) == "AS") & (F.col("_next2.code") == "c"), next2_tok
-    )
-    entries = found.select(
-        key, "pos", unquote_name(name).alias("table_name"), unquote_name(alias).alias("_alias")
-    ).select(
-        key,
-        "pos",
-        "table_name",
-        F.explode(
-            F.when(F.col("_alias").isNull(), F.array(F.lower("table_name"))).otherwise(
-                F.array(F.lower("table_name"), F.lower("_alias"))
-            )
-        ).alias("alias"),
-    )
-    return entries.groupBy(key, "alias").agg(F.max_by("table_name", "pos").alias("table_name"))
-
-
-def resolve_columns(columns: DataFrame, aliases: DataFrame, key: str = "qid") -> DataFrame:
-    """Adds ``table_name`` to rows with ``qualifier`` (nullable): NULL where unknown."""
-    single = aliases.groupBy(key).agg(
-        F.min("table_name").alias("_only"),
-        (F.min("table_name") == F.max("table_name")).alias("_is_single"),
-    )
-    named = aliases.select(key, F.col("alias").alias("_alias"), F.col("table_name").alias("_named"))
-    joined = columns.withColumn("_alias", F.lower(unquote_name(F.col("qualifier")))).join(
-        named, [key, "_alias"], "left"
-    ).join(single, [key], "left")
-    return joined.withColumn(
-        "table_name",
-        F.when(F.col("qualifier").isNotNull(), F.col("_named")).when(F.col("_is_single"), F.col("_only")),
-    ).drop("_alias", "_named", "_only", "_is_single")

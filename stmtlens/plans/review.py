@@ -116,7 +116,7 @@ def review_changes(
     if versions is not None:
         schema = versions.schema
         judged_by = queries.join(versions.sources.select("repo", "pr", "rev"), ["repo", "pr"])
-    found = rules.run_rules(rules.audit_tables(judged_by, schema, persist=True)).join(
+    found = rules.run_rules(rules.audit_tables(judged_by, schema)).join(
         queries.select("qid", *KEYS, "ordinal", "id", "line", "extent"), "qid"
     ).join(changed.select(*KEYS, F.col("seq").cast("long").alias("file_seq")), list(KEYS))
     none = F.lit(None).cast("int")

@@ -18,6 +18,8 @@ LOCAL_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "8g",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans here have thousands of column expressions; noting the Python line of each costs seconds.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

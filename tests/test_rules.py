@@ -113,7 +113,16 @@ def test_unreadable_file_is_one_row(spark):
     assert row.id == "f.sql:1" and row.line == 1 and row.parse_error and row.text.startswith("SELECT 1;")
 
 
-def test_one_shuffle_for_token_tables(spark):
-    t = tables(spark, ["SELECT a FROM t"])
-    plan = t.predicates._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_one_scan_and_one_shuffle(spark):
+    """A rule reads the statements once and moves their text once; so do all rules together."""
+    schema = spark.createDataFrame(
+        [("t", ["id"], {"id": "int"})], "table_name string, indexed_columns array<string>, column_types map<string,string>"
+    )
+    for t, found in ((tables(spark, ["SELECT a FROM t"]), ru.rule_no_limit), (tables(spark, ["SELECT a FROM t"]), ru.run_rules)):
+        plan = found(t)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan ExistingRDD") == 1
+    for found in (ru.rule_unindexed_filter, ru.run_rules):
+        plan = found(tables(spark, ["SELECT a FROM t"], schema))._jdf.queryExecution().executedPlan().toString()
+        # The second scan is that of the schema.
+        assert plan.count("Scan ExistingRDD") == 2
+        assert plan.count("Exchange hashpartitioning(qid") == 1

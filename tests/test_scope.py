@@ -1,6 +1,7 @@
 """Faults that the registered fixtures do not reach: long paths, listed order, locks, schemas by repository."""
 
 from stmtlens.operators import rules
+from stmtlens.operators.records import table_aliases
 from stmtlens.operators import schema as sc
 from stmtlens.plans.review import review_changes
 
@@ -53,9 +54,9 @@ def _queries(spark, rows):
 def test_row_locks_are_no_tables(spark):
     texts = ["SKIP LOCKED", "NOWAIT", ""]
     queries = _queries(spark, [("r", f"SELECT id FROM orders WHERE country = 'x' FOR UPDATE {t}") for t in texts])
-    tables = rules.audit_tables(queries).aliases.collect()
+    tables = table_aliases(rules.audit_tables(queries).records).collect()
     assert sorted((r["qid"], r["table_name"]) for r in tables) == [(i, "orders") for i in range(3)]
-    update = rules.audit_tables(_queries(spark, [("r", "UPDATE orders SET a = 1")])).aliases.collect()
+    update = table_aliases(rules.audit_tables(_queries(spark, [("r", "UPDATE orders SET a = 1")])).records).collect()
     assert [r["table_name"] for r in update] == ["orders"]
 
 
