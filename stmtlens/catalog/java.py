@@ -316,7 +316,7 @@ def unresolved(spark, folder):
 def relations(spark, folder):
     """Lazy relations, with the mapped table of their entity."""
     facts = _facts(spark, folder)
-    tables = jv.entity_tables(facts.types, facts.levels, facts.files)
+    tables = jv.entity_tables(facts.types, facts.levels, facts.pieces)
     return facts.relations.join(tables, ["repo", "entity"], "left").select(
         "repo", "path", "entity", "field", "accessor", "association", "line", "table_name"
     )
@@ -378,7 +378,7 @@ _METHOD_QUERIES = sql_values(
 def imports(spark, folder):
     """Where would the service find its repository types and a third one?"""
     facts = _facts(spark, folder)
-    found = jv.package_imports(facts.levels, facts.files)
+    found = jv.package_imports(facts.levels, facts.pieces)
     wanted = facts.files.filter(F.col("path").contains("/app/")).select(
         "repo", "path", F.explode(F.array(F.lit("OrderRepository"), F.lit("AuditRepository"))).alias("type_name")
     )

@@ -32,24 +32,22 @@ REPOSITORY_BASES = (
 ).split()
 LAZY_BY_DEFAULT = ("OneToMany", "ManyToMany")
 EAGER_BY_DEFAULT = ("ManyToOne", "OneToOne")
+# Methods of the Java library that call a lambda once per element, of collections and iterators, then of streams.
 EACH_ELEMENT = ("forEach", "forEachOrdered", "forEachRemaining", "removeIf")
 EACH_STREAM_ELEMENT = (
     "map flatMap filter peek mapToObj mapToInt mapToLong mapToDouble anyMatch allMatch "
     "noneMatch takeWhile dropWhile sorted collect reduce"
 ).split()
-# Reserved words of the Java language specification that are no names: of its statements (chapter 14),
-# then of its expressions (chapter 15).
-CONTROL_WORDS = (
-    "assert", "break", "case", "catch", "continue", "do", "else", "finally", "for", "if", "return",
-    "switch", "synchronized", "throw", "try", "while", "yield",
-    "instanceof", "new", "super", "this",
-)
-# Its modifiers (chapters 8 and 9): of access, then the others; "non" is the first half of non-sealed.
-MODIFIERS = (
-    "private", "protected", "public",
-    "abstract", "default", "final", "native", "non", "sealed", "static", "strictfp", "synchronized",
-    "transient", "volatile",
-)
+# The reserved keywords and literals of the Java Language Specification (3.9, 3.10), in its order.
+RESERVED_WORDS = (
+    "abstract assert boolean break byte case catch char class const continue default do double else enum extends "
+    "final finally float for goto if implements import instanceof int interface long native new package private "
+    "protected public return short static strictfp super switch synchronized this throw throws transient try void "
+    "volatile while true false null"
+).split()
+# Those of them that are types (4.2), and void; the others begin no declaration's type and name nothing.
+PRIMITIVE_TYPES = ("byte", "short", "int", "long", "char", "float", "double", "boolean", "void")
+NO_TYPES = [w for w in RESERVED_WORDS if w not in PRIMITIVE_TYPES]
 TYPE_WORDS = ("class", "interface", "enum", "record")
 
 
@@ -239,6 +237,42 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+# --- text of spans ----------------------------------------------------------------------------
+
+#: Characters of a piece of text.
+_PIECE = 256
+
+
+def text_pieces(files: DataFrame) -> DataFrame:
+    """``FILE, pieces``: the text of each file in pieces of equal length, so that a place is found at once."""
+    return files.select(*FILE, F.regexp_extract_all("content", F.lit(rf"[\s\S]{{1,{_PIECE}}}+"), F.lit(0)).alias("pieces"))
+
+
+def with_texts(spans: DataFrame, pieces: DataFrame, **cuts: tuple[str, str]) -> DataFrame:
+    """``spans`` with the text between two of their offset columns under each name; null without offsets.
+
+    The spans of a file meet its pieces once, and each reads the pieces it covers: the work is that of
+    the texts cut, whatever the file's length.  Files without spans are not read.
+    """
+
+    def cut(s, lo, hi):
+        first, long = F.floor(s[lo] / _PIECE).cast("int"), F.greatest(s[hi] - s[lo], F.lit(0)).cast("int")
+        covered = F.slice("pieces", first + 1, F.floor((s[lo] % _PIECE + long) / _PIECE).cast("int") + 1)
+        return F.substring(F.array_join(covered, ""), (s[lo] % _PIECE).cast("int") + 1, long)
+
+    rest = [c for c in spans.columns if c not in FILE]
+    grouped = spans.groupBy(*FILE).agg(F.collect_list(F.struct(*rest)).alias("_spans"))
+    read = F.transform("_spans", lambda s: F.struct(
+        *(s[c].alias(c) for c in rest), *(F.when(s[lo].isNotNull() & s[hi].isNotNull(), cut(s, lo, hi)).alias(n) for n, (lo, hi) in cuts.items())
+    ))
+    return grouped.join(pieces, list(FILE)).select(*FILE, F.explode(read).alias("_s")).select(*FILE, "_s.*")
+
+
+def one_line(text: Column) -> Column:
+    """White space collapsed."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 # --- declarations --------------------------------------------------------------------------------
 
 
@@ -288,12 +322,12 @@ def java_methods(levels: DataFrame, types: DataFrame) -> DataFrame:
     """Methods and constructors: ``name, line, off, declaring_type, params_*, body_*, annotations``."""
     member = types.select(*FILE, F.col("member_braces").alias("braces")).distinct()
     rows = levels.filter(
-        ~F.col("delim") & (F.col("kind") == "name") & ~F.col("tok").isin(*CONTROL_WORDS, *TYPE_WORDS)
+        ~F.col("delim") & (F.col("kind") == "name") & ~F.col("tok").isin(*RESERVED_WORDS, *TYPE_WORDS)
         & _false(F.col("l1.tok") == "(") & _false(F.col("l2.tok") == ")") & F.col("p1").isNotNull()
     ).join(member, [*FILE, "braces"], "left_semi")
     owned = innermost(rows, types, {"name": "declaring_type"})
     previous = F.col("p1")
-    typed = ((F.col("p1kind") == "name") & ~previous.isin(*CONTROL_WORDS)) | previous.isin(">", "]")
+    typed = ((F.col("p1kind") == "name") & ~previous.isin(*NO_TYPES)) | previous.isin(">", "]")
     declared = owned.filter(
         (_false(F.col("tok") == F.col("declaring_type")) | typed)
         & F.col("term.tok").isin("{", ";") & ~F.col("term.delim")
@@ -305,12 +339,13 @@ def java_methods(levels: DataFrame, types: DataFrame) -> DataFrame:
         (F.col("l2.off") + 1).alias("params_end"),
         F.when(has_body, F.col("term.off") + 1).alias("body_start"),
         F.when(has_body, F.col("term.next_off")).alias("body_end"),
+        F.when(has_body, F.col("term.pos")).alias("body_pos"),
     )
 
 
 def bodies(methods: DataFrame) -> DataFrame:
     return methods.filter(F.col("body_start").isNotNull()).select(
-        *FILE, F.col("body_start").alias("start"), F.col("body_end").alias("end"), "name"
+        *FILE, F.col("body_start").alias("start"), F.col("body_end").alias("end"), "name", "body_pos"
     )
 
 
@@ -327,7 +362,7 @@ def declared_variables(levels: DataFrame) -> DataFrame:
     rows = levels.withColumn("_stopped", F.max(stop.cast("int")).over(inside))
     live = first & (F.col("_stopped") == 0)
     name = (
-        live & (F.col("kind") == "name") & (F.col("angle") == 0) & ~tok.isin(*MODIFIERS)
+        live & (F.col("kind") == "name") & (F.col("angle") == 0) & ~tok.isin(*NO_TYPES)
         & ~_false(F.col("p1") == "@") & ~_false(F.col("n1") == ".")
     )
     odd = live & (F.col("kind") != "name") & ~tok.isin("[", "]", ".", "<", ">", "@", "(", ")", ",", "?", "&")
@@ -358,7 +393,7 @@ def declared_variables(levels: DataFrame) -> DataFrame:
 # --- loops ---------------------------------------------------------------------------------------
 
 
-def java_iterations(levels: DataFrame, variables: DataFrame, files: DataFrame) -> DataFrame:
+def java_iterations(levels: DataFrame, variables: DataFrame, pieces: DataFrame) -> DataFrame:
     """Bodies that run once per element: ``iteration_kind, start, end, line, element, element_type, iterable``.
 
     The header of a loop is never part of its body.
@@ -433,21 +468,15 @@ def java_iterations(levels: DataFrame, variables: DataFrame, files: DataFrame) -
         .unionByName(_lambdas(levels))
         .filter(F.col("start").isNotNull() & F.col("end").isNotNull())
     )
-    # Only the loops over elements show a part of the text; the others meet none in this join.
-    texts = files.select(F.col("repo").alias("_repo"), F.col("path").alias("_path"), "content")
-    shows = F.when(F.col("text_lo").isNotNull(), F.col("path"))
-    return spans.join(texts, (F.col("repo") == F.col("_repo")) & (shows == F.col("_path")), "left").select(
+    # Only the loops over elements show a part of the text.
+    shown = with_texts(spans.filter(F.col("text_lo").isNotNull()), pieces, iterable=("text_lo", "text_hi"))
+    plain = spans.filter(F.col("text_lo").isNull()).withColumn("iterable", none("string"))
+    return shown.unionByName(plain).select(
         *FILE, "iteration_kind", "start", "end", "element", "element_type", F.col("line").cast("int").alias("line"),
-        source_text(F.col("text_lo"), F.col("text_hi")).alias("iterable"),
+        one_line(F.col("iterable")).alias("iterable"),
     )
 
 
-def source_text(lo: Column, hi: Column) -> Column:
-    """Text of ``content`` between two offsets, white space collapsed."""
-    cut = F.substring("content", (lo + 1).cast("int"), (hi - lo).cast("int"))
-    return F.trim(F.regexp_replace(cut, r"\s+", " "))
-
-
 def _lambdas(levels: DataFrame) -> DataFrame:
     """Lambdas whose consumer runs them once per element."""
     tok = F.col("tok")
@@ -477,7 +506,7 @@ def _lambdas(levels: DataFrame) -> DataFrame:
         (F.col("before") == ")") & (F.col("b2.tok") == "("), F.lit(None)
     )
     # `(x) ->` and `(Type x) ->`: the one parameter inside the parentheses.
-    inner = levels.filter(~F.col("delim") & (F.col("kind") == "name") & (F.col("angle") == 0) & ~F.col("tok").isin(*MODIFIERS)).groupBy(
+    inner = levels.filter(~F.col("delim") & (F.col("kind") == "name") & (F.col("angle") == 0) & ~F.col("tok").isin(*NO_TYPES)).groupBy(
         *FILE, F.col("block").alias("_open")
     ).agg(F.max_by("tok", "pos").alias("_inner"), F.max("part").alias("_parts"))
     close_block = F.col("l1.tok") == "{"
@@ -538,7 +567,7 @@ def repository_closure(types: DataFrame) -> DataFrame:
 
 
 def java_handles(
-    variables: DataFrame, types: DataFrame, methods: DataFrame, repositories: DataFrame, files: DataFrame
+    variables: DataFrame, types: DataFrame, methods: DataFrame, repositories: DataFrame, pieces: DataFrame
 ) -> DataFrame:
     """Fields, parameters and locals that hold a repository.
 
@@ -565,20 +594,15 @@ def java_handles(
     )
     named = fields.unionByName(parameters)
     # Locals: the statement follows a `;` or opens the method body, as written.
-    locals_ = (
+    locals_ = with_texts(
         variables.filter(
             (F.col("end_tok") == "=") & (F.col("part") == 0) & F.col("start_p1").isin(";", "{")
             & (F.col("_holds") | (F.col("type") == "var"))
-        )
-        .join(files.select(*FILE, "content"), list(FILE))
-        .withColumn("_right", F.regexp_replace(source_text(F.col("end_off"), F.col("term_off")), r"\Athis\.", ""))
-        .drop("content")
-        .withColumn("off", F.col("start_off"))
-    )
+        ),
+        pieces, _right=("end_off", "term_off"),
+    ).withColumns({"_right": F.regexp_replace(one_line(F.col("_right")), r"\Athis\.", ""), "off": F.col("start_off")})
     inside = innermost(locals_, bodies(methods).withColumn("s", F.col("start")).withColumn("e", F.col("end")),
-                       {"s": "start", "e": "end"}).filter(F.col("start").isNotNull())
-    # `{` counts only when it opens the body itself.
-    opening = bodies(methods).select(*FILE, F.col("start").alias("_bs")).distinct()
+                       {"s": "start", "e": "end", "body_pos": "body_pos"}).filter(F.col("start").isNotNull())
     sources = named.groupBy(*FILE, F.col("identifier").alias("_right")).agg(
         F.max_by("repository_type", F.struct("injection", "line")).alias("_from")
     )
@@ -586,12 +610,8 @@ def java_handles(
         inside.join(sources, [*FILE, "_right"], "left")
         .withColumn("repository_type", F.when(F.col("_holds"), F.col("type")).otherwise(F.col("_from")))
         .filter(F.col("repository_type").isNotNull())
-        .join(files.select(*FILE, "content"), list(FILE))
-        .filter(
-            (F.col("start_p1") == ";")
-            | (F.regexp_replace(F.substring("content", (F.col("start") + 1).cast("int"), (F.col("start_off") - F.col("start")).cast("int")),
-                                lx.JAVA_TRIVIA, "") == "")
-        )
+        # `{` counts only when it opens the body itself.
+        .filter((F.col("start_p1") == ";") | (F.col("block") == F.col("body_pos")))
         .select(*FILE, F.col("variable").alias("identifier"), "repository_type",
                 F.lit("local-variable").alias("injection"), F.col("start_line").alias("line"), "start", "end")
     )
@@ -625,7 +645,7 @@ def resolve_handles(points: DataFrame, handles: DataFrame) -> DataFrame:
 def _calls(levels: DataFrame) -> DataFrame:
     """``receiver.method(`` with its argument span."""
     return levels.filter(
-        ~F.col("delim") & (F.col("kind") == "name") & ~F.col("tok").isin(*CONTROL_WORDS)
+        ~F.col("delim") & (F.col("kind") == "name") & ~F.col("tok").isin(*RESERVED_WORDS)
         & _false(F.col("l1.tok") == "(") & _false(F.col("l2.tok") == ")") & _false(F.col("p1") == ".")
         & _false(F.col("p2kind") == "name") & ~_false(F.col("p2") == "this")
     ).select(
@@ -648,7 +668,7 @@ def _placed(points: DataFrame, types: DataFrame, methods: DataFrame, iterations:
 
 def call_sites(
     levels: DataFrame, types: DataFrame, methods: DataFrame, handles: DataFrame,
-    iterations: DataFrame, repositories: DataFrame, files: DataFrame,
+    iterations: DataFrame, repositories: DataFrame, pieces: DataFrame,
 ) -> DataFrame:
     """Calls on repository handles with the loops around them and their argument dependency."""
     # The calls that matter are few; from here on they are read three times.
@@ -657,11 +677,9 @@ def call_sites(
     )
     known = repositories.select("repo", F.col("type_name").alias("repository_type"), F.lit(True).alias("_known"))
     rows = (
-        _placed(resolved, types, methods, iterations)
+        _placed(with_texts(resolved, pieces, arguments=("args_lo", "args_hi")), types, methods, iterations)
         .join(known, ["repo", "repository_type"], "left")
-        .join(files.select(*FILE, "content"), list(FILE))
-        .withColumn("arguments", source_text(F.col("args_lo"), F.col("args_hi")))
-        .drop("content")
+        .withColumn("arguments", one_line(F.col("arguments")))
         .withColumn("resolution", F.when(F.col("_known"), "declared").otherwise("name-convention"))
     )
     return argument_dependency(rows).drop("_known", "args_lo", "args_hi")
@@ -704,7 +722,7 @@ def unresolved_types(sites: DataFrame, repositories: DataFrame) -> DataFrame:
 # --- entities ---------------------------------------------------------------------------------------------
 
 
-def entity_tables(types: DataFrame, levels: DataFrame, files: DataFrame) -> DataFrame:
+def entity_tables(types: DataFrame, levels: DataFrame, pieces: DataFrame) -> DataFrame:
     """``repo, entity, table_name`` from ``@Entity`` with ``@Table(name = ..)``."""
     entities = types.filter(F.array_contains("annotations", "Entity")).select(
         *FILE, F.col("name").alias("entity"), F.col("start").alias("_body")
@@ -715,20 +733,17 @@ def entity_tables(types: DataFrame, levels: DataFrame, files: DataFrame) -> Data
     nearest = entities.join(notes, [*FILE, "_body"]).groupBy(*FILE, "entity", "_body").agg(
         F.max_by(F.struct("lo", "hi"), "off").alias("_n")
     )
-    text = F.substring("content", (F.col("_n.lo") + 1).cast("int"), (F.col("_n.hi") - F.col("_n.lo")).cast("int"))
-    tail = F.substring("content", (F.col("_n.lo") + 1).cast("int"), (F.col("_body") - F.col("_n.lo")).cast("int"))
-    bare = F.regexp_replace(tail, r'"[^"\n]*"', "")
+    read = with_texts(nearest.select(*FILE, "entity", "_body", "_n.*"), pieces, text=("lo", "hi"), tail=("lo", "_body"))
     return (
-        nearest.join(files.select(*FILE, "content"), list(FILE))
         # a brace between the annotation and the body ends the search for it
-        .filter(~F.rlike(bare, F.lit("[{}]")))
-        .withColumn("table_name", F.regexp_extract(text, r"""name\s*=\s*["']([^"']+)["']""", 1))
+        read.filter(~F.rlike(F.regexp_replace("tail", r'"[^"\n]*"', ""), F.lit("[{}]")))
+        .withColumn("table_name", F.regexp_extract("text", r"""name\s*=\s*["']([^"']+)["']""", 1))
         .filter("table_name <> ''")
         .select("repo", "entity", "table_name")
     )
 
 
-def entity_relations(types: DataFrame, levels: DataFrame, variables: DataFrame, files: DataFrame) -> DataFrame:
+def entity_relations(types: DataFrame, levels: DataFrame, variables: DataFrame, pieces: DataFrame) -> DataFrame:
     """Lazy associations of entities: ``entity, field, accessor, association, line``."""
     entities = types.filter(F.array_contains("annotations", "Entity")).select(
         *FILE, F.col("name").alias("entity"), F.col("open_pos").alias("block")
@@ -744,12 +759,12 @@ def entity_relations(types: DataFrame, levels: DataFrame, variables: DataFrame,
                                         F.when(F.col("l1.tok") == "(", F.col("l1.end")).alias("lo"),
                                         F.when(F.col("l1.tok") == "(", F.col("l2.off")).alias("hi")).alias("_n"),
     ).groupBy(*FILE, "level", "seg").agg(F.min("_n").alias("_n"))
-    cut = lambda lo, hi: F.regexp_replace(
-        F.coalesce(F.substring("content", (lo + 1).cast("int"), (hi - lo).cast("int")), F.lit("")), r'"[^"\n]*"', "")
+    bare = lambda text: F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r'"[^"\n]*"', "")
+    spans = fields.join(notes, [*FILE, "level", "seg"]).withColumns({"lo": F.col("_n.lo"), "hi": F.col("_n.hi")})
     joined = (
-        fields.join(notes, [*FILE, "level", "seg"]).join(files.select(*FILE, "content"), list(FILE))
-        .withColumn("_braced", F.rlike(cut(F.col("_n.lo"), F.col("term_off")), F.lit("[{}]")))
-        .withColumn("_args", F.when(F.col("_braced"), "").otherwise(cut(F.col("_n.lo"), F.col("_n.hi"))))
+        with_texts(spans, pieces, _tail=("lo", "term_off"), _inner=("lo", "hi"))
+        .withColumn("_braced", F.rlike(bare("_tail"), F.lit("[{}]")))
+        .withColumn("_args", F.when(F.col("_braced"), "").otherwise(bare("_inner")))
     )
     association = F.col("_n.association")
     lazy = ~F.col("_args").contains("EAGER") & (association.isin(*LAZY_BY_DEFAULT) | F.col("_args").contains("LAZY"))
@@ -918,14 +933,13 @@ def method_queries(methods: DataFrame, types: DataFrame, queries: DataFrame, rep
 # --- imports ------------------------------------------------------------------------------------------------
 
 
-def package_imports(levels: DataFrame, files: DataFrame) -> DataFrame:
+def package_imports(levels: DataFrame, pieces: DataFrame) -> DataFrame:
     """``FILE, word, name, off`` of package and import declarations."""
     heads = levels.filter(
         ~F.col("delim") & F.col("tok").isin("package", "import") & ~_false(F.col("p1") == ".") & (F.col("term.tok") == ";")
     ).select(*FILE, "tok", "off", "end", F.col("term.off").alias("stop"))
-    text = F.substring("content", (F.col("end") + 1).cast("int"), (F.col("stop") - F.col("end")).cast("int"))
-    words = F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*|\*"), F.lit(0)), lambda w: w != "static")
-    return heads.join(files.select(*FILE, "content"), list(FILE)).select(
+    words = F.filter(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*|\*"), F.lit(0)), lambda w: w != "static")
+    return with_texts(heads, pieces, text=("end", "stop")).select(
         *FILE, F.col("tok").alias("word"), F.array_join(words, ".").alias("name"), "off"
     ).filter("name <> ''")
 
@@ -965,6 +979,10 @@ class JavaFacts:
     def __init__(self, files: DataFrame):
         self.files = files
 
+    @cached_property
+    def pieces(self) -> DataFrame:
+        return cut_lineage(text_pieces(self.files))
+
     @cached_property
     def levels(self) -> DataFrame:
         return cut_lineage(java_levels(java_tokens(self.files)))
@@ -987,23 +1005,23 @@ class JavaFacts:
 
     @cached_property
     def iterations(self) -> DataFrame:
-        return cut_lineage(java_iterations(self.levels, self.variables, self.files))
+        return cut_lineage(java_iterations(self.levels, self.variables, self.pieces))
 
     @cached_property
     def handles(self) -> DataFrame:
         return cut_lineage(
-            java_handles(self.variables, self.types, self.methods, self.repositories, self.files)
+            java_handles(self.variables, self.types, self.methods, self.repositories, self.pieces)
         )
 
     @cached_property
     def relations(self) -> DataFrame:
-        return entity_relations(self.types, self.levels, self.variables, self.files)
+        return entity_relations(self.types, self.levels, self.variables, self.pieces)
 
     @cached_property
     def sites(self) -> DataFrame:
         return call_sites(
             self.levels, self.types, self.methods, self.handles, self.iterations,
-            self.repositories, self.files,
+            self.repositories, self.pieces,
         )
 
     @cached_property
