@@ -65,8 +65,10 @@ def java_tokens(files: DataFrame, literals: bool = False) -> DataFrame:
     with ``literals``, and are never structure.  ``depth`` counts all open brackets,
     ``braces`` the curly ones; a pair shares the value outside it.
     """
+    # Whether a file can repeat anything at all; a text without these words has no loop and no lambda.
+    repeats = F.rlike("content", F.lit(r"\b(?:for|while|do)\b|->"))
     pieces = hash_spread(files.select(*FILE, "content"), *FILE).select(
-        *FILE, F.posexplode(lx.java_pieces(F.col("content"))).alias("_n", "_piece")
+        *FILE, repeats.alias("repeats"), F.posexplode(lx.java_pieces(F.col("content"))).alias("_n", "_piece")
     )
     order = W.partitionBy(*FILE).orderBy("_n")
     running = order.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -108,9 +110,6 @@ def java_tokens(files: DataFrame, literals: bool = False) -> DataFrame:
             "p1": F.lag("tok", 1).over(order),
             "p2": F.lag("tok", 2).over(order),
             "p2kind": F.lag("kind", 2).over(order),
-            "p2off": F.lag("off", 2).over(order),
-            "p3": F.lag("tok", 3).over(order),
-            "p4": F.lag("tok", 4).over(order),
             "p1kind": F.lag("kind", 1).over(order),
             "n1": F.lead("tok", 1).over(order),
             "n1kind": F.lead("kind", 1).over(order),
@@ -161,24 +160,23 @@ def java_levels(tokens: DataFrame) -> DataFrame:
             "block_tok": F.last(F.when(F.col("delim") & tok.isin("(", "[", "{"), tok), ignorenulls=True).over(running),
             "seg": F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)),
             "l1": F.lead(near, 1).over(order),
-            "l2": F.lead(near, 2).over(order),
+            "l2": F.lead(F.struct("tok", "off", "end"), 2).over(order),
             "l3": F.lead(F.struct("tok", "off", "line"), 3).over(order),
             "l4": F.lead(F.struct("off"), 4).over(order),
             "b1": F.lag(behind, 1).over(order),
-            "b2": F.lag(behind, 2).over(order),
+            "b2": F.lag(F.struct("tok", "pos"), 2).over(order),
             "b3": F.lag(F.struct("tok"), 3).over(order),
         }
     )
     part_of = W.partitionBy(*FILE, "level", "seg").orderBy("pos")
     inside = part_of.rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(*FILE, "level", "seg")
+    whole = part_of.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     angle = (tok == "<").cast("int") - (tok == ">").cast("int")
-    summary = F.struct("pos", "tok", "off", "end", "delim", "line", "p1", F.col("l1.off").alias("next_off"))
     rows = rows.withColumns(
         {
             "angle": F.sum(angle).over(inside) - (tok == "<").cast("int"),
-            "start": F.min(summary).over(whole),
-            "term": F.max(summary).over(whole),
+            "start": F.first(F.struct("tok", "off", "line", "p1")).over(inside),
+            "term": F.last(F.struct("pos", "tok", "off", "delim", F.col("l1.off").alias("next_off"))).over(whole),
         }
     )
     comma = ((tok == ",") & (F.col("angle") == 0)).cast("int")
@@ -399,6 +397,7 @@ def java_iterations(levels: DataFrame, variables: DataFrame, pieces: DataFrame)
     The header of a loop is never part of its body.
     """
     tok = F.col("tok")
+    levels = levels.filter("repeats")
     code = levels.filter(~F.col("delim"))
     # A body without braces ends at the next `;` of its level: merge the loops' rows with
     # the semicolons and carry the nearest one back.
@@ -495,7 +494,7 @@ def _lambdas(levels: DataFrame) -> DataFrame:
         levels.filter((tok == "->") & ~F.col("delim") & (F.col("block_tok") == "("))
         .select(
             *FILE, "level", "block", "pos", "seg", "part", "b1", "b2", "b3", "l1", "l2",
-            F.col("p1").alias("before"), F.col("p2").alias("before2"), F.col("p3").alias("before3"),
+            F.col("p1").alias("before"),
         )
     )
     admitted = arrows.join(calls, [*FILE, "block"]).filter(
