@@ -17,7 +17,7 @@ from stmtlens.llm.common import SPACES, parts, ship, table, written
 from stmtlens.llm.quality import with_length
 
 #: A line on so many distinct sites is boilerplate.
-MIN_SITES = 2
+MIN_SITES = 3
 #: A line of more words is a passage.
 PASSAGE_WORDS = 50
 #: Bits of the sketches: a standard error of 1.04 / sqrt(2 ** 12) = 1.6 percent.
@@ -52,23 +52,23 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, passages: bool =
     """
     sketched = lines.groupBy("h").agg(
         F.hll_sketch_agg("s", LG_K).alias("sketch"), F.min("k").alias("first"),
-        # Whether there are two of them or more is exact without a sketch.
-        (F.min("s") < F.max("s")).alias("two"),
+        # Two different digests are exact without a sketch.
         (F.first("passage") & (F.min("d") < F.max("d")) & F.lit(passages)).alias("passage"),
     )
+    margin = min_sites * NEAR + 1
     likely = written(
-        sketched.select("h", "first", "two", "passage", F.hll_sketch_estimate("sketch").alias("sites")).filter(
-            F.col("passage") | (F.col("sites") >= min_sites * (1 - NEAR) - 1) & (F.col("two") | F.lit(min_sites < 2))
+        sketched.select("h", "first", "passage", F.hll_sketch_estimate("sketch").alias("sites")).filter(
+            F.col("passage") | (F.col("sites") >= min_sites - margin)
         ),
         "spread",
     )
-    near = ~F.col("passage") & (F.abs(F.col("sites") - min_sites) <= min_sites * NEAR + 1) & F.lit(min_sites > 2)
+    # Beyond the margin the sketch decides; within it the sites are counted.
+    near = ~F.col("passage") & (F.col("sites") <= min_sites + margin)
     counted = (
         lines.join(likely.filter(near).select("h"), "h", "left_semi")
         .groupBy("h").agg(F.count_distinct("s").alias("exact"))
     )
-    sites = F.when(F.lit(min_sites == 2) & F.col("two"), F.lit(2)).otherwise(F.coalesce("exact", "sites"))
-    decided = likely.join(counted, "h", "left").filter(F.col("passage") | (sites >= min_sites))
+    decided = likely.join(counted, "h", "left").filter(F.col("passage") | (F.coalesce("exact", "sites") >= min_sites))
     return written(decided.select("h", "first"), "boilerplate")
 
 
@@ -89,11 +89,12 @@ def remove_spread_lines(
     lines = written(line_rows(docs, key, text, site), "lines")
     spread = spread_lines(lines, min_sites, passages)
     hit = lines.join(spread, "h").filter(~F.col("k").eqNullSafe(F.col("first")))
-    marks = written(hit.groupBy("k", "d").agg(F.collect_set("pos").alias("_llm_taken")), "marks")
+    taken = hit.groupBy(F.col("k").alias("_llm_k"), F.col("d").alias("_llm_d")).agg(F.collect_set("pos").alias("_llm_taken"))
+    marks = written(taken, "marks")
     marked = docs.withColumn("_llm_digest", _digest(text))
     # A merge at every size: what could be broadcast grows with the documents.
     joined = marked.join(
-        marks.hint("merge"), marked[key].eqNullSafe(marks["k"]) & (marked["_llm_digest"] == marks["d"]), "left"
+        marks.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("_llm_k")) & (F.col("_llm_digest") == F.col("_llm_d")), "left"
     ).select(*(F.col(f"`{c}`") for c in docs.columns), "_llm_taken")
     names, at = docs.columns, docs.columns.index(text)
 
