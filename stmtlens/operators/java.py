@@ -542,27 +542,35 @@ def _part_ends(levels: DataFrame) -> DataFrame:
 def repository_closure(types: DataFrame) -> DataFrame:
     """``repo, type_name``: interfaces that are repositories, up the hierarchy to a fixpoint.
 
-    Never by name.  One distributed join per level of the hierarchy.
+    Never by name.  The links double: after a round they lead 2, 4, 8 .. levels up, and what is known
+    reaches as far, so the rounds grow with the logarithm of the hierarchy's depth.  A round writes
+    the types it found and the links of those still unknown; whether it found any reaches the driver.
     """
     interfaces = types.filter(F.col("kind") == "interface")
     direct = F.arrays_overlap("supertypes", F.array(*[F.lit(b) for b in REPOSITORY_BASES]))
-    known = cut_lineage(
+    found = cut_lineage(
         interfaces.filter(direct | F.array_contains("annotations", "Repository"))
         .select("repo", F.col("name").alias("type_name")).distinct()
     )
-    edges = cut_lineage(
+    known = found
+    links = cut_lineage(
         interfaces.select("repo", F.col("name").alias("type_name"), F.explode("supertypes").alias("parent"))
+        .distinct().join(known, ["repo", "type_name"], "left_anti")
     )
-    frontier = known
     while True:
-        frontier = cut_lineage(
-            edges.join(frontier.select("repo", F.col("type_name").alias("parent")), ["repo", "parent"], "left_semi")
+        found = cut_lineage(
+            links.join(known.select("repo", F.col("type_name").alias("parent")), ["repo", "parent"], "left_semi")
             .select("repo", "type_name").distinct()
-            .join(known, ["repo", "type_name"], "left_anti")
         )
-        if frontier.isEmpty():
+        if found.isEmpty():
             return known
-        known = cut_lineage(known.unionByName(frontier))
+        known = known.unionByName(found)
+        open_ = links.join(found, ["repo", "type_name"], "left_anti")
+        # A type found just now still leads those below it on.
+        farther = links.select("repo", F.col("type_name").alias("parent"), F.col("parent").alias("_above"))
+        links = cut_lineage(
+            open_.join(farther, ["repo", "parent"]).select("repo", "type_name", F.col("_above").alias("parent")).distinct()
+        )
 
 
 def java_handles(

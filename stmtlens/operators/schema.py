@@ -100,25 +100,25 @@ def substitute_properties(
     """Replace ``${name}`` in ``type`` by the property's value *as of* the row.
 
     ``typed(keys, row_id, order_key, type, ...)`` and ``properties(keys, name, value,
-    order_key)``.  An as-of lookup: both sides are merged per name in order and the
-    last value carries forward, so nothing pairs up.  Unknown names stay as written.
+    order_key)``.  The definitions of a name in a scope are few and become one row, an array in order;
+    each use meets that row and takes the last definition before it.  A name that a third of all columns
+    use is one key of an equi join, which the planner splits.  Unknown names stay as written.
     """
     marked = typed.filter(F.col("type").contains("${"))
     uses = marked.select(
         *keys, "row_id", "order_key",
         F.explode(F.array_distinct(F.regexp_extract_all("type", F.lit(r"\$\{([^}]*)\}"), F.lit(1)))).alias("name"),
     )
-    events = uses.select(*keys, "name", "order_key", "row_id", F.lit(None).cast("string").alias("value")).unionByName(
-        properties.filter(F.col("name").isNotNull() & (F.col("name") != "") & F.col("value").isNotNull()).select(
-            *keys, "name", "order_key", F.lit(None).cast(typed.schema["row_id"].dataType).alias("row_id"), "value"
-        )
-    )
-    window = W.partitionBy(*keys, "name").orderBy("order_key", F.col("row_id").isNotNull()).rowsBetween(
-        W.unboundedPreceding, W.currentRow
+    definitions = (
+        properties.filter(F.col("name").isNotNull() & (F.col("name") != "") & F.col("value").isNotNull())
+        .groupBy(*keys, "name")
+        .agg(F.sort_array(F.collect_list(F.struct("order_key", "value"))).alias("_defined"))
     )
+    before = F.filter("_defined", lambda d: d["order_key"] <= F.col("order_key"))
     values = (
-        events.withColumn("value", F.last("value", ignorenulls=True).over(window))
-        .filter(F.col("row_id").isNotNull() & F.col("value").isNotNull())
+        uses.join(definitions, [*keys, "name"])
+        .withColumn("value", F.try_element_at(before, F.lit(-1))["value"])
+        .filter(F.col("value").isNotNull())
         .groupBy(*keys, "row_id")
         .agg(F.collect_list(F.struct("name", "value")).alias("_values"))
     )

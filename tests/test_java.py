@@ -1,9 +1,13 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from stmtlens.functions import derived as de
 from stmtlens.functions import paths as pa
 from stmtlens.operators import java as jv
+from stmtlens.session import cut_lineage
 
 
 def facts(spark, **sources):
@@ -112,3 +116,44 @@ def test_normpath(spark):
     cases = [("a/../b", "b"), ("./a//b/", "a/b"), ("../a/../../b", "../../b"), ("/../a", "/a"), ("", "."), ("a/..", ".")]
     df = spark.createDataFrame(cases, "p string, want string")
     assert [r for r in df.withColumn("got", pa.normpath(F.col("p"))).collect() if r.got != r.want] == []
+
+
+def test_deep_hierarchies_take_few_rounds(spark, monkeypatch):
+    """A chain of 150 interfaces, cycles, and random links, against a walk; rounds follow the logarithm."""
+    pick = random.Random(3)
+    links = {("chain", f"C{i}"): [f"C{i - 1}"] for i in range(1, 150)} | {("chain", "C0"): ["JpaRepository"]}
+    links |= {("chain", "X"): ["Y"], ("chain", "Y"): ["X"], ("other", "C5"): ["C4"]}
+    links |= {("mesh", f"M{i}"): [f"M{pick.randrange(60)}" for _ in range(pick.randint(0, 2))] for i in range(1, 60)}
+    links[("mesh", "M7")] = ["CrudRepository", "M9"]
+    rows = [(repo, "p", name, "interface", ups, []) for (repo, name), ups in links.items()] + [("mesh", "p", "M0", "interface", [], ["Repository"])]
+    types = spark.createDataFrame(rows, "repo string, path string, name string, kind string, supertypes array<string>, annotations array<string>")
+    known = {("chain", "C0"), ("mesh", "M7"), ("mesh", "M0")}
+    while more := {k for k, ups in links.items() if any((k[0], u) in known for u in ups)} - known:
+        known |= more
+    written = []
+    monkeypatch.setattr(jv, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+    got = [(r.repo, r.type_name) for r in jv.repository_closure(types).collect()]
+    assert sorted(got) == sorted(known) and len(written) <= 2 * 9 + 2
+
+
+def test_span_texts_are_the_files_own(spark):
+    text = "a é😀\n\t" * 200 + "end"
+    spans = [(lo, lo + n) for lo in (0, 1, 255, 256, 257, 700) for n in (0, 1, 2, 255, 256, 300)] + [(len(text) - 3, len(text))]
+    files = spark.createDataFrame([("r", "p", text), ("r", "q", "")], "repo string, path string, content string")
+    asked = spark.createDataFrame([("r", "p", *s) for s in spans] + [("r", "p", None, 5)], "repo string, path string, lo int, hi int")
+    got = {(r.lo, r.hi): r.t for r in jv.with_texts(asked, jv.text_pieces(files), t=("lo", "hi")).collect()}
+    assert got == {(lo, hi): text[lo:hi] for lo, hi in spans} | {(None, 5): None}
+
+
+def test_span_texts_take_time_in_line_with_the_file(spark):
+    """Ten thousand calls in a file of 0.5 and in one of 5 MB: ten times the text, not a hundred times the work."""
+    seconds = {}
+    for size in (500_000, 5_000_000):
+        text, step = "x" * size, size // 10_000
+        files = spark.createDataFrame([("r", "p", text)], "repo string, path string, content string")
+        pieces = cut_lineage(jv.text_pieces(files))
+        asked = spark.range(10_000).selectExpr("'r' AS repo", "'p' AS path", f"id * {step} AS lo", f"id * {step} + 40 AS hi")
+        began = time.time()
+        assert jv.with_texts(asked, pieces, t=("lo", "hi")).filter("length(t) = 40").count() == 10_000
+        seconds[size] = time.time() - began
+    assert seconds[5_000_000] < 10 * max(seconds[500_000], 1)

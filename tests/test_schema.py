@@ -57,3 +57,18 @@ def test_missing_include_means_no_schema(spark):
 
 def test_raw_sql_names_no_table(spark):
     assert build(spark, root=change("<sql>CREATE TABLE t (a int)</sql>")) == {}
+
+
+def test_a_property_that_most_columns_use(spark):
+    """Each use takes the last definition before it; a hot name is a join key, no window's partition."""
+    rows = [("r", "p", i, [i], "${hot} " + ("${cold}" if i % 7 == 0 else "${none}")) for i in range(20_000)]
+    uses = spark.createDataFrame(rows, "repo string, root string, row_id int, order_key array<int>, type string")
+    defined = spark.createDataFrame(
+        [("r", "p", "hot", f"v{at}", [at]) for at in (10, 5000, 12000)] + [("r", "p", "cold", "c", [15000]), ("x", "p", "none", "n", [0])],
+        "repo string, root string, name string, value string, order_key array<int>",
+    )
+    out = sc.substitute_properties(uses, defined)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    last = lambda i: next((f"v{at}" for at in (12000, 5000, 10) if at <= i), "${hot}")
+    want = {i: f"{last(i)} {('c' if i >= 15000 else '${cold}') if i % 7 == 0 else '${none}'}" for i in range(20_000)}
+    assert {r.row_id: r.type for r in out.collect()} == want
