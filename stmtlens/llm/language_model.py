@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import os
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,18 @@ def quantise(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 * STEPS), 0, 65535).astype(np.uint16)
 
 
+_RESTORED = 10.0 ** (np.arange(65536) / -STEPS)
+
+
 def restore(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code / -STEPS)
+    return _RESTORED[code]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """63-bit hashes of words."""
+    from xxhash import xxh64_intdigest
+
+    return (np.fromiter(map(xxh64_intdigest, words, repeat(42)), dtype=np.uint64, count=len(words)) >> np.uint64(1)).astype(np.int64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -116,18 +127,10 @@ class Plan:
 
 
 class Vocabulary:
-    """Numbers and counts of words, from the mapped parts; recent words are kept by a task."""
-
-    KEEP = 600_000
+    """Numbers and counts of words, from the mapped parts."""
 
     def __init__(self, plan: Plan):
         self.plan, self.parts = plan, {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.int64)
-        self.counts = np.zeros(1 << 16, dtype=np.int64)
 
     def _part(self, number: int):
         if number not in self.parts:
@@ -135,42 +138,27 @@ class Vocabulary:
             self.parts[number] = (ef.Sequence(ef.part("hash", arrays)), ef.Sequence(ef.part("sums", arrays)))
         return self.parts[number]
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        from xxhash import xxh64_intdigest
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number, count) of each word.
 
+        Each different hash is sought once; in their order they go from part to part and through each
+        part from its beginning to its end.
+        """
         bits = self.plan.bits
-        hashes = np.array([xxh64_intdigest(w, 42) >> 1 for w in fresh], dtype=np.int64)
-        part = hashes >> (63 - bits)
-        ids = np.full(len(fresh), self.plan.unknown, dtype=np.int64)
-        counts = np.zeros(len(fresh), dtype=np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.flatnonzero(np.diff(part[order])) + 1
-        for own in np.split(order, edges):
-            number = int(part[own[0]])
-            if self.plan.offsets[number] == self.plan.offsets[number + 1]:
+        hashes, which = np.unique(word_hashes(words), return_inverse=True)
+        ids = np.full(len(hashes), self.plan.unknown, dtype=np.int64)
+        counts = np.zeros(len(hashes), dtype=np.int64)
+        edges = np.searchsorted(hashes >> (63 - bits), np.arange((1 << bits) + 1))
+        for number in range(1 << bits):
+            low, high = edges[number], edges[number + 1]
+            if low == high or self.plan.offsets[number] == self.plan.offsets[number + 1]:
                 continue
             known, sums = self._part(number)
-            at = known.find(hashes[own] & ((1 << (63 - bits)) - 1))
-            own, at = own[at >= 0], at[at >= 0]
+            at = known.find(hashes[low:high] & ((1 << (63 - bits)) - 1))
+            own, at = low + np.flatnonzero(at >= 0), at[at >= 0]
             ids[own] = self.plan.offsets[number] + at
-            counts[own] = sums[at + 1] - sums[at]
-        start = len(self.at)
-        while start + len(fresh) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.ids[start : start + len(fresh)] = ids
-        self.counts[start : start + len(fresh)] = counts
-        self.at.update(zip(fresh, range(start, start + len(fresh))))
-
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(number, count) of each word."""
-        if len(self.at) > self.KEEP:
-            self._forget()
-        fresh = list(set(words).difference(self.at))
-        if fresh:
-            self._learn(fresh)
-        at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.ids[at], self.counts[at]
+            counts[own] = sums.gaps(at)
+        return ids[which], counts[which]
 
 
 def _windows(plan: Plan, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray):
@@ -206,12 +194,10 @@ def _held(batches, least: int = HELD_TOKENS):
 
 def _count_words(batches):
     for _, texts in _held(batches):
-        from xxhash import xxh64_intdigest
-
         found = Counter()
         for words in texts:
             found.update(words)
-        hashes = pa.array([xxh64_intdigest(w, 42) >> 1 for w in found], type=pa.int64())
+        hashes = pa.array(word_hashes(list(found)))
         yield pa.RecordBatch.from_arrays([hashes, pa.array(found.values(), type=pa.int64())], names=["h", "n"])
 
 
@@ -341,9 +327,9 @@ class Trie:
                 yield own, number
 
     def _nodes(self, found: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nodes of a and of (a, b), -1 where there is none."""
-        each, which = np.unique(a, return_inverse=True)
-        first = found["level1"].find(each)[which]
+        """The nodes of a and of (a, b), -1 where there is none; equal neighbours in ``a`` are sought once."""
+        new = np.concatenate([[True], a[1:] != a[:-1]])
+        first = found["level1"].find(a[new])[np.cumsum(new) - 1]
         second = np.full(len(a), -1, dtype=np.int64)
         known = np.flatnonzero(first >= 0)
         second[known] = found["level2"].find(first[known] * self.plan.kinds + b[known])
@@ -357,20 +343,31 @@ class Trie:
         """
         plan = self.plan
         p = (c_count + 1) / (plan.total + plan.words + 1)
-        part, weight = np.zeros(len(c)), np.ones(len(c))
+        weight = np.ones(len(c))
         if len(plan.hot_words):
             at = np.minimum(np.searchsorted(plan.hot_words, b), len(plan.hot_words) - 1)
             weight = np.where(plan.hot_words[at] == b, plan.hot_weights[at], weight)
-        shards, nodes = np.full(len(c), -1, dtype=np.int64), np.full(len(c), -1, dtype=np.int64)
+        # Each different pair (b, c) is sought once, and in their order, which is that of the sequences.
         seen = np.flatnonzero((b_count > 0) & (c_count > 0))
-        for own, number in self._by_shard(b[seen], c[seen], b_count[seen]):
-            own, found = seen[own], self.shards[number]
-            node1, node2 = self._nodes(found, b[own], c[own])
-            cold = (node1 >= 0) & (b_count[own] <= plan.hot)
-            weight[own[cold]] = restore(found["weight1"][node1[cold]])
+        pair = b[seen] * plan.kinds + c[seen]
+        order = np.argsort(pair)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.diff(pair[order]) > 0
+        which = np.empty(len(order), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
+        once = seen[order[new]]
+        shard, node = np.full(len(once), -1, dtype=np.int64), np.full(len(once), -1, dtype=np.int64)
+        second, back = np.zeros(len(once)), weight[once]
+        for own, number in self._by_shard(b[once], c[once], b_count[once]):
+            found, count = self.shards[number], b_count[once[own]]
+            node1, node2 = self._nodes(found, b[once[own]], c[once[own]])
+            cold = (node1 >= 0) & (count <= plan.hot)
+            back[own[cold]] = restore(found["weight1"][node1[cold]])
             known = node2 >= 0
-            shards[own], nodes[own] = number, node2
-            part[own[known]] = restore(found["part2"][node2[known]]) * MOST / b_count[own[known]]
+            shard[own], node[own] = number, node2
+            second[own[known]] = restore(found["part2"][node2[known]]) * MOST / count[known]
+        part, shards, nodes = np.zeros(len(c)), np.full(len(c), -1, dtype=np.int64), np.full(len(c), -1, dtype=np.int64)
+        part[seen], weight[seen], shards[seen], nodes[seen] = second[which], back[which], shard[which], node[which]
         # A word that no training text has still needs the weight of the word before it.
         rest = np.flatnonzero((b_count > 0) & (c_count == 0) & (b_count <= plan.hot))
         for own, number in self._by_shard(b[rest], c[rest], b_count[rest]):
@@ -386,7 +383,7 @@ class Trie:
             shards[own], nodes[own] = number, self._nodes(self.shards[number], a[own], b[own])[1]
         part, weight = np.zeros(len(c)), np.ones(len(c))
         seen = np.flatnonzero(nodes >= 0)
-        order = seen[np.argsort(shards[seen], kind="stable")]
+        order = seen[np.argsort((shards[seen] << 40) + nodes[seen])]
         for own in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1) if len(order) else []:
             found, node = self.shards[int(shards[own[0]])], nodes[own]
             children = found["pointers"].gaps(node)
