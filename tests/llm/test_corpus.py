@@ -182,11 +182,35 @@ def test_line_dedup_removes_repeated_passages(spark):
             (4, "spread\nfour", "a"), (5, "spread\nfive", "b"), (6, other, "c"), (7, other, "c")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(docs).collect()}
-    want = {i: t for i, t, _ in rows} | {2: "two", 5: "five"}
-    assert got == want
-    # A threshold above two is decided by the exact count.
-    three = {r["doc_id"]: r["text"] for r in line_dedup.remove_spread_lines(docs, 3, passages=False).collect()}
-    assert three == {i: t for i, t, _ in rows}
+    # A heading on two sites is no boilerplate.
+    assert got == {i: t for i, t, _ in rows} | {2: "two"}
+
+
+@pytest.mark.parametrize("threshold", [2, 3, 20])
+def test_line_spread_at_and_around_the_threshold(spark, monkeypatch, threshold):
+    """Lines on 2, 3, 4, 20 and 200 sites: near the threshold they are counted, beyond it the sketch decides."""
+    spread = {2: "on two", 3: "on three", 4: "on four", 19: "on nineteen", 20: "on twenty", 21: "on more", 200: "on all"}
+    rows = [
+        (i, "\n".join([f"own {i}", *(t for n, t in spread.items() if i < n)]), f"site{i}") for i in range(200)
+    ] + [(1000 + i, "on one", "site7") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    asked = []
+    seen = line_dedup.F.count_distinct
+    monkeypatch.setattr(line_dedup.F, "count_distinct", lambda *c: asked.append(c) or seen(*c))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_spread_lines(docs, threshold, passages=False).collect()}
+    gone = {t for n, t in spread.items() if n >= threshold}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in gone or i == 0) for i, t, _ in rows}
+    assert asked  # the same path at every threshold
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    names = "doc_id bigint, text string, source string, k string, d bigint, h int, s int, first int, pos int, line string"
+    docs = spark.createDataFrame([(i, f"same\n{i}", f"s{i}", "k", 1, 2, 3, 4, 5, "l") for i in range(4)], names)
+    got = line_dedup.clean_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["k"], r["d"]) for r in got.collect()) == [
+        (i, "same\n0" if i == 0 else str(i), "k", 1) for i in range(4)
+    ]
 
 
 def test_elias_fano(tmp_path):
