@@ -18,8 +18,10 @@ Links are deduplicated and verified against the radius.
 A stage that removes near copies needs a wider radius.  ``keep_one`` can take fingerprints of two
 words of 64 bits, each in four blocks.  Of two words at most five bits apart, two blocks are at
 most two bits apart together, so all balls of radius one around each pair of blocks make them meet;
-most pairs that are further apart meet, too, as some pair of blocks is near.  What meets is only a
-candidate: the similarity of the texts' own five-word shingles decides.
+most pairs that are further apart meet, too, as some pair of blocks is near.  In a group each is linked
+to one centre and to its neighbours in two orders of the words, where texts alike stand close together, so
+that they meet even if the centre is a stranger, as it is in most groups of a large table.  What meets is
+only a candidate.  Sketches of bounded size tell most pairs apart; the shingles of the others decide.
 """
 
 from __future__ import annotations
@@ -38,6 +40,13 @@ RADIUS = 3
 #: Words of the shingles that find candidates in the wide search, and of those that are compared.
 WIDE_SHINGLE = 2
 COMPARED_SHINGLE = 5
+#: Rows before it, in each of two orders, that a row of a group is linked to.
+NEIGHBOURS = 3
+#: Least hashes of a text's shingles that its sketch holds; texts with no more are compared by it exactly.
+SKETCH = 128
+#: Pairs whose sketches show a similarity so far below the threshold are no candidates: over five standard
+#: deviations, 0.035 each, at a similarity of 0.8.
+SKETCH_MARGIN = 0.2
 #: Shingles whose bits are summed at once.
 _BLOCK = 1 << 16
 
@@ -121,6 +130,11 @@ def compared_shingles(text: str) -> list[int]:
     return [h - (1 << 64) * (h >> 63) for h in every]
 
 
+def compared(text: str) -> tuple[list[int], list[int]]:
+    grams = compared_shingles(text)
+    return grams, sketch(grams)
+
+
 def hex16(fp: str | Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -176,11 +190,12 @@ def near_classes(prints: DataFrame, first: Column) -> DataFrame:
 
 
 def block_links(prints: DataFrame) -> DataFrame:
-    """(a, b): candidates among the rows (rep, fp, fq), each linked to the least one that it meets.
+    """(a, b): candidates among the rows (rep, fp, fq), each linked to some of those that it meets.
 
     Rows are shuffled on one block (17 for each of 12 pairs of blocks: itself and its flips there)
-    and make the variants of the other block after it.  All rows of a variant's group are linked to
-    one centre, so no group emits its pairs.
+    and make the variants of the other block after it.  A row of a variant's group is linked to the
+    group's least row and to the ``NEIGHBOURS`` rows before it in each of two orders of the fingerprints, so
+    no group emits its pairs.
     """
     at = lambda word, block: f"int(shiftrightunsigned({word}, {16 * block}) & 65535L)"
     couples = [(w, i, j) for w in ("fp", "fq") for i in range(4) for j in range(i + 1, 4)]
@@ -188,18 +203,59 @@ def block_links(prints: DataFrame) -> DataFrame:
         f"struct({n} as t, {at(w, i)} as moving, {at(w, j)} as other)" for n, (w, i, j) in enumerate(couples)
     )
     flips = ", ".join(str(f) for f in [0, *_one_flip(0, 15)])
-    keyed = prints.select("rep", F.explode(F.expr(f"array({blocks})")).alias("b")).select(
-        "rep", "b.*", F.explode(F.expr(f"array({flips})")).alias("moved")
+    keyed = prints.select("rep", "fp", "fq", F.explode(F.expr(f"array({blocks})")).alias("b")).select(
+        "rep", "fp", "fq", "b.*", F.explode(F.expr(f"array({flips})")).alias("moved")
     )
     keyed = keyed.select(
-        "rep", F.expr("(t << 16) | (moving ^ moved)").alias("half"),
+        "rep", "fp", "fq", F.expr("(t << 16) | (moving ^ moved)").alias("half"),
         F.expr("if(moved = 0, other, other | 65536)").alias("other"),
     ).repartition("half")
     variants = keyed.select(
-        "rep", "half", F.explode(F.expr(f"if(other >= 65536, array(0), array({flips}))")).alias("flip"), "other"
-    ).select("rep", "half", F.expr("(other & 65535) ^ flip").alias("variant"))
-    centre = F.min("rep").over(Window.partitionBy("half", "variant"))
-    return variants.select(centre.alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
+        "rep", "fp", "fq", "half", F.explode(F.expr(f"if(other >= 65536, array(0), array({flips}))")).alias("flip"), "other"
+    ).select("rep", "fp", "fq", "half", F.expr("(other & 65535) ^ flip").alias("variant"))
+    group = Window.partitionBy("half", "variant")
+    # Turned by another number of bits for each pair of blocks, so that the same few bits don't decide every order.
+    turn = "(11 * (half >> 16)) % 63 + 1"
+    turned = [F.expr(f"shiftleft({w}, {turn}) | shiftrightunsigned({w}, 64 - ({turn}))") for w in ("fp", "fq")]
+    partners = [F.min("rep").over(group)]
+    for order in (turned, turned[::-1]):
+        partners += [F.lag("rep", back).over(group.orderBy(*order, "rep")) for back in range(1, NEIGHBOURS + 1)]
+    # Most rows of a group name one partner twice or themselves; each link leaves the task once.
+    met = variants.select("rep", F.array(*partners).alias("met")).select(
+        "rep", F.explode(F.array_distinct(F.filter("met", lambda x: x.isNotNull() & (x != F.col("rep"))))).alias("other")
+    )
+    return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def sketch(grams: list[int]) -> list[int]:
+    """The ``SKETCH`` least of the hashes, in order."""
+    return sorted(grams)[:SKETCH]
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` (node, grams, small) have at least this Jaccard similarity.
+
+    First by sizes and sketches, a bounded number of hashes for each side; the whole sets are joined for
+    the pairs that those leave open.  A pair of sets no larger than their sketches is decided by them.
+    """
+    narrow = sets.select("node", "small", F.size("grams").alias("n"))
+    side = lambda name: narrow.select(F.col("node").alias(name), F.col("small").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
+    judged = pairs.join(side("a"), "a").join(side("b"), "b")
+    fits = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")
+    least = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
+    both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), least))
+    whole = F.greatest("na", "nb") <= SKETCH
+    shared = F.size(F.array_intersect("sa", "sb"))
+    exact = shared >= F.lit(similarity) * (F.col("na") + F.col("nb") - shared)
+    near = both >= F.lit(similarity - SKETCH_MARGIN) * F.size(least)
+    judged = written(judged.filter(fits & F.when(whole, exact).otherwise(near)).select("a", "b", whole.alias("decided")), "judged")
+    open_ = judged.filter("not decided").select("a", "b")
+    full = open_.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b"
+    )
+    common = F.size(F.array_intersect("ga", "gb"))
+    full = full.filter(common >= F.lit(similarity) * (F.size("ga") + F.size("gb") - common)).select("a", "b")
+    return judged.filter("decided").select("a", "b").union(full)
 
 
 def similar_classes(prints: DataFrame, texts: DataFrame, first: Column, similarity: float) -> DataFrame:
@@ -220,14 +276,9 @@ def similar_classes(prints: DataFrame, texts: DataFrame, first: Column, similari
     found = texts.join(wanted.hint("merge"), texts["k"].eqNullSafe(wanted["wk"]) & (texts["d"] == wanted["wd"]))
     found = found.groupBy("node").agg(F.first("_text").alias("_text"))
     sets = written(
-        map_texts(found, "node", "_text", lambda value: (compared_shingles(value),), "grams array<bigint>"), "sets"
-    )
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b"
+        map_texts(found, "node", "_text", compared, "grams array<bigint>, small array<bigint>"), "sets"
     )
-    shared = F.size(F.array_intersect("ga", "gb"))
-    alike = both.filter(shared >= F.lit(similarity) * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
-    roots = components(alike)
+    roots = components(alike(pairs, sets, similarity))
     named = written(
         nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named"
     )
