@@ -136,7 +136,17 @@ def scope(spark, folder):
     ).select("repo", "pr", "seq", "in_scope")
 
 
+def changed_lines(spark, folder):
+    """Four lines of every file, patched or not: which lie inside a hunk?"""
+    p = patches(spark, folder)
+    k = F.col("k")
+    lines = F.array(*[(n + k % 11).cast("int") for n in (100, 104, 200, 300)])
+    points = p.select(*_KEYS, F.explode(lines).alias("line"))
+    return diff.changed_lines(points, diff.hunks(_lines(spark, folder), _KEYS), _KEYS)
+
+
 QUERIES = {
+    "changed_lines": changed_lines,
     "changed_files": changed_files,
     "hunks": hunks,
     "head_lines": head_lines,
@@ -172,6 +182,13 @@ WITH files AS (
 """
 
 ORACLES = {
+    "changed_lines": _FILES
+    + """, spans AS (
+        SELECT k, 100 * hunk + k % 7 AS lo, 100 * hunk + k % 7 + real_lines + CASE WHEN hunk = 2 AND k % 31 = 0 THEN 1 ELSE 0 END - 1 AS hi
+        FROM counts WHERE k % 23 <> 2)
+      SELECT repo, pr, path, CAST(n + k % 11 AS INTEGER) AS line,
+        NOT (has_patch AND has_headers) OR EXISTS (SELECT 1 FROM spans s WHERE s.k = f.k AND n + f.k % 11 BETWEEN s.lo AND s.hi) AS is_changed
+      FROM files f, (VALUES (100), (104), (200), (300)) v(n)""",
     "changed_files": _FILES
     + """SELECT repo, pr, path, CASE k % 8 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'renamed'
       WHEN 3 THEN 'removed' WHEN 4 THEN 'copied' WHEN 5 THEN 'changed' WHEN 6 THEN 'unchanged'

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stmtlens.catalog.base import pick, spread, table
+from stmtlens.catalog.base import pick, spread, sql_quote, table
 from stmtlens.operators import review as rv
 from stmtlens.session import shared_folder
-from stmtlens.sources.sinks import write_findings
+from stmtlens.sources.sinks import write_findings, write_responses
 
 _SEV = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 _RULES = ["missing-where", "no-limit", "select-star", "unindexed-filter", "non-sargable", "n1", "n2", "n3"]
@@ -304,7 +304,39 @@ def sink(spark, folder):
     )
 
 
+def response(spark, folder):
+    """Documents of at most three findings and markers, written as JSON and read back with their overflow."""
+    judged = rv.should_block(_ranked(spark, folder), _policy(spark, folder))
+    marks = _degraded(spark, folder)
+    statuses = rv.review_status(reviews(spark, folder), judged, review_queries(spark, folder), marks)
+    documents, overflow = rv.response_documents(statuses, judged, marks, unchanged(spark, folder), max_items=3)
+    path = f"{shared_folder(spark)}/responses-{uuid.uuid4().hex}"
+    write_responses(documents, overflow, path)
+    back = spark.read.schema(documents.schema).json(f"{path}/documents")
+    left = spark.read.schema(overflow.schema).json(f"{path}/overflow").groupBy("repo", "pr").agg(
+        F.count("*").alias("n_overflow"), F.min("seq").alias("first_overflow")
+    )
+    shown = F.transform("findings", lambda f: F.concat_ws(":", f["position"].cast("string"), f["rule_id"], f["title"], f["blocks"].cast("string")))
+    return back.join(left, ["repo", "pr"], "left").select(
+        "repo", "pr", "status", "verdict", "blocked", F.col("counts.warnings").alias("warnings"), F.col("counts.omitted").alias("omitted"),
+        F.col("counts.unchanged").alias("n_unchanged"), F.array_join(shown, ",").alias("findings"),
+        F.array_join("degraded_stages", ",").alias("degraded_stages"), F.coalesce("n_overflow", F.lit(0)).alias("n_overflow"),
+    )
+
+
+def truncate(spark, folder):
+    """Texts of paragraphs, some inside an open code fence, cut to 200 characters."""
+    p = table(spark, folder, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    line = F.concat(F.lit("line "), (k % 10).cast("string"))
+    fence = F.when(k % 3 == 0, "```sql\n").otherwise("")
+    body = F.concat(line, F.lit("\n\n"), fence, F.array_join(F.array_repeat(line, (k % 40).cast("int")), "\n\n"))
+    return p.select("p_partkey", rv.hard_truncate(body, 200).alias("body"))
+
+
 QUERIES = {
+    "review_response": response,
+    "hard_truncate": truncate,
     "merge_findings": merge,
     "rank_findings": rank,
     "cap_findings": cap,
@@ -321,6 +353,32 @@ QUERIES = {
 }
 
 ORACLES = {
+    "review_response": _FINDINGS + "," + _POLICY + "," + _RUNS + _STATUS
+    + """, placed AS (
+        SELECT *, row_number() OVER (PARTITION BY repo, pr ORDER BY severity_rank, seq) AS place FROM judged
+      ), shown AS (
+        SELECT repo, pr, string_agg(concat_ws(':', place, rule_id, title, blocks), ',' ORDER BY place) AS findings
+        FROM placed WHERE place <= 3 GROUP BY ALL
+      ), marks AS (
+        SELECT repo, pr, string_agg(marker, ',' ORDER BY stage, seq, marker) AS degraded_stages FROM (
+          SELECT * FROM degraded QUALIFY row_number() OVER (PARTITION BY repo, pr ORDER BY stage, seq, marker) <= 3) GROUP BY ALL
+      ), outside AS (
+        SELECT repo, pr, count(*) AS n FROM ranked WHERE rule_id = 'n3' AND pr % 2 = 0 GROUP BY ALL)
+      SELECT repo, pr, CASE WHEN degraded_stages IS NULL THEN 'completed' ELSE 'degraded' END AS status, status AS verdict,
+        n_blocking > 0 AS blocked, n_findings - n_blocking AS warnings, greatest(n_findings - 3, 0) AS omitted,
+        coalesce(o.n, 0) AS n_unchanged, coalesce(findings, '') AS findings, coalesce(degraded_stages, '') AS degraded_stages,
+        greatest(n_findings - 3, 0) AS n_overflow
+      FROM statuses LEFT JOIN shown USING (repo, pr) LEFT JOIN marks USING (repo, pr) LEFT JOIN outside o USING (repo, pr)""",
+    "hard_truncate": f"""
+      WITH t AS (
+        SELECT p_partkey, 'line ' || (p_partkey % 10) || chr(10) || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '```sql' || chr(10) ELSE '' END
+          || array_to_string(list_transform(range(p_partkey % 40), lambda i: 'line ' || (p_partkey % 10)), chr(10) || chr(10)) AS body FROM part
+      ), cut AS (SELECT *, substr(body, 1, {200 - len(rv.TRUNCATION_NOTICE) - 8}) AS head FROM t),
+      last AS (SELECT *, length(head) - strpos(reverse(head), chr(10) || chr(10)) - 1 AS upto FROM cut),
+      kept AS (SELECT p_partkey, body, substr(head, 1, upto) AS kept FROM last)
+      SELECT p_partkey, CASE WHEN length(body) <= 200 THEN body
+        ELSE kept || CASE WHEN contains(kept, '```') THEN chr(10) || '```' ELSE '' END || {sql_quote(rv.TRUNCATION_NOTICE)} END AS body
+      FROM kept""",
     "merge_findings": _FINDINGS
     + """SELECT repo, pr, CASE WHEN rule_id IN ('n1','n2','n3') THEN 1 ELSE 0 END AS stage, rule_id,
       count(*) AS n, min(seq) AS first_seq,
