@@ -19,6 +19,8 @@ from stmtlens.operators.java import JavaFacts
 from stmtlens.operators.schema_versions import schema_versions
 from stmtlens.plans.nplusone import nplusone_findings
 from stmtlens.session import cut_lineage
+from stmtlens.sources.config import review_dialects
+from stmtlens.sources.corpus import apply_run_dialect
 
 KEYS = ("repo", "pr", "path")
 
@@ -92,7 +94,8 @@ def review_changes(
     ``ignored(repo, pattern)`` leaves files out.  With ``files(repo, path, content)``, the repositories
     at their base, the schema of each review is read from its changelogs, at the head where the change
     touches them (``schema_versions``; ``roots`` are its configured roots), and ``heads`` hold the
-    changelogs and configurations of the change, too; ``schema`` is not read then.  ``max_findings`` limits what is shown; without
+    changelogs and configurations of the change, too; ``schema`` is not read then, and the SQL files' dialect
+    is the one that the configuration names.  ``max_findings`` limits what is shown; without
     it all is.  Findings of equal rank keep the listed order of their files.
 
     The ranked findings and, for Java files, their facts are written to the shared folder while
@@ -101,7 +104,11 @@ def review_changes(
     if ignored is not None:
         changed = split_ignored(changed, ignored).filter("not ignored").drop("ignored")
     shown_at_most = (1 << 31) - 1 if max_findings is None else max_findings
-    versions = None if files is None else schema_versions(files, changed, heads, roots)
+    versions = None
+    if files is not None:
+        versions = schema_versions(files, changed, heads, roots)
+        dialects = cut_lineage(review_dialects(files, changed, heads))
+        heads = apply_run_dialect(heads, dialects, ("repo", "pr"))
     outcome = diff.ingest_outcome(changed, heads, KEYS)
     sources = heads.join(outcome.filter("outcome = 'source'").select(*KEYS), list(KEYS), "left_semi")
     queries = st.split_statements(sources.filter(F.lower("path").endswith(".sql")), KEYS)

@@ -137,3 +137,30 @@ def detect_dialect(
     return lines.groupBy(*keys).agg(
         F.min_by("run_dialect", F.struct("priority", "line_no")).alias("run_dialect")
     )
+
+
+def review_dialects(files: DataFrame, changed: DataFrame, heads: DataFrame) -> DataFrame:
+    """``repo, pr, run_dialect``: the dialect that the configuration at each review's head names.
+
+    ``files(repo, path, content)`` are the repositories at their base, ``changed(repo, pr, path)`` and
+    ``heads(repo, pr, path, content)`` the changes.  Each version of a configuration file is read once
+    for the first protocol it names; a review then picks among its candidates by numbers and names only.
+    """
+    named = F.regexp_extract("path", r"([^/]*)\z", 1).isin(*_CONFIG_FILES)
+    none = F.lit(None).cast(changed.schema["pr"].dataType)
+    base = files.filter(named).select("repo", none.alias("pr"), F.lit(False).alias("at_head"), "path", "content")
+    own = heads.filter(named).select("repo", "pr", F.lit(True).alias("at_head"), "path", "content")
+    versions = base.unionByName(own).withColumn("file", F.to_json(F.struct("repo", "pr", "at_head", "path")))
+    alone = versions.select("file", "path", F.struct(F.lit("").alias("module"), F.lit(0).alias("i")).alias("priority"))
+    read = detect_dialect(versions.select("file", "path", "content"), alone, ("file",))
+    known = versions.select("file", "repo", "pr", "at_head", "path").join(read, "file").drop("file")
+    keys = ("repo", "pr")
+    asked = config_candidates(changed, changed, keys).join(
+        changed.select(*keys, "path", F.lit(True).alias("_touched")).distinct(), [*keys, "path"], "left"
+    )
+    kept = asked.filter(F.col("_touched").isNull()).join(known.filter(~F.col("at_head")).select("repo", "path", "run_dialect"), ["repo", "path"])
+    fresh = asked.filter(F.col("_touched").isNotNull()).join(known.filter("at_head").select(*keys, "path", "run_dialect"), [*keys, "path"])
+    columns = [*keys, "priority", "run_dialect"]
+    return kept.select(*columns).unionByName(fresh.select(*columns)).groupBy(*keys).agg(
+        F.min_by("run_dialect", "priority").alias("run_dialect")
+    )

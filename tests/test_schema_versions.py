@@ -3,6 +3,7 @@
 import pytest
 
 from stmtlens.operators.schema_versions import schema_versions
+from stmtlens.sources.config import review_dialects
 
 ROOT = '<databaseChangeLog>{}<include file="a.xml" relativeToChangelogFile="true"/>{}</databaseChangeLog>'
 TABLE = (
@@ -110,3 +111,21 @@ def test_an_include_between_the_events_of_a_file(spark):
     # At the base the later event gives the index to id; at the head the included file comes last for the index.
     assert got[("r", 1)] == ("explicit-base", ["id"], RAW)
     assert got[("r", 2)] == ("explicit-head", BOTH, {"id": "bigint", "email": "old"})
+
+
+def test_dialects_at_the_head(spark):
+    files = [
+        ("m", "src/main/resources/application.properties", "a=1\nurl=jdbc:mysql://h"), ("m", "svc/src/main/resources/application.yml", "url: jdbc:oracle:x"),
+        ("p", "svc/src/main/resources/bootstrap.yml", "url: jdbc:sqlserver://h"), ("p", "docs/application.md", "jdbc:mysql:"), ("n", "a.sql", ""),
+    ]
+    changed = [
+        ("m", 1, "svc/src/A.java", None), ("m", 2, "src/main/resources/application.properties", "url=jdbc:postgresql://h"),
+        ("m", 3, "src/main/resources/application.properties", None), ("m", 3, "svc/src/A.java", None),
+        ("p", 1, "svc/src/A.java", None), ("p", 2, "other/src/A.java", None), ("n", 1, "a.sql", "x"),
+    ]
+    base = spark.createDataFrame(files, "repo string, path string, content string")
+    paths = spark.createDataFrame([c[:3] for c in changed], "repo string, pr int, path string")
+    heads = spark.createDataFrame([c for c in changed if c[3]], "repo string, pr int, path string, content string")
+    got = {(r.repo, r.pr): r.run_dialect for r in review_dialects(base, paths, heads).collect()}
+    # The third change of m removes the root's file; the second one of p touches another module.
+    assert got == {("m", 1): "mysql", ("m", 2): "postgres", ("m", 3): "oracle", ("p", 1): "tsql"}
