@@ -19,9 +19,10 @@ A stage that removes near copies needs a wider radius.  ``keep_one`` can take fi
 words of 64 bits, each in four blocks.  Of two words at most five bits apart, two blocks are at
 most two bits apart together, so all balls of radius one around each pair of blocks make them meet;
 most pairs that are further apart meet, too, as some pair of blocks is near.  In a group each is linked
-to one centre and to its neighbours in two orders of the words, where texts alike stand close together, so
-that they meet even if the centre is a stranger, as it is in most groups of a large table.  What meets is
-only a candidate.  Sketches of bounded size tell most pairs apart; the shingles of the others decide.
+to one centre first; then those not yet joined are linked to their neighbours in two orders of the words,
+where texts alike stand close together, so that they meet even if the centre is a stranger, as it is in
+most groups of a large table.  What meets is only a candidate.  Sketches of bounded size tell most pairs
+apart; the shingles of the others decide.
 """
 
 from __future__ import annotations
@@ -190,40 +191,46 @@ def near_classes(prints: DataFrame, first: Column) -> DataFrame:
 
 
 def block_links(prints: DataFrame) -> DataFrame:
-    """(a, b): candidates among the rows (rep, fp, fq), each linked to some of those that it meets.
+    """(a, b): candidates among the rows (rep, fp, fq[, root]), each linked to some of those that it meets.
 
     Rows are shuffled on one block (17 for each of 12 pairs of blocks: itself and its flips there)
-    and make the variants of the other block after it.  A row of a variant's group is linked to the
-    group's least row and to the ``NEIGHBOURS`` rows before it in each of two orders of the fingerprints, so
-    no group emits its pairs.
+    and make the variants of the other block after it.  Without ``root`` a row of a variant's group is
+    linked to the group's least row.  With it, the component that is known by then, a row is linked to
+    those of the ``NEIGHBOURS`` rows before it, in each of two orders of the fingerprints, that are of
+    another component.  No group emits its pairs, and a large group of copies few links.
     """
+    known = "root" in prints.columns
     at = lambda word, block: f"int(shiftrightunsigned({word}, {16 * block}) & 65535L)"
     couples = [(w, i, j) for w in ("fp", "fq") for i in range(4) for j in range(i + 1, 4)]
+    # Each pair of blocks turns the words by another number of bits, so that the same few bits don't decide every order.
+    turned = lambda w, n: f"int(shiftright(shiftleft({w}, {n}) | shiftrightunsigned({w}, {64 - n}), 32))"
+    orders = [f", {turned('fp', 5 * n + 3)} as first, {turned('fq', 5 * n + 3)} as second" if known else "" for n in range(12)]
     blocks = ", ".join(
-        f"struct({n} as t, {at(w, i)} as moving, {at(w, j)} as other)" for n, (w, i, j) in enumerate(couples)
+        f"struct({n} as t, {at(w, i)} as moving, {at(w, j)} as other{orders[n]})" for n, (w, i, j) in enumerate(couples)
     )
+    beside = ["root", "first", "second"] if known else []
     flips = ", ".join(str(f) for f in [0, *_one_flip(0, 15)])
-    keyed = prints.select("rep", "fp", "fq", F.explode(F.expr(f"array({blocks})")).alias("b")).select(
-        "rep", "fp", "fq", "b.*", F.explode(F.expr(f"array({flips})")).alias("moved")
+    keyed = prints.select("rep", *beside[:1], F.explode(F.expr(f"array({blocks})")).alias("b")).select(
+        "rep", *beside[:1], "b.*", F.explode(F.expr(f"array({flips})")).alias("moved")
     )
     keyed = keyed.select(
-        "rep", "fp", "fq", F.expr("(t << 16) | (moving ^ moved)").alias("half"),
+        "rep", *beside, F.expr("(t << 16) | (moving ^ moved)").alias("half"),
         F.expr("if(moved = 0, other, other | 65536)").alias("other"),
     ).repartition("half")
     variants = keyed.select(
-        "rep", "fp", "fq", "half", F.explode(F.expr(f"if(other >= 65536, array(0), array({flips}))")).alias("flip"), "other"
-    ).select("rep", "fp", "fq", "half", F.expr("(other & 65535) ^ flip").alias("variant"))
+        "rep", *beside, "half", F.explode(F.expr(f"if(other >= 65536, array(0), array({flips}))")).alias("flip"), "other"
+    ).select("rep", *beside, "half", F.expr("(other & 65535) ^ flip").alias("variant"))
     group = Window.partitionBy("half", "variant")
-    # Turned by another number of bits for each pair of blocks, so that the same few bits don't decide every order.
-    turn = "(11 * (half >> 16)) % 63 + 1"
-    turned = [F.expr(f"shiftleft({w}, {turn}) | shiftrightunsigned({w}, 64 - ({turn}))") for w in ("fp", "fq")]
-    partners = [F.min("rep").over(group)]
-    for order in (turned, turned[::-1]):
-        partners += [F.lag("rep", back).over(group.orderBy(*order, "rep")) for back in range(1, NEIGHBOURS + 1)]
-    # Most rows of a group name one partner twice or themselves; each link leaves the task once.
-    met = variants.select("rep", F.array(*partners).alias("met")).select(
-        "rep", F.explode(F.array_distinct(F.filter("met", lambda x: x.isNotNull() & (x != F.col("rep"))))).alias("other")
-    )
+    if not known:
+        centre = F.min("rep").over(group)
+        return variants.select(centre.alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
+    partners = [
+        F.lag(F.struct("rep", "root"), back).over(group.orderBy(*order, "rep"))
+        for order in (("first", "second"), ("second", "first")) for back in range(1, NEIGHBOURS + 1)
+    ]
+    met = variants.select("rep", "root", F.array(*partners).alias("met"))
+    apart = F.transform(F.filter("met", lambda x: x["root"] != F.col("root")), lambda x: x["rep"])
+    met = met.select("rep", F.explode(F.array_distinct(apart)).alias("other"))
     return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
@@ -270,15 +277,23 @@ def similar_classes(prints: DataFrame, texts: DataFrame, first: Column, similari
     )
     reps = written(nodes.groupBy("fp", "fq").agg(F.min("node").alias("rep")), "reps")
     same = nodes.join(reps, ["fp", "fq"]).filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        wanted = asked.join(nodes, "node").select("node", F.col("first.k").alias("wk"), F.col("first.d").alias("wd"))
+        wanted = written(wanted, "wanted")
+        found = texts.join(wanted.hint("merge"), texts["k"].eqNullSafe(wanted["wk"]) & (texts["d"] == wanted["wd"]))
+        found = found.groupBy("node").agg(F.first("_text").alias("_text"))
+        return written(map_texts(found, "node", "_text", compared, "grams array<bigint>, small array<bigint>"), "sets")
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     pairs = written(block_links(reps).union(same), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    wanted = written(wanted.select("node", F.col("first.k").alias("wk"), F.col("first.d").alias("wd")), "wanted")
-    found = texts.join(wanted.hint("merge"), texts["k"].eqNullSafe(wanted["wk"]) & (texts["d"] == wanted["wd"]))
-    found = found.groupBy("node").agg(F.first("_text").alias("_text"))
-    sets = written(
-        map_texts(found, "node", "_text", compared, "grams array<bigint>, small array<bigint>"), "sets"
-    )
-    roots = components(alike(pairs, sets, similarity))
+    sets = sets_of(ends(pairs))
+    links = written(alike(pairs, sets, similarity), "links")
+    # What the centres have joined need not be linked again; the rest looks at its neighbours.
+    apart = reps.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    pairs = written(block_links(apart), "pairs")
+    sets = sets.union(sets_of(ends(pairs).join(sets.select("node"), "node", "left_anti")))
+    roots = components(links.union(alike(pairs, sets, similarity)))
     named = written(
         nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named"
     )

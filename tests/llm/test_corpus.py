@@ -79,6 +79,68 @@ def test_near_duplicate_stage_finds_similar_texts(spark, odd):
     assert simhash.keep_one(odd.limit(0), similarity=0.8).count() == 0
 
 
+def met(prints):
+    """The pairs that meet in either step, with nothing joined before the second."""
+    steps = (simhash.block_links(prints), simhash.block_links(prints.withColumn("root", prints["rep"])))
+    return {tuple(sorted(r)) for step in steps for r in step.collect()}
+
+
+def test_near_copies_meet_among_strangers(spark):
+    """Two words a few bits apart whose every group is led by rows that share nothing but the group's blocks."""
+    make = np.random.default_rng(7)
+    word = lambda: make.integers(0, 2**63, 2, dtype=np.uint64) * 2 + make.integers(0, 2, 2, dtype=np.uint64)
+    rows, want = [], set()
+    for i in range(20):
+        a = word()
+        b = a.copy()
+        for k in make.choice(128, 5, replace=False):
+            b[k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+        rows += [(10_000 + 2 * i, a), (10_001 + 2 * i, b)]
+        want.add((10_000 + 2 * i, 10_001 + 2 * i))
+        for w, x, y in ((w, x, y) for w in range(2) for x in range(4) for y in range(x + 1, 4)):
+            mask = np.uint64(0xFFFF << 16 * x | 0xFFFF << 16 * y)
+            for _ in range(8):
+                stranger = word()
+                stranger[w] = stranger[w] & ~mask | a[w] & mask
+                rows.append((len(rows), stranger))
+    df = spark.createDataFrame([(r, *f.view(np.int64).tolist()) for r, f in rows], "rep bigint, fp bigint, fq bigint")
+    assert want <= met(df)
+
+
+def test_texts_of_one_template_are_joined(spark):
+    """Every link of 0.8 or more among 300 texts around one template, but for one in a hundred at most."""
+    pick = random.Random(5)
+    base = ["".join(pick.choice("abcdefgh") for _ in range(6)) for _ in range(600)]
+    texts = {}
+    for i in range(300):
+        words = list(base)
+        for _ in range(pick.choice((4, 8))):
+            words[pick.randrange(600)] = f"x{pick.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    sets = {i: set(simhash.compared_shingles(t)) for i, t in texts.items()}
+    links = [(a, b) for a in sets for b in range(a + 1, 300) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    prints = spark.createDataFrame([(i, *simhash.wide_print(t)[1:]) for i, t in texts.items()], "rep bigint, fp bigint, fq bigint")
+    seen = met(prints)
+    roots = least_roots(texts, [x for x in links if x in seen])
+    assert len(links) > 1000 and sum(roots[a] == roots[b] for a, b in links) >= 0.99 * len(links)
+
+
+def test_sketches_decide_as_whole_sets_do(spark):
+    make = random.Random(9)
+    sets, pairs = {}, []
+    for i in range(200):
+        size = make.choice((0, 1, 3, 100, 128, 129, 700))
+        shared = {make.randrange(-(2**63), 2**63) for _ in range(size)}
+        own = lambda n: {make.randrange(-(2**63), 2**63) for _ in range(n)}
+        sets[2 * i], sets[2 * i + 1] = shared | own(make.choice((0, size // 9, size // 8))), shared | own(make.choice((0, size // 9, size // 8, size)))
+        pairs.append((2 * i, 2 * i + 1))
+    rows = [(i, list(x), simhash.sketch(list(x))) for i, x in sets.items()]
+    df = spark.createDataFrame(rows, "node bigint, grams array<bigint>, small array<bigint>")
+    got = simhash.alike(spark.createDataFrame(pairs, "a bigint, b bigint"), df, 0.8)
+    want = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sorted(rows_of(got)) == want and 50 < len(want) < 190
+
+
 def slow_best_fit(items, capacity, per_source):
     bins, out = [], []
     for length, source, cluster in items:
