@@ -9,7 +9,6 @@ order in which a depth-first walk meets the operations.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stmtlens.functions.paths import dirname, join_path, normpath, unquote

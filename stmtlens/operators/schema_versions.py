@@ -116,8 +116,9 @@ def _walk(versions: DataFrame, bones: DataFrame, configs: DataFrame, explicit: D
     )
     possible = F.when(F.col("e").isNotNull(), F.array("e")).otherwise(F.array_distinct(F.array_compact(F.array("d", "s"))))
     order = sc.include_order(asked.select(F.col("version").alias("repo"), F.explode(possible).alias("root")), files)
-    good = sc.loadable_roots(order, files).filter("loadable").select(F.col("repo").alias("version"), F.collect_set("root").over(
-        sc.W.partitionBy("repo")).alias("_good")).distinct()
+    good = sc.loadable_roots(order, files).filter("loadable").groupBy(F.col("repo").alias("version")).agg(
+        F.collect_set("root").alias("_good")  # three at most
+    )
     ok = lambda c: F.coalesce(F.array_contains("_good", F.col(c)), F.lit(False))
     kind = (
         F.when(F.col("e").isNotNull(), F.when(ok("e"), "explicit"))
