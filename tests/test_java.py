@@ -157,3 +157,40 @@ def test_span_texts_take_time_in_line_with_the_file(spark):
         assert jv.with_texts(asked, pieces, t=("lo", "hi")).filter("length(t) = 40").count() == 10_000
         seconds[size] = time.time() - began
     assert seconds[5_000_000] < 10 * max(seconds[500_000], 1)
+
+
+def test_brackets_and_neighbours_of_a_file_that_does_not_balance(spark):
+    """Neighbours stay in the file, levels go on after a stray bracket, and a null text has no tokens."""
+    rows = [("r", "a", "f(a, /* ; */ b);\n} g[1]"), ("r", "b", "x"), ("r", "n", None), ("r", "e", " // x")]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    inner = jv.java_levels(files).filter("path = 'a' and level = 1").orderBy("pos").collect()
+    assert [(r.tok, r.delim, r.block, r.seg, r.part, r.line, r.off, r.part_end) for r in inner] == [
+        ("(", True, 2, 0, 0, 1, 1, 1), ("a", False, 2, 1, 0, 1, 2, 3), (",", False, 2, 1, 0, 1, 3, 3), ("b", False, 2, 1, 1, 1, 13, 14),
+        (")", True, 2, 1, 1, 1, 14, 14),
+    ]
+    tokens = {(r.path, r.pos): r for r in jv.java_tokens(files).collect()}
+    assert [tokens["a", n].tok for n in range(1, 13)] == ["f", "(", "a", ",", "b", ")", ";", "}", "g", "[", "1", "]"]
+    assert (tokens["a", 12].n1, tokens["b", 1].p1, tokens["b", 1].n1) == (None, None, None)
+    assert [tokens["a", n].depth for n in (1, 2, 3, 6, 7, 8, 9, 11)] == [0, 0, 1, 0, 0, -1, -1, 0]
+
+
+def test_levels_of_one_large_file(spark):
+    """A file of 100,000 tokens on one level; by windows over its statements it took more than three minutes."""
+    text = "class A { void f() { int x = 1; } }\n" * 6000
+    files = spark.createDataFrame([("r", "p", text)], "repo string, path string, content string")
+    levels = cut_lineage(jv.java_levels(files))
+    began = time.time()
+    assert jv.java_types(levels).count() == 6000
+    assert [r.variable for r in jv.declared_variables(levels).select("variable").distinct().collect()] == ["x"]
+    assert levels.filter("not delim and tok = 'x'").agg(F.max("line")).first()[0] == 6000
+    assert time.time() - began < 60
+
+
+def test_names_are_decoded_once_whatever_their_number(spark):
+    """Ten thousand equal declarations: one decoding of the name, not one for each."""
+    body = "".join(f"List<A> findByBAndC{n % 2 or ''}(int b);\n" for n in range(10_000))
+    f = facts(spark, R="interface ARepository extends JpaRepository<A, Long> {\n" + body + "}\n", Q="interface BRepository {\nA findByB(int b);\n}\n")
+    rows = f.queries.groupBy("text").count().collect()
+    assert {(r.text.replace("\n", " "), r["count"]) for r in rows} == {
+        ("SELECT * FROM a WHERE b = ? AND c = ?", 5000), ("SELECT * FROM a WHERE b = ? AND c1 = ?", 5000), ("SELECT * FROM b WHERE b = ?", 1)
+    }
