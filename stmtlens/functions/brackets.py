@@ -200,18 +200,17 @@ def _levels(file: np.ndarray, words: _Words, tokens: dict, no_types: tuple[str,
     odd = live & ~is_name & ~words.among("[", "]", ".", "<", ">", "@", "(", ")", ",", "?", "&")
     declares = (parts.whole(name) == 2) & (parts.whole(odd) == 0)
     off, end, pos, tok, kind, line = (col[n] for n in ("off", "end", "pos", "tok", "kind", "line"))
-    next_off = _taken(off, ahead)
     columns = col | {
         "p1": p1, "level": whole(level), "delim": pa.array(delim), "seg": whole(seg), "angle": whole(angle), "part": whole(part),
-        "block": _taken(pos, opener), "block_tok": _taken(tok, opener),
-        "l1": _struct(ahead, tok=tok, off=off, end=end, pos=pos, line=line),
-        "l2": _struct(groups.ahead(2), tok=tok, off=off, end=end),
-        "l3": _struct(groups.ahead(3), tok=tok, off=off, line=line), "l4": _struct(groups.ahead(4), off=off),
-        "start": _struct(segments.first, off=off, line=line, p1=p1),
-        "b1": _struct(groups.back(1), tok=tok, kind=kind, pos=pos, start_tok=_taken(tok, segments.first)),
-        "b2": _struct(groups.back(2), tok=tok, pos=pos), "b3": _struct(groups.back(3), tok=tok),
-        "term": _struct(term, pos=pos, tok=tok, off=off, delim=pa.array(delim), next_off=next_off),
-        "semi_end": _taken(end, groups.next(words.among(";"))),
+        "block": lambda: _taken(pos, opener), "block_tok": lambda: _taken(tok, opener),
+        "l1": lambda: _struct(ahead, tok=tok, off=off, end=end, pos=pos, line=line),
+        "l2": lambda: _struct(groups.ahead(2), tok=tok, off=off, end=end),
+        "l3": lambda: _struct(groups.ahead(3), tok=tok, off=off, line=line), "l4": lambda: _struct(groups.ahead(4), off=off),
+        "start": lambda: _struct(segments.first, off=off, line=line, p1=p1),
+        "b1": lambda: _struct(groups.back(1), tok=tok, kind=kind, pos=pos, start_tok=_taken(tok, segments.first)),
+        "b2": lambda: _struct(groups.back(2), tok=tok, pos=pos), "b3": lambda: _struct(groups.back(3), tok=tok),
+        "term": lambda: _struct(term, pos=pos, tok=tok, off=off, delim=pa.array(delim), next_off=_taken(off, ahead)),
+        "semi_end": lambda: _taken(end, groups.next(words.among(";"))),
         "part_end": whole(number("off")[parts.end - 1]), "live": pa.array(live), "declares": pa.array(declares),
     }
     return file, row, columns

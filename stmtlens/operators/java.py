@@ -103,8 +103,8 @@ def java_tokens(files: DataFrame, literals: bool = False, columns: str = _TOKEN)
     return _structure(files, columns, False, literals)
 
 
-def java_levels(files: DataFrame, literals: bool = False) -> DataFrame:
-    """Tokens by bracket level, cut into blocks, statements and comma parts.
+def java_levels(files: DataFrame, literals: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Tokens by bracket level, cut into blocks, statements and comma parts; with all columns or some of them.
 
     ``block`` is the position of the enclosing opening bracket, ``seg`` numbers the
     statement (it ends with, and includes, ``;``, ``{`` or ``}``), ``part`` the piece
@@ -113,7 +113,8 @@ def java_levels(files: DataFrame, literals: bool = False) -> DataFrame:
     ``part_end`` is where the part ends, ``semi_end`` the end of the level's next ``;``.
     ``live`` rows come before a part's ``=`` or ``:``; ``declares`` marks parts with two names there and nothing odd.
     """
-    return _structure(files, _LEVEL, True, literals)
+    asked = [f for f in StructType.fromDDL(_LEVEL) if not columns or f.name in columns]
+    return _structure(files, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked), True, literals)
 
 
 # --- containment ------------------------------------------------------------------------------
@@ -726,8 +727,13 @@ def annotated_queries(files: DataFrame) -> DataFrame:
     The value is the first argument that is one literal, alone or after ``value =``.
     """
     # Only files that mention the annotation are lexed with their literals.
-    levels = cut_lineage(java_levels(files.filter(F.rlike("content", F.lit(r"@\s*Query\b"))), literals=True))
+    read = ("pos", "off", "tok", "kind", "line", "p1", "delim", "block", "block_tok", "part", "l1", "l2", "b1")
     tok = F.col("tok")
+    # The annotations and what stands in parentheses: all that is read below.
+    levels = cut_lineage(
+        java_levels(files.filter(F.rlike("content", F.lit(r"@\s*Query\b"))), literals=True, columns=read)
+        .filter(~F.col("delim") & ((tok == "Query") | (F.col("block_tok") == "(")))
+    )
     heads = levels.filter(
         ~F.col("delim") & (tok == "Query") & _false(F.col("p1") == "@") & _false(F.col("l1.tok") == "(")
         & _false(F.col("l2.tok") == ")")
