@@ -194,3 +194,27 @@ def test_names_are_decoded_once_whatever_their_number(spark):
     assert {(r.text.replace("\n", " "), r["count"]) for r in rows} == {
         ("SELECT * FROM a WHERE b = ? AND c = ?", 5000), ("SELECT * FROM a WHERE b = ? AND c1 = ?", 5000), ("SELECT * FROM b WHERE b = ?", 1)
     }
+
+
+def test_only_the_tokens_that_facts_read_are_written(spark):
+    """Every fact is the same from all tokens, on whole files and on files cut anywhere, and most tokens are not written."""
+    whole = {
+        "S": service("".join(f"{b}\n" for b, _ in BODIES.values()) + "int a = 1, b[] = {2}; var x = repo; Map<K, List<V>> m2 = of(); x: for (;;) a--;"),
+        "E": "package a.b;\nimport static c.D.*;\n@Entity @Table(name = \"e\") class E<T extends F> extends G<H> implements I, J.K {\n"
+             "@OneToMany List<A> a;\n@ManyToOne(fetch = FetchType.LAZY) private B b, c;\n@Deprecated(since = \"1\") int f(final int... z) throws X { return z; }\n}",
+        "R": "@Repository interface ARepository extends JpaRepository<A, Long> {\n@Query(\"q\")\nA x();\nA findByB(int b); default A g() { return findByC(1); }\n}",
+    }
+    pick = random.Random(5)
+    cut = {f"{k}{n}": t[pick.randrange(len(t) // 2):][: pick.randrange(len(t))] for k, t in whole.items() for n in range(20)}
+    read = facts(spark, **whole, **cut)
+    assert read.levels.count() < jv.java_levels(read.files).count() / 2
+    every = jv.JavaFacts(read.files)
+    every.__dict__["levels"] = cut_lineage(jv.java_levels(read.files))
+    tables = lambda f: {
+        **{n: getattr(f, n) for n in ("types", "methods", "variables", "repositories", "iterations", "handles", "relations", "sites", "lazy", "queries")},
+        "entities": jv.entity_tables(f.types, f.levels, f.pieces), "imports": jv.package_imports(f.levels, f.pieces),
+    }
+    some, all_ = tables(read), tables(every)
+    rows = {n: (sorted(map(repr, some[n].collect())), sorted(map(repr, all_[n].collect()))) for n in some}
+    assert {n for n, (a, b) in rows.items() if a != b} == set()
+    assert {n for n, (a, _) in rows.items() if not a} <= {"lazy"}
