@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtlens.functions.paths import dirname, join_path, normpath, unquote
-from stmtlens.session import cut_lineage
+from stmtlens.session import cut_lineage, sorted_joins
 from stmtlens.sources.changelog import ROOT_TAG
 from stmtlens.sources.config import CANDIDATE_PATHS, CHANGELOG_KEY, config_entries, yaml_changelog
 
@@ -34,8 +34,11 @@ def include_order(roots: DataFrame, scan: DataFrame) -> DataFrame:
     is one distributed join; only "is anything new" reaches the driver, and rounds are
     as many as the tree is deep.  Keys only fall, so the rounds end by themselves.  ``roots(repo, root)``.
     """
-    edges = scan.filter((F.col("op") == "include") & (F.coalesce("value", F.lit("")) != "")).select(
-        "repo", "path", "item", "value", "relative"
+    # Each round reads the edges, so they are a table of their own, without the other operations.
+    edges = cut_lineage(
+        scan.filter((F.col("op") == "include") & (F.coalesce("value", F.lit("")) != "")).select(
+            "repo", "path", "item", "value", "relative"
+        )
     )
     best = cut_lineage(
         roots.select(
@@ -390,6 +393,7 @@ def schema_precedence(
     state, loadable)`` with state ``base`` or ``head``.  Out: ``source`` is explicit-head,
     explicit-base, config, scoring or unknown.
     """
+    repos, explicit, touched, discovered, scored, loadable = map(sorted_joins, (repos, explicit, touched, discovered, scored, loadable))
     ok = loadable.filter("loadable").select("repo", "root", "state")
     at = lambda state, name: ok.filter(F.col("state") == state).select(
         "repo", F.col("root").alias(name), F.lit(True).alias(f"_{name}_{state}")
