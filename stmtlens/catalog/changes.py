@@ -128,7 +128,7 @@ def _findings(spark, folder):
 
 
 def scope(spark, folder):
-    lines = _lines(spark, folder).withColumnRenamed("path", "file")
+    lines = diff.range_lines(patches(spark, folder), _KEYS).withColumnRenamed("path", "file")
     keys = ("repo", "pr", "file")
     ranges = diff.change_ranges(lines, keys)
     return diff.scope_changes(

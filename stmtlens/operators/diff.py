@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stmtlens.operators.statements import hash_spread
+from stmtlens.session import cut_lineage
 from stmtlens.sources.corpus import LANGUAGES, extension
 
 _HEADER = r"\A@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
@@ -75,6 +76,12 @@ def patch_lines(files: DataFrame, keys: tuple[str, ...] = ("path",), patch: str
     )
 
 
+def range_lines(files: DataFrame, keys: tuple[str, ...] = ("path",), patch: str = "patch") -> DataFrame:
+    """The headers and added lines of :func:`patch_lines`, written once: hunks and ranges read them three times."""
+    lines = patch_lines(files, keys, patch).filter(F.col("kind").isin("header", "added"))
+    return cut_lineage(lines.drop("raw", "advances"))
+
+
 def hunks(lines: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     return lines.filter(F.col("kind") == "header").select(
         *keys, "hunk", "base_start", "base_lines", "head_start", "head_lines"

@@ -143,7 +143,7 @@ def review_changes(
     if disabled is not None:
         merged = review.disable_rules(merged, disabled)
     ranked = review.rank_findings(merged, order=("stage", "seq"))
-    lines = diff.patch_lines(changed, KEYS).withColumnRenamed("path", "file")
+    lines = diff.range_lines(changed, KEYS).withColumnRenamed("path", "file")
     file_keys = ("repo", "pr", "file")
     # Four results read these rows; without the cut each would do all of the above again.
     scoped = cut_lineage(diff.scope_changes(ranked, diff.change_ranges(lines, file_keys), diff.hunks(lines, file_keys)))
