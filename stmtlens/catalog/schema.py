@@ -199,7 +199,7 @@ def substitute(spark, folder):
 
 
 def schema_rows(spark, folder):
-    built = sc.schema_from_changelogs(_roots(spark, folder), _scan(spark, folder))
+    built = sc.schema_from_changelogs(_roots(spark, folder), scan_changelogs(changelog_files(spark, folder)))
     return built.select(
         "repo", "table_name", F.array_join("indexed_columns", ",").alias("indexed_columns"),
         F.array_join(
@@ -263,8 +263,9 @@ def touch(spark, folder):
 
 
 def root_scoring(spark, folder):
-    scan = scan_changelogs(sc.xml_files(changelog_files(spark, folder)))
-    return sc.pick_root(sc.score_roots(scan), changelog_files(spark, folder))
+    # The files are parsed once; their flags and what they include are read from the table.
+    scan = cut_lineage(scan_changelogs(sc.xml_files(changelog_files(spark, folder))))
+    return sc.pick_root(sc.score_roots(scan), _roots(spark, folder))
 
 
 def precedence(spark, folder):

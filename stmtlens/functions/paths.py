@@ -21,6 +21,12 @@ def join_path(base: Column, name: Column) -> Column:
 
 def normpath(path: Column) -> Column:
     """POSIX normal form: no empty or ``.`` parts, ``..`` resolved where possible."""
+    # Bound as a variable, so that the text is worked out once; a path without such parts stays as it is.
+    bent = F.lit(r"(?:\A|/)\.{0,2}(?:/|\z)")
+    return F.get(F.transform(F.array(path), lambda p: F.when(F.rlike(p, bent), _resolved(p)).otherwise(p)), F.lit(0))
+
+
+def _resolved(path: Column) -> Column:
     absolute = path.startswith("/")
     parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
 
