@@ -160,7 +160,9 @@ def _tokens(file: np.ndarray, pieces: pa.Array, trivia: re.Pattern, literals: bo
     return file, words, columns
 
 
-def _levels(file: np.ndarray, words: _Words, tokens: dict, no_types: tuple[str, ...], read: dict | None, repeats: np.ndarray):
+def _levels(
+    file: np.ndarray, words: _Words, tokens: dict, no_types: tuple[str, ...], heads: tuple[str, ...], read: dict | None, repeats: np.ndarray
+):
     """``file`` and columns of the tokens by bracket level, all or those that are ``read``; rows name the token they stand for."""
     depth = tokens["depth"].to_numpy()
     bracket = words.among("(", ")", "[", "]", "{", "}")
@@ -202,27 +204,44 @@ def _levels(file: np.ndarray, words: _Words, tokens: dict, no_types: tuple[str,
     follows = parts.ahead(1)
     last_live = live & ~((follows >= 0) & live[follows])
     declares = (parts.whole(name) == 2) & (parts.whole(odd) == 0) & (parts.whole(name & last_live) == 1)
+    opens = words.among("{")[term] & ~delim[term] & (ahead[term] >= 0)
+    head = opens & (segments.whole(is_name & words.among(*heads)) > 0)
     at = np.arange(len(row))
+    # Which rows name what is around them: all, or those where the facts read it.
+    called = near = framed = declared = np.ones(len(row), dtype=bool)
     if read is not None:
         calls = is_name & (ahead >= 0) & words.among("(")[ahead]
-        opens = words.among("{")[term] & ~delim[term] & (ahead[term] >= 0)
-        heads = opens & (segments.whole(is_name & words.among(*read["statements"])) > 0)
         inside = (opener >= 0) & words.among("(")[opener] & (angle == 0)
-        looped = inside & (words.among(":", "->") | is_name & ~off_types & repeats[file]) | words.among("->")
-        at = np.flatnonzero(~delim & (calls | heads | looped | is_name & words.among(*read["words"]) | declares & (name | split)))
+        # What follows a bracket's partner is read where the bracket itself stands, a level above.
+        stands = np.zeros(len(col["tok"]) and row.max() + 1, dtype=np.int64)
+        stands[row[~delim]] = np.flatnonzero(~delim)
+        after = groups.ahead(2)[stands[row[opener]]]
+        parameters = inside & (after >= 0) & words.among("->")[after]
+        looped = inside & words.among(":") | parameters & is_name & ~off_types & repeats[file] | words.among("->")
+        marks = is_name & words.among(*read["words"])
+        at = np.flatnonzero(~delim & (calls | head & is_name | looped | marks | declares & (name | split)))
+        called, framed, declared = calls, words.among("for", "while", "do", "->"), declares
+        near = calls | marks | framed
     off, end, pos, tok, kind, line = (col[n] for n in ("off", "end", "pos", "tok", "kind", "line"))
+    kept = lambda rows, where: np.where(where, rows, -1)[at]
+    # What is read of calls alone, and is made for these alone.
+    aside = ("p2", "p2kind", "n2", "break_line", "line_first_off", "above_end")
     columns = {name: lambda values=values: values.take(pa.array(at)) for name, values in (col | {"p1": p1}).items()} | {
+        name: lambda name=name: _taken(tokens[name](), kept(row, called)) for name in aside
+    } | {
         "level": whole(level[at]), "delim": pa.array(delim[at]), "seg": whole(seg[at]), "angle": whole(angle[at]), "part": whole(part[at]),
         "block": lambda: _taken(pos, opener[at]), "block_tok": lambda: _taken(tok, opener[at]),
-        "l1": lambda: _struct(ahead[at], tok=tok, off=off, end=end, pos=pos, line=line),
-        "l2": lambda: _struct(groups.ahead(2)[at], tok=tok, off=off, end=end),
-        "l3": lambda: _struct(groups.ahead(3)[at], tok=tok, off=off, line=line), "l4": lambda: _struct(groups.ahead(4)[at], off=off),
-        "start": lambda: _struct(segments.first[at], off=off, line=line, p1=p1),
-        "b1": lambda: _struct(groups.back(1)[at], tok=tok, kind=kind, pos=pos, start_tok=_taken(tok, segments.first)),
-        "b2": lambda: _struct(groups.back(2)[at], tok=tok, pos=pos), "b3": lambda: _struct(groups.back(3)[at], tok=tok),
+        "l1": lambda: _struct(kept(ahead, near), tok=tok, off=off, end=end, pos=pos, line=line),
+        "l2": lambda: _struct(kept(groups.ahead(2), near), tok=tok, off=off, end=end),
+        "l3": lambda: _struct(kept(groups.ahead(3), near), tok=tok, off=off, line=line),
+        "l4": lambda: _struct(kept(groups.ahead(4), framed), off=off),
+        "start": lambda: _struct(kept(segments.first, declared), off=off, line=line, p1=p1),
+        "b1": lambda: _struct(kept(groups.back(1), framed), tok=tok, kind=kind, pos=pos, start_tok=_taken(tok, segments.first)),
+        "b2": lambda: _struct(kept(groups.back(2), framed), tok=tok, pos=pos), "b3": lambda: _struct(kept(groups.back(3), framed), tok=tok),
         "term": lambda: _struct(term[at], pos=pos, tok=tok, off=off, delim=pa.array(delim), next_off=_taken(off, ahead)),
-        "semi_end": lambda: _taken(end, groups.next(words.among(";"))[at]),
-        "part_end": whole(number("off")[parts.end - 1][at]), "live": pa.array(live[at]), "declares": pa.array(declares[at]),
+        "semi_end": lambda: _taken(end, kept(groups.next(words.among(";")), framed)),
+        "part_end": lambda: _taken(off, kept(parts.end - 1, framed)), "live": pa.array(live[at]), "declares": pa.array(declares[at]),
+        "head": pa.array(head[at]),
     }
     return file[at], row[at], columns
 
@@ -241,11 +260,12 @@ def _spans(lists: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def structure(schema: pa.Schema, keys: tuple[str, ...], trivia: str, levels: bool, literals: bool, no_types: tuple[str, ...],
-              read: dict[str, tuple[str, ...]] | None = None):
+              heads: tuple[str, ...], read: dict[str, tuple[str, ...]] | None = None):
     """A function for ``mapInArrow`` over rows of ``keys`` and ``pieces``: the columns of ``schema``.
 
-    ``trivia`` is the pattern of what comes before a piece's token.  With ``read`` only those rows of the levels
-    are made that the facts read: calls, loops, arrows, declarations, its ``words``, and the statements of its ``statements``.
+    ``trivia`` is the pattern of what comes before a piece's token; a statement that opens a block and holds one of ``heads``
+    is a head.  With ``read`` only those rows of the levels are made that the facts read: calls, loops, arrows and their
+    parameters, declarations, names of heads, and its ``words``; tokens around a row are null where no fact reads them.
     """
 
     def run(batches):
@@ -263,7 +283,7 @@ def structure(schema: pa.Schema, keys: tuple[str, ...], trivia: str, levels: boo
                 if levels:
                     tokens = columns
                     repeats = pc.fill_null(some.column("repeats"), False).to_numpy(zero_copy_only=False) if read else None
-                    file, row, columns = _levels(file, words, tokens, no_types, read, repeats)
+                    file, row, columns = _levels(file, words, tokens, no_types, heads, read, repeats)
                 of = pa.array(file)
 
                 def column(name):

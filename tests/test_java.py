@@ -218,3 +218,19 @@ def test_only_the_tokens_that_facts_read_are_written(spark):
     rows = {n: (sorted(map(repr, some[n].collect())), sorted(map(repr, all_[n].collect()))) for n in some}
     assert {n for n, (a, b) in rows.items() if a != b} == set()
     assert {n for n, (a, _) in rows.items() if not a} <= {"lazy"}
+
+
+def test_arguments_are_not_written_but_parameters_of_lambdas_are(spark):
+    """Of what stands in parentheses only the parameters before an arrow are read, and of a type's head only the names."""
+    f = facts(spark, S="class S<T> extends B<T> {\n void f(int n) {\n for (X x : xs) go(a, b, c);\n m.forEach((k, v) -> h(k + d));\n ids.stream().map((Y y) -> y);\n }\n}\n")
+    rows = {r.tok: r for r in f.levels.filter("not delim").collect()}
+    assert not {"a", "b", "c", "d", "<", "{"} & set(rows) and {"k", "v", "y", "Y", "x", "X", "S", "B", "T"} <= set(rows)
+    assert rows["go"].b1 is None and rows["S"].l1 is None and rows["->"].b1.tok == ")" and rows["->"].p2 is None
+    assert sorted((r.iteration_kind, r.element) for r in f.iterations.collect() if r.element) == [("enhanced-for", "x"), ("lambda-stream", "y")]
+    assert [(r.name, r.supertypes, r.first_argument) for r in f.types.collect()] == [("S", ["B"], "T")]
+
+
+def test_a_call_named_like_a_type_around_it_stays_a_candidate(spark):
+    """Constructors have no type before them; calls of other names without one are left out before they meet the types."""
+    f = facts(spark, S="class S {\n S() { }\n int n = go();\n S other() { return null; }\n class I { I(int a) { go(); } S of(); }\n}\n")
+    assert sorted((r.name, r.declaring_type) for r in f.methods.collect()) == [("I", "I"), ("S", "S"), ("of", "I"), ("other", "S")]
