@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stmtlens.catalog import java, logs
 from stmtlens.catalog.base import pick, spread, sql_values, table
 from stmtlens.operators import nplusone as np1
-from stmtlens.operators.repeated import repeated_statements, usable_groups
+from stmtlens.operators.repeated import repeated_statements
 
 
 def summary(spark, folder):
@@ -47,7 +47,7 @@ def correlation(spark, folder):
         "source", "entity", F.lit("Orders").alias("table_name")
     ).distinct()
     tables = np1.candidate_tables(rows, mapped, "cid", "source")
-    groups = usable_groups(repeated_statements(logs._log(spark, folder)))
+    groups = np1.evidence_groups(repeated_statements(logs._log(spark, folder)))
     reads = np1.group_tables(groups)
     return np1.runtime_correlation(tables, groups, reads, "cid")
 

@@ -54,3 +54,9 @@ def test_paths_as_posix_has_them(spark):
     got = spark.createDataFrame([(n,) for n in names], "p string").select("p", pa.normpath(F.col("p")).alias("n")).collect()
     assert [(r.p, r.n) for r in got if r.n != posixpath.normpath(r.p)] == []
     assert spark.createDataFrame([(None,)], "p string").select(pa.normpath(F.col("p"))).first()[0] is None
+
+
+def test_a_log_is_lexed_once_for_evidence(spark):
+    """The groups are read for their tables, for the look-up and for its rank; lines of a log have columns cut by bars."""
+    text = plan(entry.queries()["runtime_correlation"](spark, FOLDER))
+    assert "o_orderkey" not in text and "elapsed_ms" in text
