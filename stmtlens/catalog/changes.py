@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stmtlens.catalog.base import pick, spread, table
 from stmtlens.operators import diff
+from stmtlens.session import cut_lineage
 from stmtlens.sources.changes import parse_changed_files
 
 _KEYS = ("repo", "pr", "path")
@@ -102,7 +103,8 @@ def malformed(spark, folder):
 
 
 def outcome(spark, folder):
-    files = changed_file_rows(spark, folder)
+    # Read for their patches, for their texts and for themselves: the payloads are parsed once.
+    files = cut_lineage(changed_file_rows(spark, folder))
     # Every 13th head text could not be read.
     heads = files.filter(F.col("k") % 13 != 0).select(*_KEYS, F.col("path").alias("content"))
     return diff.ingest_outcome(files, heads, _KEYS)

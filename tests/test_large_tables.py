@@ -60,3 +60,9 @@ def test_a_log_is_lexed_once_for_evidence(spark):
     """The groups are read for their tables, for the look-up and for its rank; lines of a log have columns cut by bars."""
     text = plan(entry.queries()["runtime_correlation"](spark, FOLDER))
     assert "o_orderkey" not in text and "elapsed_ms" in text
+
+
+def test_payloads_are_parsed_once(spark):
+    """Changed files are read for their patches, their head texts and themselves."""
+    text = plan(entry.queries()["ingest_outcome"](spark, FOLDER))
+    assert "from_json" not in text and "o_orderkey" not in text
