@@ -123,6 +123,50 @@ def test_texts_of_one_template_are_joined(spark):
     assert len(links) > 1000 and sum(roots[a] == roots[b] for a, b in links) >= 0.99 * len(links)
 
 
+def test_a_crowd_of_unlike_texts_hides_no_similar_pair(spark, monkeypatch):
+    """Texts of one template, most of them below 0.8, some pairs and chains above it: exactly their components."""
+    pick = random.Random(3)
+    template = ["".join(pick.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    edit = lambda words, n: [f"x{pick.randrange(10**6)}" if i in at else w for at in [set(pick.sample(range(400), n))] for i, w in enumerate(words)]
+    texts = {}
+    for i in range(400):
+        words = edit(template, 14)
+        texts[10 * i] = " ".join(words)
+        for k in range(i % 3):
+            words = edit(words, pick.choice((4, 7, 9, 10)))
+            texts[10 * i + 1 + k] = " ".join(words)
+    sets = {i: set(simhash.compared_shingles(t)) for i, t in texts.items()}
+    ids = sorted(texts)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = set(least_roots(ids, links).values())
+    assert 500 < len(roots) < len(ids) - 100
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    kept = lambda: sorted(r["doc_id"] for r in simhash.keep_one(docs, similarity=0.8).select("doc_id").collect())
+    assert kept() == sorted(roots)
+    # The same by many small tiles and with counters that say nothing.
+    monkeypatch.setattr(simhash, "TILE", 50)
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 50 * 300)
+    monkeypatch.setattr(simhash, "shingle_counts", lambda docs, text: np.zeros(simhash.COUNTERS, dtype=np.int32))
+    assert kept() == sorted(roots)
+
+
+def test_tiles_link_all_similar_sets():
+    make = np.random.default_rng(4)
+    base = make.integers(-(2**63), 2**63, 300)
+    sets = []
+    for _ in range(90):
+        own = base.copy()
+        own[make.choice(300, make.choice((10, 30, 60)), replace=False)] = make.integers(-(2**63), 2**63, 1)
+        sets.append(np.unique(own))
+    close = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    sizes, grams = np.array([len(x) for x in sets]), np.concatenate(sets)
+    for left in (np.ones(90, dtype=bool), np.arange(90) < 40):
+        pairs = [(a, b) for a in range(90) for b in range(a + 1, 90) if (left.all() or left[a] != left[b]) and close(a, b)]
+        got = simhash.similar_sets(sizes, grams, left, 0.8)
+        assert len(got) < 90 and all(close(a, b) for a, b in got)
+        assert least_roots(range(90), got) == least_roots(range(90), pairs) and pairs
+
+
 def test_sketches_decide_as_whole_sets_do(spark):
     make = random.Random(9)
     sets, pairs = {}, []
