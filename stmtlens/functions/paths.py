@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stmtlens.session import sorted_joins
+
 
 def dirname(path: Column) -> Column:
     """Everything before the last slash ('' without one)."""
@@ -81,7 +83,7 @@ def split_ignored(
         F.array_join(F.collect_set(glob_to_regex(F.col("pattern"))), "|").alias("_regex")
     )
     return (
-        sources.join(rules, list(keys), "left")
+        sources.join(sorted_joins(rules), list(keys), "left")
         .withColumn("ignored", F.coalesce(F.rlike("path", F.col("_regex")), F.lit(False)))
         .drop("_regex")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stmtlens.operators.statements import hash_spread
-from stmtlens.session import cut_lineage
+from stmtlens.session import cut_lineage, sorted_joins
 from stmtlens.sources.corpus import LANGUAGES, extension
 
 _HEADER = r"\A@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
@@ -103,7 +103,7 @@ def added_ranges(lines: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFra
 def change_ranges(lines: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Ranges that count as changed: added ranges, or the span of a hunk without any."""
     added = added_ranges(lines, keys)
-    bare = hunks(lines, keys).join(added.select(*keys, "hunk").distinct(), [*keys, "hunk"], "left_anti")
+    bare = hunks(lines, keys).join(sorted_joins(added.select(*keys, "hunk").distinct()), [*keys, "hunk"], "left_anti")
     spans = bare.filter("head_lines > 0").select(
         *keys, "hunk", F.col("head_start").alias("lo"),
         (F.col("head_start") + F.col("head_lines") - 1).alias("hi"),
@@ -116,7 +116,7 @@ def hunk_table(lines: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame
     ranges = added_ranges(lines, keys).groupBy(*keys, "hunk").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("added_ranges")
     )
-    return hunks(lines, keys).join(ranges, [*keys, "hunk"], "left")
+    return hunks(lines, keys).join(sorted_joins(ranges), [*keys, "hunk"], "left")
 
 
 def malformed_patches(files: DataFrame, keys: tuple[str, ...] = ("path",), patch: str = "patch") -> DataFrame:
@@ -150,7 +150,7 @@ def ingest_outcome(
     """
     bad = malformed_patches(files, keys).select(*keys, F.lit(True).alias("_bad"))
     readable = heads.select(*keys, F.lit(True).alias("_readable"))
-    joined = files.join(bad, list(keys), "left").join(readable, list(keys), "left")
+    joined = files.join(sorted_joins(bad), list(keys), "left").join(sorted_joins(readable), list(keys), "left")
     no_patch = F.col("patch").isNull()
     skip = (
         F.when(F.col("status") == "removed", "deleted")
@@ -217,7 +217,7 @@ def scope_changes(
         *join_keys, F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi")
     ).withColumn("bucket", _buckets("r_lo", "r_hi"))
     touched = (
-        probes.join(spread, [*join_keys, "bucket"], "inner")
+        probes.join(sorted_joins(spread), [*join_keys, "bucket"], "inner")
         .filter((F.col("lo") <= F.col("r_hi")) & (F.col("r_lo") <= F.col("hi")))
         .select(*keys, "seq")
         .distinct()
@@ -225,8 +225,8 @@ def scope_changes(
     )
     diffed = diffed_files.select(*join_keys).distinct().withColumn("_diffed", F.lit(True))
     return (
-        findings.join(diffed, join_keys, "left")
-        .join(touched, [*keys, "seq"], "left")
+        findings.join(sorted_joins(diffed), join_keys, "left")
+        .join(sorted_joins(touched), [*keys, "seq"], "left")
         .withColumn(
             "in_scope",
             F.col("_diffed").isNull() | F.col("line").isNull() | F.col("_touched").isNotNull(),
@@ -243,13 +243,13 @@ def changed_lines(points: DataFrame, hunk_rows: DataFrame, keys: tuple[str, ...]
     ).withColumn("bucket", _buckets("r_lo", "r_hi"))
     hit = (
         points.withColumn("bucket", F.floor(F.col("line") / _BUCKET))
-        .join(spans, [*keys, "bucket"])
+        .join(sorted_joins(spans), [*keys, "bucket"])
         .filter(F.col("line").between(F.col("r_lo"), F.col("r_hi")))
         .select(*keys, "line").distinct().withColumn("_hit", F.lit(True))
     )
     has = hunk_rows.select(*keys).distinct().withColumn("_has", F.lit(True))
     return (
-        points.join(hit, [*keys, "line"], "left").join(has, list(keys), "left")
+        points.join(sorted_joins(hit), [*keys, "line"], "left").join(sorted_joins(has), list(keys), "left")
         .withColumn("is_changed", F.col("_has").isNull() | F.col("_hit").isNotNull())
         .drop("_hit", "_has")
     )

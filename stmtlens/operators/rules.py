@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stmtlens.functions import lexing as lx
 from stmtlens.operators import records
 from stmtlens.operators import statements as st
+from stmtlens.session import sorted_joins
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 
@@ -381,7 +382,10 @@ def _raised(t: AuditTables, chosen: list[int]) -> DataFrame:
         ))
         probe = F.concat(done, probe)
     rows = rows.select("qid", "kind", *scope, F.explode(probe).alias("_r")).select("qid", "kind", *scope, "_r.*")
-    known = rows.join(_known_tables(t.schema, scope), [*scope, "table_key"], "left" if plain else "inner")
+    tables = _known_tables(t.schema, scope)
+    # One schema is a lookup; those of all repositories grow with them.
+    tables = sorted_joins(tables) if scope else tables
+    known = rows.join(tables, [*scope, "table_key"], "left" if plain else "inner")
     found = F.array().cast(f"array<{_FINDING_TYPE}>")
     for i in asking:
         found = F.when(

@@ -78,7 +78,7 @@ def loadable_roots(order: DataFrame, scan: DataFrame) -> DataFrame:
     """``repo, root, loadable``: every file of the tree exists and is well-formed XML."""
     files = scan.filter("op = 'file'").select("repo", "path", F.col("value").isNull().alias("_ok"))
     return (
-        order.join(files, ["repo", "path"], "left")
+        order.join(sorted_joins(files), ["repo", "path"], "left")
         .groupBy("repo", "root")
         .agg(F.bool_and(F.coalesce("_ok", F.lit(False))).alias("loadable"))
     )
@@ -118,7 +118,7 @@ def substitute_properties(
     )
     before = F.filter("_defined", lambda d: d["order_key"] <= F.col("order_key"))
     values = (
-        uses.join(definitions, [*keys, "name"])
+        uses.join(sorted_joins(definitions), [*keys, "name"])
         .withColumn("value", F.try_element_at(before, F.lit(-1))["value"])
         .filter(F.col("value").isNotNull())
         .groupBy(*keys, "row_id")
@@ -130,7 +130,7 @@ def substitute_properties(
         lambda text, p: F.replace(text, F.concat(F.lit("${"), p["name"], F.lit("}")), p["value"]),
     )
     return (
-        typed.join(values, [*keys, "row_id"], "left").withColumn("type", replaced).drop("_values")
+        typed.join(sorted_joins(values), [*keys, "row_id"], "left").withColumn("type", replaced).drop("_values")
     )
 
 
@@ -271,7 +271,7 @@ def schema_lookup(asked: DataFrame, schema: DataFrame, keys: tuple[str, ...] = (
         F.array_sort(F.transform("indexed_columns", F.lower)).alias("indexed_columns"),
         F.col("column_types").alias("_types"),
     )
-    joined = asked.withColumn("_table", F.lower("table_name")).join(folded, [*keys, "_table"], "left")
+    joined = asked.withColumn("_table", F.lower("table_name")).join(sorted_joins(folded), [*keys, "_table"], "left")
     typed = F.map_values(F.map_filter("_types", lambda k, v: F.lower(k) == F.lower(F.col("column"))))
     return joined.withColumn("column_type", F.lower(F.get(typed, F.lit(0)))).drop("_table", "_types")
 
@@ -279,10 +279,10 @@ def schema_lookup(asked: DataFrame, schema: DataFrame, keys: tuple[str, ...] = (
 def changelog_touch(changed: DataFrame, tree: DataFrame, reviews: DataFrame, keys: tuple[str, ...] = ("repo", "pr")) -> DataFrame:
     """Adds ``touches`` to ``reviews(keys)``: does a changed path lie in the tree?"""
     hit = (
-        changed.join(tree.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+        changed.join(sorted_joins(tree.select("repo", "path").distinct()), ["repo", "path"], "left_semi")
         .select(*keys).distinct().withColumn("_hit", F.lit(True))
     )
-    return reviews.join(hit, list(keys), "left").withColumn(
+    return reviews.join(sorted_joins(hit), list(keys), "left").withColumn(
         "touches", F.coalesce("_hit", F.lit(False))
     ).drop("_hit")
 
@@ -322,7 +322,7 @@ def discover_changelog(configs: DataFrame, repos: DataFrame) -> DataFrame:
         F.min_by("path", F.when(F.col("blank"), F.col("priority"))).alias("_blank"),
     )
     one = F.col("_low") == F.col("_high")
-    return repos.select("repo").distinct().join(judged, "repo", "left").select(
+    return repos.select("repo").distinct().join(sorted_joins(judged), "repo", "left").select(
         "repo",
         F.when(one, "discovered")
         .when(F.col("_low").isNotNull(), "ambiguous")
@@ -349,7 +349,7 @@ def score_roots(scan: DataFrame) -> DataFrame:
         F.bool_or(F.col("op").isin("include", "includeAll")).alias("includes"),
         F.bool_or(F.col("op") == "changeSet").alias("has_changes"),
     ).filter("_is_root")
-    valid = scan.join(flags.select("repo", "path"), ["repo", "path"], "left_semi")
+    valid = scan.join(sorted_joins(flags.select("repo", "path")), ["repo", "path"], "left_semi")
     named = valid.filter((F.col("op") == "include") & (F.coalesce("value", F.lit("")) != "")).select(
         "repo",
         include_target(F.col("path"), F.col("value"), F.col("relative"), F.lit("")).alias("path"),
@@ -357,7 +357,7 @@ def score_roots(scan: DataFrame) -> DataFrame:
     hint = F.lower("path").rlike("|".join(_NAMING_HINTS))
     free = F.col("_referenced").isNull()
     medium = free & (F.col("includes") | (F.col("has_changes") & hint))
-    return flags.join(named, ["repo", "path"], "left").select(
+    return flags.join(sorted_joins(named), ["repo", "path"], "left").select(
         "repo", "path", F.when(medium, "medium").otherwise("low").alias("confidence")
     )
 
@@ -371,7 +371,7 @@ def pick_root(scored: DataFrame, repos: DataFrame) -> DataFrame:
         F.min("path").alias("_any"),
     )
     n = F.when(F.col("_medium") > 0, F.col("_medium")).otherwise(F.col("_all"))
-    return repos.select("repo").distinct().join(best, "repo", "left").select(
+    return repos.select("repo").distinct().join(sorted_joins(best), "repo", "left").select(
         "repo",
         F.when(n.isNull(), "not_found").when(n == 1, "discovered").otherwise("ambiguous").alias("status"),
         F.when(n == 1, F.coalesce("_path", "_any")).alias("changelog_path"),

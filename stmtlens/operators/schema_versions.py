@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtlens.operators import schema as sc
-from stmtlens.session import cut_lineage
+from stmtlens.session import cut_lineage, sorted_joins
 from stmtlens.sources.changelog import scan_changelogs
 from stmtlens.sources.config import CANDIDATE_PATHS
 
@@ -84,7 +84,7 @@ def fold_versions(tree: DataFrame, folds: dict[str, DataFrame]) -> DataFrame:
 
     def placed(rows: DataFrame) -> DataFrame:
         at = tree.select(*SCOPE, *FILE, F.col("order_key").alias("_file_key"))
-        return rows.join(at, list(FILE)).withColumn("order_key", F.concat("_file_key", "order_key")).drop(*FILE, "_file_key")
+        return rows.join(sorted_joins(at), list(FILE)).withColumn("order_key", F.concat("_file_key", "order_key")).drop(*FILE, "_file_key")
 
     columns = (
         placed(folds["columns"]).groupBy(*SCOPE, "table_name", "column")
@@ -92,7 +92,7 @@ def fold_versions(tree: DataFrame, folds: dict[str, DataFrame]) -> DataFrame:
         .select(*SCOPE, "table_name", "column", "_last.*", F.to_json(F.struct("table_name", "column")).alias("row_id"))
     )
     typed = sc.substitute_properties(columns, placed(folds["properties"]), SCOPE)
-    tables = folds["tables"].join(tree.select(*SCOPE, *FILE), list(FILE)).select(*SCOPE, "table_name").distinct()
+    tables = folds["tables"].join(sorted_joins(tree.select(*SCOPE, *FILE)), list(FILE)).select(*SCOPE, "table_name").distinct()
     indexes = sc.index_state(placed(folds["indexes"]), SCOPE)
     return sc.table_schema(tables, indexes, typed.select(*SCOPE, "table_name", "column", "type"), SCOPE)
 
@@ -110,9 +110,9 @@ def _walk(versions: DataFrame, bones: DataFrame, configs: DataFrame, explicit: D
     found = sc.discover_changelog(as_repo(configs), named.select(F.col("version").alias("repo")))
     scored = sc.pick_root(sc.score_roots(files), named.select(F.col("version").alias("repo")))
     asked = cut_lineage(
-        named.join(explicit.select("repo", F.col("root").alias("e")), "repo", "left")
-        .join(found.select(F.col("repo").alias("version"), "status", F.col("changelog_path").alias("d")), "version", "left")
-        .join(scored.select(F.col("repo").alias("version"), F.col("changelog_path").alias("s")), "version", "left")
+        named.join(sorted_joins(explicit.select("repo", F.col("root").alias("e"))), "repo", "left")
+        .join(sorted_joins(found.select(F.col("repo").alias("version"), "status", F.col("changelog_path").alias("d"))), "version", "left")
+        .join(sorted_joins(scored.select(F.col("repo").alias("version"), F.col("changelog_path").alias("s"))), "version", "left")
     )
     possible = F.when(F.col("e").isNotNull(), F.array("e")).otherwise(F.array_distinct(F.array_compact(F.array("d", "s"))))
     order = sc.include_order(asked.select(F.col("version").alias("repo"), F.explode(possible).alias("root")), files)
@@ -125,15 +125,15 @@ def _walk(versions: DataFrame, bones: DataFrame, configs: DataFrame, explicit: D
         .when(ok("d"), "config").when(F.col("status") == "ambiguous", None).when(ok("s"), "scoring")
     )
     root = F.when(F.col("kind") == "explicit", F.col("e")).when(F.col("kind") == "config", F.col("d")).when(F.col("kind") == "scoring", F.col("s"))
-    chosen = asked.join(good, "version", "left").withColumn("kind", kind).select("repo", "rev", "version", "kind", root.alias("root"))
+    chosen = asked.join(sorted_joins(good), "version", "left").withColumn("kind", kind).select("repo", "rev", "version", "kind", root.alias("root"))
     return order.withColumnRenamed("repo", "version"), cut_lineage(chosen)
 
 
 def _overlay(base: DataFrame, heads: DataFrame, touched: DataFrame, paths: DataFrame) -> DataFrame:
     """``repo, rev, path, file_rev``: the files of each touched review's head, base files where it left them."""
     left = (
-        touched.join(base.select("repo", "path").distinct(), "repo")
-        .join(paths.select("repo", "rev", "path"), ["repo", "rev", "path"], "left_anti")
+        touched.join(sorted_joins(base.select("repo", "path").distinct()), "repo")
+        .join(sorted_joins(paths.select("repo", "rev", "path")), ["repo", "rev", "path"], "left_anti")
         .select("repo", "rev", "path", F.lit(BASE).alias("file_rev"))
     )
     return left.unionByName(heads.select("repo", "rev", "path", F.col("rev").alias("file_rev")).distinct())
@@ -142,7 +142,7 @@ def _overlay(base: DataFrame, heads: DataFrame, touched: DataFrame, paths: DataF
 def _seen(view: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of file versions, once for each version that sees the file."""
     of = rows.withColumnRenamed("rev", "file_rev")
-    return view.join(of, ["repo", "file_rev", "path"]).drop("file_rev")
+    return view.join(sorted_joins(of), ["repo", "file_rev", "path"]).drop("file_rev")
 
 
 def schema_versions(files: DataFrame, changed: DataFrame, heads: DataFrame, explicit: DataFrame | None = None) -> SchemaVersions:
@@ -174,13 +174,13 @@ def schema_versions(files: DataFrame, changed: DataFrame, heads: DataFrame, expl
     repos = files.select("repo").union(reviews.select("repo")).distinct().withColumn("rev", F.lit(BASE))
     order, chosen = _walk(repos, skeleton(scan), base.filter(_is_config()), explicit)
 
-    tree = chosen.filter("kind = 'explicit'").join(order, ["version", "root"]).select("repo", "path")
-    in_tree = paths.join(tree, ["repo", "path"], "left_semi")
-    free = paths.filter(wanted).join(explicit.select("repo"), "repo", "left_anti")
+    tree = chosen.filter("kind = 'explicit'").join(sorted_joins(order), ["version", "root"]).select("repo", "path")
+    in_tree = paths.join(sorted_joins(tree), ["repo", "path"], "left_semi")
+    free = paths.filter(wanted).join(sorted_joins(explicit.select("repo")), "repo", "left_anti")
     touched = cut_lineage(in_tree.select("repo", "rev").union(free.select("repo", "rev")).distinct())
 
     own = heads.filter(wanted).select("repo", rev, "path", "content")
-    own = own.join(touched, ["repo", "rev"], "left_semi").join(paths, list(FILE), "left_semi")
+    own = own.join(sorted_joins(touched), ["repo", "rev"], "left_semi").join(sorted_joins(paths), list(FILE), "left_semi")
     own_scan = cut_lineage(scan_changelogs(own.filter(_is_xml()), FILE))
     view = cut_lineage(_overlay(base, own, touched, paths))
     every = scan.unionByName(own_scan)
@@ -190,8 +190,8 @@ def schema_versions(files: DataFrame, changed: DataFrame, heads: DataFrame, expl
     at_base = chosen.select("repo", F.col("kind").alias("_base"), F.col("root").alias("_base_root"))
     at_head = head_chosen.select("repo", "rev", F.lit(True).alias("_touched"), F.col("kind").alias("_head"), F.col("root").alias("_head_root"))
     joined = (
-        reviews.join(at_base, "repo", "left").join(at_head, ["repo", "rev"], "left")
-        .join(explicit.select("repo", F.lit(True).alias("_explicit")), "repo", "left")
+        reviews.join(sorted_joins(at_base), "repo", "left").join(sorted_joins(at_head), ["repo", "rev"], "left")
+        .join(sorted_joins(explicit.select("repo", F.lit(True).alias("_explicit"))), "repo", "left")
     )
     built = F.col("_touched").isNotNull() & (F.col("_explicit").isNull() | (F.col("_head") == "explicit") & F.col("_base").isNotNull())
     kind = F.when(built, F.col("_head")).otherwise(F.col("_base"))
@@ -206,8 +206,8 @@ def schema_versions(files: DataFrame, changed: DataFrame, heads: DataFrame, expl
     base_view = base.select("repo", "rev", "path", F.col("rev").alias("file_rev"))
     trees = (
         used.withColumn("version", _version())
-        .join(order.unionByName(head_order), ["version", "root"])
-        .join(base_view.unionByName(view), ["repo", "rev", "path"])
+        .join(sorted_joins(order.unionByName(head_order)), ["version", "root"])
+        .join(sorted_joins(base_view.unionByName(view)), ["repo", "rev", "path"])
         .select(*SCOPE, "repo", F.col("file_rev").alias("rev"), "path", "order_key")
     )
     schema = fold_versions(cut_lineage(trees), file_folds(every))

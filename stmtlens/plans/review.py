@@ -18,7 +18,7 @@ from stmtlens.operators import statements as st
 from stmtlens.operators.java import JavaFacts
 from stmtlens.operators.schema_versions import schema_versions
 from stmtlens.plans.nplusone import nplusone_findings
-from stmtlens.session import cut_lineage
+from stmtlens.session import cut_lineage, sorted_joins
 from stmtlens.sources.config import review_dialects
 from stmtlens.sources.corpus import apply_run_dialect
 
@@ -57,7 +57,7 @@ def _java_queries(facts: JavaFacts, sources: DataFrame) -> DataFrame:
     reviews = sources.select(*KEYS, "dialect", _review_key().alias("_review"))
     found = facts.queries.withColumnRenamed("repo", "_review")
     well = lx.sql_well_formed(F.col("text"), F.col("dialect"))
-    return found.join(reviews, ["_review", "path"]).select(
+    return found.join(sorted_joins(reviews), ["_review", "path"]).select(
         *KEYS, "ordinal", "line", "text", "dialect", F.when(~well, F.lit(_UNREADABLE)).alias("parse_error"), "id",
         "kind", "extent",
     )
@@ -66,9 +66,9 @@ def _java_queries(facts: JavaFacts, sources: DataFrame) -> DataFrame:
 def _java_findings(facts: JavaFacts, sources: DataFrame, groups: DataFrame | None) -> DataFrame:
     reviews = sources.select("repo", "pr", _review_key().alias("_review")).distinct()
     if groups is not None:
-        groups = groups.join(reviews, "repo").drop("repo", "pr").withColumnRenamed("_review", "repo")
+        groups = groups.join(sorted_joins(reviews), "repo").drop("repo", "pr").withColumnRenamed("_review", "repo")
     found = nplusone_findings(facts, groups).withColumnRenamed("repo", "_review")
-    return found.join(reviews, "_review").drop("_review")
+    return found.join(sorted_joins(reviews), "_review").drop("_review")
 
 
 def review_changes(
@@ -98,8 +98,8 @@ def review_changes(
     is the one that the configuration names.  ``max_findings`` limits what is shown; without
     it all is.  Findings of equal rank keep the listed order of their files.
 
-    The ranked findings and, for Java files, their facts are written to the shared folder while
-    the plan is built, as four results read them.
+    The statements, the ranked findings and, for Java files, their facts are written to the shared
+    folder while the plan is built, as several results read them.
     """
     if ignored is not None:
         changed = split_ignored(changed, ignored).filter("not ignored").drop("ignored")
@@ -110,7 +110,7 @@ def review_changes(
         dialects = cut_lineage(review_dialects(files, changed, heads))
         heads = apply_run_dialect(heads, dialects, ("repo", "pr"))
     outcome = diff.ingest_outcome(changed, heads, KEYS)
-    sources = heads.join(outcome.filter("outcome = 'source'").select(*KEYS), list(KEYS), "left_semi")
+    sources = heads.join(sorted_joins(outcome.filter("outcome = 'source'").select(*KEYS)), list(KEYS), "left_semi")
     queries = st.split_statements(sources.filter(F.lower("path").endswith(".sql")), KEYS)
     queries = queries.withColumns({"kind": F.lit("raw_sql"), "extent": _extent(F.col("text"))})
     java = cut_lineage(sources.filter(F.lower("path").endswith(".java")))
@@ -118,14 +118,15 @@ def review_changes(
     if not java.isEmpty():
         facts = JavaFacts(java.select(_review_key().alias("repo"), "path", "content"))
         queries = queries.unionByName(_java_queries(facts, java))
-    queries = queries.withColumn("qid", F.to_json(F.struct(*KEYS, "ordinal")))
+    # The rules, what they found, and three results read these rows; their texts are split once.
+    queries = cut_lineage(queries.withColumn("qid", F.to_json(F.struct(*KEYS, "ordinal"))))
     judged_by = queries
     if versions is not None:
         schema = versions.schema
-        judged_by = queries.join(versions.sources.select("repo", "pr", "rev"), ["repo", "pr"])
+        judged_by = queries.join(sorted_joins(versions.sources.select("repo", "pr", "rev")), ["repo", "pr"])
     found = rules.run_rules(rules.audit_tables(judged_by, schema)).join(
-        queries.select("qid", *KEYS, "ordinal", "id", "line", "extent"), "qid"
-    ).join(changed.select(*KEYS, F.col("seq").cast("long").alias("file_seq")), list(KEYS))
+        sorted_joins(queries.select("qid", *KEYS, "ordinal", "id", "line", "extent")), "qid"
+    ).join(sorted_joins(changed.select(*KEYS, F.col("seq").cast("long").alias("file_seq"))), list(KEYS))
     none = F.lit(None).cast("int")
     static = found.select(
         "repo", "pr", _place("file_seq", "ordinal", "rule_order", "seq", F.lit("")).alias("seq"),
@@ -150,9 +151,9 @@ def review_changes(
     kept = scoped.filter("in_scope")
     judged = review.should_block(kept, policy)
     runs = changed.select("repo", "pr").distinct()
-    markers = outcome.join(changed.select(*KEYS, "seq"), list(KEYS)).filter("marker is not null")
+    markers = outcome.join(sorted_joins(changed.select(*KEYS, "seq")), list(KEYS)).filter("marker is not null")
     degraded = review.degraded_markers(
-        queries.join(changed.select(*KEYS, F.col("seq").alias("file_seq")), list(KEYS)), initial=markers
+        queries.join(sorted_joins(changed.select(*KEYS, F.col("seq").alias("file_seq"))), list(KEYS)), initial=markers
     )
     unchanged = scoped.groupBy("repo", "pr").agg(F.count_if(~F.col("in_scope")).alias("n_unchanged"))
     return ReviewTables(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtlens.functions.paths import strip, unquote
+from stmtlens.session import sorted_joins
 
 #: The changelog key and where configuration is looked for, in order.
 CHANGELOG_KEY = "db.liquibase.change-log"
@@ -124,7 +125,7 @@ def detect_dialect(
     configs: DataFrame, candidates: DataFrame, keys: tuple[str, ...] = ("repo",)
 ) -> DataFrame:
     """``keys, run_dialect``: the first recognised JDBC protocol in candidate order."""
-    ranked = configs.join(candidates, [*keys, "path"])
+    ranked = configs.join(sorted_joins(candidates), [*keys, "path"])
     protocol = F.lower(F.regexp_extract(F.col("_line"), r"(?i)jdbc:([a-z0-9]+):", 1))
     known = F.create_map(*[F.lit(x) for pair in JDBC_DIALECTS for x in pair])
     lines = (
@@ -153,13 +154,13 @@ def review_dialects(files: DataFrame, changed: DataFrame, heads: DataFrame) -> D
     versions = base.unionByName(own).withColumn("file", F.to_json(F.struct("repo", "pr", "at_head", "path")))
     alone = versions.select("file", "path", F.struct(F.lit("").alias("module"), F.lit(0).alias("i")).alias("priority"))
     read = detect_dialect(versions.select("file", "path", "content"), alone, ("file",))
-    known = versions.select("file", "repo", "pr", "at_head", "path").join(read, "file").drop("file")
+    known = versions.select("file", "repo", "pr", "at_head", "path").join(sorted_joins(read), "file").drop("file")
     keys = ("repo", "pr")
     asked = config_candidates(changed, changed, keys).join(
-        changed.select(*keys, "path", F.lit(True).alias("_touched")).distinct(), [*keys, "path"], "left"
+        sorted_joins(changed.select(*keys, "path", F.lit(True).alias("_touched")).distinct()), [*keys, "path"], "left"
     )
-    kept = asked.filter(F.col("_touched").isNull()).join(known.filter(~F.col("at_head")).select("repo", "path", "run_dialect"), ["repo", "path"])
-    fresh = asked.filter(F.col("_touched").isNotNull()).join(known.filter("at_head").select(*keys, "path", "run_dialect"), [*keys, "path"])
+    kept = asked.filter(F.col("_touched").isNull()).join(sorted_joins(known.filter(~F.col("at_head")).select("repo", "path", "run_dialect")), ["repo", "path"])
+    fresh = asked.filter(F.col("_touched").isNotNull()).join(sorted_joins(known.filter("at_head").select(*keys, "path", "run_dialect")), [*keys, "path"])
     columns = [*keys, "priority", "run_dialect"]
     return kept.select(*columns).unionByName(fresh.select(*columns)).groupBy(*keys).agg(
         F.min_by("run_dialect", "priority").alias("run_dialect")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stmtlens.session import sorted_joins
+
 #: The file types that are read.
 LANGUAGES = (".sql", ".java")
 
@@ -35,7 +37,7 @@ def apply_run_dialect(
     default: str = "postgres",
 ) -> DataFrame:
     """``.sql`` files get their run's dialect (``repo_dialect(keys, run_dialect)``)."""
-    labelled = sources.join(repo_dialect, list(keys), "left")
+    labelled = sources.join(sorted_joins(repo_dialect), list(keys), "left")
     sql = F.lower("path").endswith(".sql")
     return labelled.withColumn(
         "dialect", F.when(sql, F.coalesce("run_dialect", F.lit(default))).otherwise(F.lit(default))
@@ -47,7 +49,7 @@ def relabel_queries(
     default: str = "postgres",
 ) -> DataFrame:
     """Queries still on the default dialect take their run's."""
-    joined = queries.join(repo_dialect, list(keys), "left")
+    joined = queries.join(sorted_joins(repo_dialect), list(keys), "left")
     return joined.withColumn(
         "dialect",
         F.when(F.col("dialect") == default, F.coalesce("run_dialect", "dialect")).otherwise(

@@ -4,6 +4,7 @@ import posixpath
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -24,6 +25,19 @@ def test_precedence_gathers_no_table(spark):
     assert "Broadcast" not in plan(entry.queries()["schema_precedence"](spark, FOLDER))
 
 
+def test_schema_review_gathers_no_table(spark, monkeypatch):
+    """Repositories, files and reviews are as many as the data; the planner takes them for their compressed keys."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def seen(self, *args, **options):
+        plans.append(plan(self._df))
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    found = entry.queries()["schema_review_job"](spark, FOLDER)
+    assert plans and not [p for p in [*plans, plan(found)] if "Broadcast" in p]
+
+
 def test_written_tables_are_merged(spark):
     """The bytes of a compressed file say little about its rows."""
     rows = cut_lineage(spark.range(1000).select(F.concat(F.lit("repo"), F.col("id")).alias("repo")))
