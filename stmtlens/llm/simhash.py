@@ -16,7 +16,8 @@ of two-flip members need no link there: if they are within the radius, they meet
 Links are deduplicated and verified against the radius.
 
 A stage that removes near copies asks for texts whose sets of five-word shingles are alike, wherever their
-fingerprints lie.  ``keep_one`` finds all of them with a given similarity: of two such sets, each put in one
+fingerprints lie.  ``keep_one`` finds all of them with a given similarity.  Links of fingerprints are candidates, and
+so are texts that meet in a shingle, which also finds what lies outside the radius: of two such sets, each put in one
 order of all shingles, the first common shingle is among the first few of either, so a set is shuffled by those
 alone and all that meet in a shingle are candidates.  Counters put shingles of many texts last; they decide
 how many meet, not what is found.  Where few meet, all pairs are taken.  Where many do, each is first linked to one
@@ -196,8 +197,8 @@ def _least(share: float, size: int) -> int:
     return int(np.ceil(share * size - _SLACK))
 
 
-def prefix_print(text: str, counts: np.ndarray, similarity: float) -> tuple[int, int, list[int], list[int]]:
-    """(hash of the words, number of shingles, parities, the first shingles in the order of ``counts``).
+def prefix_print(text: str, counts: np.ndarray, similarity: float) -> tuple[int, int, int, list[int], list[int]]:
+    """(hash of the words, fingerprint, number of shingles, parities, the first shingles in the order of ``counts``).
 
     Sets that share ``similarity`` of their union share that of either, so one of the first shingles is common.
     """
@@ -208,7 +209,7 @@ def prefix_print(text: str, counts: np.ndarray, similarity: float) -> tuple[int,
     bits = np.bincount((grams >> 20) & (PARITIES - 1), minlength=PARITIES).astype(np.uint8) & 1
     order = np.lexsort((grams, counts[grams & (COUNTERS - 1)]))
     first = order[: len(grams) - _least(similarity, len(grams)) + 1]
-    return node - (1 << 64) * (node >> 63), len(grams), np.packbits(bits).view("<i8").tolist(), grams[first].tolist()
+    return node - (1 << 64) * (node >> 63), fingerprint(text), len(grams), np.packbits(bits).view("<i8").tolist(), grams[first].tolist()
 
 
 def hex16(fp: str | Column) -> Column:
@@ -334,8 +335,8 @@ def _most_apart(similarity: float) -> Column:
     return F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + _SLACK
 
 
-def candidates(held: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of ``sets`` (node, n, bits) that meet in ``held`` and that the bounds leave open.
+def candidates(held: DataFrame, sets: DataFrame, similarity: float, near: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``sets`` (node, n, bits) that the bounds leave open: the links ``near``, and those that meet in ``held``.
 
     All pairs of a shingle that few hold, and each of many with their centre.
     """
@@ -351,7 +352,7 @@ def candidates(held: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     stars = held.filter((F.col("held") > FEW) & (F.col("node") != F.col("centre"))).select(
         F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")
     )
-    pairs = met.select("a", "b").union(stars).distinct()
+    pairs = met.select("a", "b").union(stars).union(near).distinct()
     side = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"bits{name}"))
     apart = F.expr("aggregate(zip_with(bitsa, bitsb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     bound = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
@@ -433,15 +434,24 @@ def crowd_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, similarity:
     return dealt.groupBy("token", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
+def print_links(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: links that join all ``nodes`` (node, fp) whose fingerprints reach each other within the radius."""
+    leads = written(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    alike_ = nodes.select("node", "fp").join(leads.hint("merge"), "fp").filter("node <> lead")
+    side = lambda name: leads.select(F.col("fp").alias(name), F.col("lead").alias(f"l{name}")).hint("merge")
+    near = ball_links(leads.select("fp")).join(side("a"), "a").join(side("b"), "b")
+    return alike_.select(F.col("lead").alias("a"), F.col("node").alias("b")).union(near.select(F.least("la", "lb"), F.greatest("la", "lb")))
+
+
 def similar_classes(prints: DataFrame, texts: DataFrame, first: Column, similarity: float) -> DataFrame:
     """(node, first): the least ``first`` of each component of texts at least so similar.
 
-    ``prints`` holds (node, n, bits, prefix) for every row of ``texts`` (k, d, _text); ``first`` ends with
+    ``prints`` holds (node, fp, n, bits, prefix) for every row of ``texts`` (k, d, _text); ``first`` ends with
     the fields k and d of a row.  Nodes are distinct up to case and white space.
     """
     nodes = written(
         prints.groupBy("node").agg(
-            F.min(first).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
+            F.min(first).alias("first"), *(F.first(c).alias(c) for c in ("fp", "n", "bits", "prefix"))
         ),
         "nodes",
     )
@@ -452,7 +462,7 @@ def similar_classes(prints: DataFrame, texts: DataFrame, first: Column, similari
     held = held.select("*", F.count("*").over(token).alias("held"), centre.alias("centre")).filter("held > 1")
     held = written(held, "held")
     crowd = held.filter(F.col("held") > FEW).select("token", "node", "n")
-    pairs = written(candidates(held, nodes.select("node", "n", "bits"), similarity), "pairs")
+    pairs = written(candidates(held, nodes.select("node", "n", "bits"), similarity, print_links(nodes)), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
     wanted = wanted.join(nodes.select("node", "first").hint("merge"), "node")
     wanted = written(wanted.select("node", F.col("first.k").alias("wk"), F.col("first.d").alias("wd")), "wanted")
@@ -495,7 +505,7 @@ def keep_one(
     """``docs`` with one row of each component: that of the least key, then the least text digest.
 
     Components are those of :func:`simhash_classes`, or with ``similarity`` those of texts whose
-    five-word shingles have at least this Jaccard similarity, all of them.
+    five-word shingles have at least this Jaccard similarity, all of them, within the radius or not.
     Of rows alike in key and text one stays; null keys come last; all columns stay.
     """
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -504,16 +514,12 @@ def keep_one(
     if wide:
         counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text))
         one = lambda value: prefix_print(value, counts.value, similarity)
-        schema = "node bigint, n int, bits array<bigint>, prefix array<bigint>"
+        schema = "node bigint, fp bigint, n int, bits array<bigint>, prefix array<bigint>"
     else:
         one, schema = (lambda value: (fingerprint(value),), "fp bigint")
     narrow = docs.select(F.struct(F.col(key).alias("k"), digest.alias("d")).alias("_row"), F.col(text).alias("_text"))
-    prints = written(
-        narrow.select(F.to_json("_row").alias("_id"), "_text").transform(
-            lambda df: map_texts(df, "_id", "_text", one, schema)
-        ),
-        "fingerprints",
-    )
+    # Read once, by the grouping that follows.
+    prints = map_texts(narrow.select(F.to_json("_row").alias("_id"), "_text"), "_id", "_text", one, schema)
     kind = docs.schema[key].dataType.simpleString()
     row = F.from_json("_id", f"k {kind}, d bigint")
     order = F.struct(row["k"].isNull().alias("n"), row["k"].alias("k"), row["d"].alias("d"))

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest_llm import least_roots, rows_of
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stmtlens.llm import elias_fano, embeddings, language_model, line_dedup, packing, sharding, simhash
@@ -183,6 +184,30 @@ def test_sketches_decide_as_whole_sets_do(spark):
     assert sorted(rows_of(got)) == want and 50 < len(want) < 190
 
 
+def test_fingerprints_propose_near_copies(spark):
+    """Sets that meet in no shingle: texts within the radius of their fingerprints are found by these, and then compared."""
+    pick = random.Random(5)
+    words = ["".join(pick.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    texts, joined, unlike = [], set(), 0
+    while len(joined) < 5 or unlike < 5:
+        base = [pick.choice(words) for _ in range(120)]
+        at = ((60,), (30, 60, 90))[len(joined) >= 5]
+        a, b = " ".join(base), " ".join(pick.choice(words) if i in at else w for i, w in enumerate(base))
+        if ((simhash.fingerprint(a) ^ simhash.fingerprint(b)) & (2**64 - 1)).bit_count() <= simhash.RADIUS:
+            grams = [set(simhash.compared_shingles(t)) for t in (a, b)]
+            similar = len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1])
+            joined |= {len(texts) + 1} if similar else set()
+            unlike += not similar
+            texts += [a, b]
+    counts = np.zeros(simhash.COUNTERS, dtype=np.int32)
+    rows = [(k, k, t, *simhash.prefix_print(t, counts, 0.8)[:-1], []) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(
+        rows, "k bigint, d bigint, _text string, node bigint, fp bigint, n int, bits array<bigint>, prefix array<bigint>"
+    )
+    got = simhash.similar_classes(df.drop("_text"), df.select("k", "d", "_text"), F.struct("k", "d"), 0.8)
+    assert {r["first"]["k"] for r in got.collect()} == set(range(len(texts))) - joined
+
+
 def slow_best_fit(items, capacity, per_source):
     bins, out = [], []
     for length, source, cluster in items:
