@@ -8,9 +8,10 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from stmtlens.catalog import changes
+from stmtlens.catalog import changes, jobs
 from stmtlens.functions import paths as pa
 from stmtlens.operators import diff
+from stmtlens.operators import java as jv
 from stmtlens.session import cut_lineage
 
 FOLDER = "/root/testdata/sf0.001"
@@ -80,3 +81,16 @@ def test_payloads_are_parsed_once(spark):
     """Changed files are read for their patches, their head texts and themselves."""
     text = plan(entry.queries()["ingest_outcome"](spark, FOLDER))
     assert "from_json" not in text and "o_orderkey" not in text
+
+
+def test_log_lines_are_made_by_all_tasks(spark):
+    """The given table is one file: without a spread one task would write and parse the lines of all repositories."""
+    assert jobs.statement_lines(spark, FOLDER).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_java_steps_sort_little(spark):
+    """Names of type heads are gathered in one grouping; of files with annotated queries only these and their arguments are handed over."""
+    files = spark.createDataFrame([("r", "a", 'interface A extends B { @Query("q") int x(int y); void z(int a, int b); }')], "repo string, path string, content string")
+    assert "Window" not in plan(jv.java_types(jv.java_levels(files, read=jv.READ)))
+    read = jv.java_levels(files, literals=True, columns=("tok", "pos"), read=jv.QUERIES)
+    assert [r.tok for r in read.orderBy("pos").collect()] == ["Query", '"q"']
